@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelake.llm.common import table
-from quotelake.llm.words import SQL_WORDS, row_key, words
+from quotelake.llm.words import SQL_WORDS, once, row_key, words
 
 #: Words of a window; the most windows that are broadcast (about 150 bytes each).
 SIZE, MOST_BROADCAST = 10, 500_000
@@ -28,6 +28,11 @@ def windows(of: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(of) - (n - 1)), lambda i: F.slice(of, i, n))
 
 
+def window_hashes(of: Column, n: int) -> Column:
+    """array<long>: a hash of every n consecutive words."""
+    return F.transform(F.sequence(F.lit(1), F.size(of) - (n - 1)), lambda i: F.xxhash64(F.slice(of, i, n)))
+
+
 def benchmark_windows(bench: DataFrame, size: int = SIZE, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """hash, n, gram array<string>, items array<string>: one row for each distinct window."""
     items = bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words(F.col(text_col)).alias("w"))
@@ -42,17 +47,19 @@ def hits(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col: st
     """id, row_key, start (from 0), n, items: every verified occurrence of a window in a document."""
     lengths = sorted(r.n for r in grams.select("n").distinct().collect())  # at most SIZE rows
     small = grams.count() <= MOST_BROADCAST
-    base = docs.select(F.col(id_col).alias("_id"), row_key(F.col(text_col)).alias("_row"), words(F.col(text_col)).alias("_w"))
+    base = docs.select(F.col(id_col).alias("_id"), row_key(F.col(text_col)).alias("_row"), once(words(F.col(text_col))).alias("_w"))
     found = []
     for n in lengths or [SIZE]:
         at = base.filter(F.size("_w") >= n)
-        hashes = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i, n=n: F.xxhash64(F.slice("_w", i, n)))
         side = grams.filter(F.col("n") == n).select(F.col("hash").alias("_hash"), "gram", "items")
         if small:
-            seen = at.select("_id", "_row", "_w", F.posexplode(hashes).alias("_at", "_hash")).join(F.broadcast(side), "_hash")
+            # Generator, look-up and check run in one generated loop that copies hits only. The outer generator keeps
+            # the optimiser from computing all hashes once more for a filter on their number; null hashes join nothing.
+            hashed = at.withColumn("_hashes", window_hashes(F.col("_w"), n))
+            seen = hashed.select("_id", "_row", "_w", F.posexplode_outer("_hashes").alias("_at", "_hash")).join(F.broadcast(side), "_hash")
             seen = seen.filter(F.slice("_w", F.col("_at") + 1, n) == F.col("gram"))
         else:
-            seen = at.select("_id", "_row", F.posexplode(windows(F.col("_w"), n)).alias("_at", "_gram"))
+            seen = at.withColumn("_grams", windows(F.col("_w"), n)).select("_id", "_row", F.posexplode_outer("_grams").alias("_at", "_gram"))
             seen = seen.withColumn("_hash", F.xxhash64("_gram")).join(side, "_hash").filter(F.col("_gram") == F.col("gram"))
         found.append(seen.select("_id", "_row", F.col("_at").alias("start"), F.lit(n).alias("n"), "items"))
     out = found[0]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelake.llm.common import table
-from quotelake.llm.words import SQL_WORDS, row_key, words
+from quotelake.llm.words import SQL_WORDS, once, row_key, words
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Notices as license texts ask for them, in words; label -> notice.
@@ -49,7 +49,7 @@ def phrase_places(w: Column, phrase: str) -> Column:
 
 def base_places(docs: DataFrame, phrases: dict[str, str], id_col: str, text_col: str) -> DataFrame:
     """A row for each row: id, row_key, n_words, n_base, first_word, last_word, base_labels array."""
-    w = docs.select(F.col(id_col), row_key(F.col(text_col)).alias("row_key"), words(F.col(text_col)).alias("w"))
+    w = docs.select(F.col(id_col), row_key(F.col(text_col)).alias("row_key"), once(words(F.col(text_col))).alias("w"))
     names = [f"p{i}" for i in range(len(phrases))]
     at = w.select("*", *[phrase_places(F.col("w"), p).alias(n) for n, p in zip(names, phrases)])
     every = F.concat(*names)
@@ -86,12 +86,12 @@ def matching_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thre
     )
     least = min(need for _, _, need in entries)
     probes = F.array(*map(F.lit, sorted({w for _, own, need in entries for w in own[: len(own) - need + 1]})))
-    lines = docs.select(F.col(id_col), row_key(F.col(text_col)).alias("row_key"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("block", "line"))
+    lines = docs.select(F.col(id_col), row_key(F.col(text_col)).alias("row_key"), F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("block", "line"))
     # array_intersect keeps the order of its first side: the global one
-    blocks = lines.withColumn("b", words(F.col("line"))).filter(F.arrays_overlap("b", probes)).select(id_col, "row_key", "block", F.array_intersect(ranked, F.col("b")).alias("b"))
+    blocks = lines.select("*", once(words(F.col("line"))).alias("b")).filter(F.arrays_overlap("b", probes)).select(id_col, "row_key", "block", F.array_intersect(ranked, F.col("b")).alias("b"))
     blocks = blocks.filter(F.size("b") >= least)
     prefix = F.slice("b", 1, F.size("b") - least + 1)
-    pairs = blocks.select("*", F.posexplode(prefix).alias("b_pos", "word")).join(F.broadcast(index), "word")
+    pairs = blocks.select("*", F.posexplode_outer(prefix).alias("b_pos", "word")).join(F.broadcast(index), "word")
     possible = F.least(F.size("b") - F.col("b_pos"), F.col("t_size") - F.col("t_pos")) >= F.col("need")
     long_enough = F.size("b") >= F.col("need")
     # only the first common word of a pair passes the positional filter with full strength; a pair is verified once

@@ -16,6 +16,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
+def once(value: Column) -> Column:
+    """A generator of just this value: select it under a name, and the optimiser can't repeat the expression wherever the name is used."""
+    return F.explode(F.array(value))
+
+
 def row_key(text: Column) -> Column:
     """With the id, names a row where two passes over the texts meet."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
