@@ -57,7 +57,9 @@ def add_by_text(
     A column of `df` with the name of a new one is replaced. The kernel is made once in each task.
     """
     kept = df.drop(*(f.name for f in new))
-    schema = T.StructType([*kept.schema.fields, *new])
+    fields = [*kept.schema.fields, *new]
+    names = [f"c{i}" for i in range(len(fields))]  # a frame goes through Arrow under plain names: any name of a column is allowed
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, fields)])
     at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +67,6 @@ def add_by_text(
         for batch in batches:
             for part in slices(batch, at):
                 made = work([x or "" for x in part.column(at).to_pylist()])
-                names = [*part.schema.names, *(f.name for f in new)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.toDF(*names[: len(kept.columns)]).mapInArrow(run, schema).toDF(*(f.name for f in fields))

@@ -86,7 +86,8 @@ def matching_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thre
     )
     least = min(need for _, _, need in entries)
     probes = F.array(*map(F.lit, sorted({w for _, own, need in entries for w in own[: len(own) - need + 1]})))
-    lines = docs.select(F.col(id_col), row_key(F.col(text_col)).alias("row_key"), F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("block", "line"))
+    whole = docs.select(F.col(id_col), row_key(F.col(text_col)).alias("row_key"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
+    lines = whole.select(id_col, "row_key", F.posexplode_outer("lines").alias("block", "line"))
     # array_intersect keeps the order of its first side: the global one
     blocks = lines.select("*", once(words(F.col("line"))).alias("b")).filter(F.arrays_overlap("b", probes)).select(id_col, "row_key", "block", F.array_intersect(ranked, F.col("b")).alias("b"))
     blocks = blocks.filter(F.size("b") >= least)

@@ -1,0 +1,64 @@
+import hashlib
+import re
+import zlib
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quotelake.llm import secret_scan as s
+
+from .conftest import TESTDATA
+
+BASE = {
+    "assign": (r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    "access": (r"AKIA[A-Z0-9]+", 0, 18),
+    "hex": (r"[0-9a-f]+", 0, 16),
+}
+WORDS = s.automaton()
+
+
+def expected(text):
+    found = []
+    for i, (kind, (p, group, least)) in enumerate(BASE.items()):
+        found += [(m.start(), i, m.end(), kind) for m in re.finditer(p, text or "") if len(m[group]) >= least]
+    return sorted(found)
+
+
+def key(prefix, body):
+    n, digits = zlib.crc32(body.encode()), ""
+    for _ in range(6):
+        n, r = divmod(n, 62)
+        digits = s.DIGITS[r] + digits
+    return f"{prefix}_{body}{digits}"
+
+
+PARTS = ["password", "PassWD", "secret", "token", "api_key", "ApiKey", "apikey", "=", ":", " ", '"', "'", "AKIA", "akia", "ABCDEF0123456789ABCD", "deadbeef01234567", "a", "İ", "ſecret", "toKen", "\n", "abc/def+ghi==", "0123456789abcdef"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
+def test_base_spans_equal_plain_expressions(text):
+    got = [(a, k, e) for a, k, e in s.find(text, WORDS) if k < 3]
+    assert got == [(a, k, e) for a, k, e, _ in expected(text)]
+
+
+def test_checksums():
+    good = key("ghp", "A" * 30)
+    assert s.checksum_agrees(good)
+    assert [s.KINDS[k] for _, k, _ in s.find(f"x {good} y", WORDS)] == ["github"]
+    assert s.find(f"x {good[:-1]}{'0' if good[-1] != '0' else '1'} y", WORDS) == []
+
+
+def test_frame_and_redaction(spark, hard):
+    assert s.scan(hard).count() == hard.count() and s.scan(hard.limit(0)).count() == 0
+    df = spark.createDataFrame([(1, "a token = abcdefghijkl0123 b"), (2, None)], "doc_id long, text string")
+    assert [r.text for r in s.redacted(df).orderBy("doc_id").collect()] == ["a [secret] b", ""]
+
+
+def test_query(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{TESTDATA}/documents.parquet").collect()}
+    for r in s.op5_secret_scan(spark, TESTDATA).collect():
+        found = expected(texts[r.doc_id])
+        listed = ",".join(f"{k}:{a}:{e}" for a, _, e, k in found)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(f[3] == k for f in found) for k in BASE)
