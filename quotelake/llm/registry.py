@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quotelake.llm import chat_format, decontamination, exact_dedup, license_scan, quality, secret_scan, sentencepieces, token_counts
+from quotelake.llm import chat_format, decontamination, exact_dedup, license_scan, ngram_jaccard, quality, secret_scan, sentencepieces, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_sentencepieces": sentencepieces.op1_sentencepieces,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
         "op4_license_scan": license_scan.op4_license_scan,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_token_counts": token_counts.op6_token_counts,
@@ -21,6 +22,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.ORACLE,
+        "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
         "op4_license_scan": license_scan.ORACLE,
         "op8_chat_format": chat_format.ORACLE,
         "op10_decontamination": decontamination.ORACLE,
