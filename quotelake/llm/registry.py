@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quotelake.llm import chat_format, decontamination, exact_dedup, license_scan, ngram_jaccard, quality, secret_scan, sentencepieces, token_counts
+from quotelake.llm import chat_format, decontamination, exact_dedup, license_scan, lm_scoring, ngram_jaccard, quality, secret_scan, sentencepieces, token_counts
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_license_scan": license_scan.op4_license_scan,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op7_lm_scoring": lm_scoring.op7_lm_scoring,
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_quality": quality.op9_quality,
         "op10_decontamination": decontamination.op10_decontamination,
@@ -24,6 +25,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.ORACLE,
         "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
         "op4_license_scan": license_scan.ORACLE,
+        "op7_lm_scoring": lm_scoring.ORACLE,
         "op8_chat_format": chat_format.ORACLE,
         "op10_decontamination": decontamination.ORACLE,
     }
