@@ -25,9 +25,11 @@ An empty table gives an empty one. Columns beyond the named ones play no part. L
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -38,11 +40,11 @@ from quotelake.llm.common import shared_table, slices, table
 SIZE = 5
 #: Linked: DEN * overlap >= NUM * (one size + other size), which is a Jaccard similarity of 0.75 or more.
 NUM, DEN = 3, 7
-#: Distinct words whose hashes a worker keeps; counters of a task's shingle sketch; the most counters that are broadcast.
-WORDS_KEPT, SKETCH_BITS, HEAVY_KEPT = 1_000_000, 20, 65_536
-#: The most classes that are broadcast (8 bytes each) to the pass that reads their sets.
+#: Random numbers for places in a word (from there on they repeat); counters of a task's shingle sketch; the most counters that are broadcast.
+PLACES, SKETCH_BITS, HEAVY_KEPT = 65_536, 20, 65_536
+#: The most classes, or pairs of them, that are broadcast (under 100 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 4_000_000
-MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -53,31 +55,58 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Shingles:
-    """Sorted distinct shingle hashes of texts, with hashes of the words seen so far."""
+    """Sorted distinct shingle hashes of texts, computed for all texts of a slice at once.
+
+    A word's hash is a sum over its bytes of a random number for the byte (one for both cases of a letter, 0 for
+    white space) times a random odd number for the place. A shingle's hash sums the hashes of its words times
+    odd numbers. Both are then mixed.
+    """
 
     def __init__(self, size: int = SIZE):
         import xxhash
 
-        self.size, self.digest, self.known = size, xxhash.xxh3_64_intdigest, {}
-
-    def of(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()  # ASCII letters and ASCII white space only
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        try:
-            w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > WORDS_KEPT:
-                known.clear()
-            known.update((x, self.digest(x)) for x in set(words).difference(known))
-            w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        k = min(self.size, len(words))
-        mix = np.resize(MIX, k) + np.arange(k, dtype=np.uint64) // np.uint64(len(MIX)) * np.uint64(2)
-        h = np.full(len(w) - k + 1, k, np.uint64)
-        for i in range(k):
-            h += w[i : len(w) - k + 1 + i] * mix[i]
-        return np.unique(mixed(h))
+        self.size, self.digest = size, xxhash.xxh3_64_intdigest
+        self.byte = mixed(np.arange(1, 257, dtype=np.uint64) * MIX[0])
+        self.byte[ord("A") : ord("Z") + 1] = self.byte[ord("a") : ord("z") + 1]
+        self.blank = np.zeros(256, bool)
+        self.blank[[32, *range(9, 14)]] = True
+        self.byte[self.blank] = 0
+        self.place = mixed(np.arange(1, PLACES + 1, dtype=np.uint64) * MIX[1]) | np.uint64(1)
+        self.mix = mixed(np.arange(1, size + 1, dtype=np.uint64) * MIX[2]) | np.uint64(1)
+
+    def words(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words of consecutive texts in one buffer of UTF-8, and where the words of each text begin among them."""
+        if not len(raw):
+            return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+        solid = ~self.blank[raw]
+        first = solid.copy()
+        first[1:] &= ~solid[:-1]
+        heads = offsets[:-1][offsets[:-1] < len(raw)]
+        first[heads] = solid[heads]
+        starts = np.flatnonzero(first)
+        if not len(starts):
+            return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+        at = np.arange(starts[0], len(raw), dtype=np.int64) - np.repeat(starts, np.diff(starts, append=len(raw)))
+        terms = self.byte[raw[starts[0] :]] * self.place[at % PLACES]
+        return mixed(np.add.reduceat(terms, starts - starts[0])), np.searchsorted(starts, offsets)
+
+    def of(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        w, ends = self.words(raw, offsets)
+        k, n = self.size, len(w) - self.size + 1
+        rolled = np.full(max(n, 0), k, np.uint64)
+        for i in range(k if n > 0 else 0):
+            rolled += w[i : i + n] * self.mix[i]
+        rolled = mixed(rolled)
+        out = []
+        for a, b in pairwise(ends.tolist()):
+            if b - a >= k:
+                h = np.sort(rolled[a : b - k + 1])
+                out.append(h[np.concatenate(([True], h[1:] != h[:-1]))])
+            elif b > a:  # the whole sequence as one
+                out.append(mixed((w[a:b] * self.mix[: b - a]).sum(keepdims=True) + np.uint64(b - a)))
+            else:
+                out.append(w[:0])
+        return out
 
     def key(self, shingles: np.ndarray) -> int:
         return self.digest(shingles.tobytes())
@@ -87,15 +116,24 @@ def signed(x) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
 
-def by_rows(docs: DataFrame, id_col: str, text_col: str, kernel, schema: str) -> DataFrame:
-    """mapInArrow over (id, text): kernel() is made once in a task, gets slices of bounded size and then, with None, its end."""
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts (null: empty) in one array, and where each begins."""
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    return raw, bounds - bounds[0]
+
+
+def by_rows(docs: DataFrame, id_col: str, text_col: str, size: int, kernel, schema: str) -> DataFrame:
+    """mapInArrow over (id, text): kernel() is made once in a task and gets ids, sets and keys of slices of bounded size; then, with None, its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = kernel()
+        work, shingles = kernel(), Shingles(size)
         for batch in batches:
             for part in slices(batch, 1):
-                yield from work(part.column(0), [x or "" for x in part.column(1).to_pylist()])
-        yield from work(None, None)
+                sets = shingles.of(*utf8(part.column(1)))
+                yield from work(part.column(0), sets, np.array([shingles.key(s) for s in sets], np.uint64))
+        yield from work(None, [], None)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -106,27 +144,25 @@ def keys_and_counts(docs: DataFrame, size: int, id_col: str, text_col: str) -> t
     A task reports those of its 2 ** SKETCH_BITS counters that chance alone would not fill so much.
     """
     id_type = docs.schema[id_col].dataType
-
     arrow_id = to_arrow_type(id_type)
 
     def kernel():
-        shingles, counts, names = Shingles(size), np.zeros(1 << SKETCH_BITS, np.int64), ["id", "key", "n", "bucket", "seen"]
+        counts, names = np.zeros(1 << SKETCH_BITS, np.int64), ["id", "key", "n", "bucket", "seen"]
 
-        def work(ids, texts):
-            if texts is None:
+        def work(ids, sets, keys):
+            if ids is None:
                 mean = counts.mean()
                 at = np.flatnonzero(counts > 2 * mean + 8 * np.sqrt(mean) + 4)
                 none = pa.nulls(len(at), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(at), arrow_id), none, none, pa.array(at, pa.int64()), pa.array(counts[at])], names=names)
                 return
-            sets = [shingles.of(x) for x in texts]
             np.add(counts, np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)), out=counts)
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, signed([shingles.key(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([ids, signed(keys), pa.array([len(s) for s in sets], pa.int64()), none, none], names=names)
 
         return work
 
-    out = shared_table(by_rows(docs, id_col, text_col, kernel, f"id {id_type.simpleString()}, key long, n long, bucket long, seen long"))
+    out = shared_table(by_rows(docs, id_col, text_col, size, kernel, f"id {id_type.simpleString()}, key long, n long, bucket long, seen long"))
     heavy = out.filter(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("seen").alias("seen"))
     top = heavy.orderBy(F.desc("seen"), "bucket").limit(HEAVY_KEPT).toPandas()  # bounded by HEAVY_KEPT
     return out.filter(F.col("bucket").isNull()).select("id", "key", "n"), top["bucket"].to_numpy()[::-1].copy()
@@ -138,71 +174,67 @@ def in_order(shingles: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def postings(docs: DataFrame, heavy: np.ndarray, size: int, text_col: str) -> DataFrame:
-    """shingle, key, n, pos: the prefixes of all sets; sets of equal key repeat."""
+    """shingle, key, np (n << 32 | pos): the prefixes of all sets; sets of equal key repeat."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def kernel():
-        shingles, rank = Shingles(size), np.zeros(1 << SKETCH_BITS, np.int32)
+        rank = np.zeros(1 << SKETCH_BITS, np.int32)
         rank[shared.value] = np.arange(1, len(shared.value) + 1)
 
-        def work(_, texts):
-            if texts is None:
-                return
-            sets = [s for x in texts if len(s := shingles.of(x))]
-            if not sets:
+        def work(ids, sets, keys):
+            n = np.array([len(s) for s in sets], np.int64)
+            if not n.any():
                 return
-            n = np.array([len(s) for s in sets])
-            p = n - (NUM * n + (DEN - NUM) - 1) // (DEN - NUM) + 1
+            p = np.where(n > 0, n - (NUM * n + (DEN - NUM) - 1) // (DEN - NUM) + 1, 0)
             firsts = [in_order(s, rank)[:k] for s, k in zip(sets, p.tolist())]
-            pos = np.concatenate([np.arange(k) for k in p.tolist()])
-            keys = np.array([shingles.key(s) for s in sets], np.uint64)
-            made = [signed(np.concatenate(firsts)), signed(np.repeat(keys, p)), pa.array(np.repeat(n, p) << 32 | pos)]
-            yield pa.RecordBatch.from_arrays(made, names=["shingle", "key", "np"])
+            pos = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+            yield pa.RecordBatch.from_arrays([signed(np.concatenate(firsts)), signed(np.repeat(keys, p)), pa.array(np.repeat(n, p) << 32 | pos)], names=["shingle", "key", "np"])
 
         return work
 
-    none = docs.withColumn("_none", F.lit(0))
-    return by_rows(none, "_none", text_col, kernel, "shingle long, key long, np long")
+    return by_rows(docs.withColumn("_none", F.lit(0)), "_none", text_col, size, kernel, "shingle long, key long, np long")
 
 
 def index(docs: DataFrame, heavy: np.ndarray, size: int, text_col: str) -> DataFrame:
-    """A stored table shingle, key, n, pos: the lists with two classes or more, each class once. One shuffle, by shingle."""
+    """A stored table shingle, key, n, pos, lead_key, lead_n: the lists with two classes or more, each class once, and the leader of its block.
+
+    One shuffle, by shingle. Blocks have sizes within the threshold's ratio.
+    """
     own = Window.partitionBy("shingle")
+    n = F.shiftright("np", 32)
     lists = postings(docs, heavy, size, text_col).select(
         "*", F.min("key").over(own).alias("least"), F.max("key").over(own).alias("most"), F.lag("key").over(own.orderBy("np", "key")).alias("before")
     )
-    kept = lists.filter((F.col("least") < F.col("most")) & ~F.col("before").eqNullSafe(F.col("key")))
-    return shared_table(kept.select("shingle", "key", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos")))
+    kept = lists.filter((F.col("least") < F.col("most")) & ~F.col("before").eqNullSafe(F.col("key"))).withColumn("n", n.cast("int"))
+    kept = kept.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / float(np.log((DEN - NUM) / NUM))))
+    lead = F.first(F.struct("key", "n")).over(Window.partitionBy("shingle", "block").orderBy("np", "key"))
+    kept = kept.withColumn("lead", lead).select("shingle", "key", "n", F.col("np").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"), F.col("lead.key").alias("lead_key"), F.col("lead.n").alias("lead_n"))
+    return shared_table(kept)
 
 
-def candidate_sets(docs: DataFrame, wanted: DataFrame, size: int, text_col: str) -> DataFrame:
-    """A stored table key, shingles of the wanted keys. A bounded number of them is sent to the readers, more are joined."""
+def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """A stored table key, shingles of the wanted keys, read again from one document of each class."""
     spark = docs.sparkSession
+    one = rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
     small = wanted.count() <= MOST_BROADCAST
-    shared = spark.sparkContext.broadcast(np.sort(wanted.toPandas()["key"].to_numpy()) if small else None)
+    ids = one.select(F.col("id").alias("_one")).distinct()
+    some = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids) if small else ids, F.col("_id").eqNullSafe(F.col("_one")), "left_semi")
 
     def kernel():
-        shingles, own = Shingles(size), shared.value
-
-        def work(_, texts):
-            if texts is None:
-                return
-            sets = [s for x in texts if len(s := shingles.of(x))]
-            keys = np.array([shingles.key(s) for s in sets], np.uint64).view(np.int64)
-            at = np.flatnonzero(np.isin(keys, own)) if own is not None else np.arange(len(keys))
-            if len(at):
-                ends = np.cumsum([0, *(len(sets[i]) for i in at)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[at]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), signed(np.concatenate([sets[i] for i in at])))], names=["key", "shingles"]
-                )
+        def work(ids, sets, keys):
+            some = [(k, s) for k, s in zip(keys.tolist(), sets) if len(s)] if ids is not None else []
+            if some:
+                ends = np.cumsum([0, *(len(s) for _, s in some)])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), signed(np.concatenate([s for _, s in some])))
+                yield pa.RecordBatch.from_arrays([ids.filter(pa.array([len(s) > 0 for s in sets])), signed([k for k, _ in some]), lists], names=["id", "key", "shingles"])
 
         return work
 
-    none = docs.withColumn("_none", F.lit(0))
-    out = by_rows(none, "_none", text_col, kernel, "key long, shingles array<long>")
-    if not small:
-        out = out.join(wanted, "key", "left_semi")
-    return shared_table(out)
+    made = by_rows(some, "_id", "_text", size, kernel, f"id {docs.schema[id_col].dataType.simpleString()}, key long, shingles array<long>")
+    chosen = (F.broadcast(one) if small else one).select(F.col("key").alias("_key"), F.col("id").alias("_one"))
+    out = shared_table(made.join(chosen, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_one")), "left_semi").select("key", "shingles"))
+    twice = out.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")  # rows that repeat an id and text
+    return out if twice.isEmpty() else shared_table(out.dropDuplicates(["key"]))
 
 
 def enough(overlap: Column, n: Column, m: Column) -> Column:
@@ -210,10 +242,11 @@ def enough(overlap: Column, n: Column, m: Column) -> Column:
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """A stored table of `pairs` (a, b, n_a, n_b) with their overlap."""
-    one = sets.dropDuplicates(["key"])
-    left = pairs.join(one.select(F.col("key").alias("a"), F.col("shingles").alias("s_a")), "a")
-    both = left.join(one.select(F.col("key").alias("b"), F.col("shingles").alias("s_b")), "b")
+    """A stored table of `pairs` (a, b, n_a, n_b), a stored table, with their overlap. A bounded number of pairs is sent to the sets of b; then the sets meet by a."""
+    small = pairs.count() <= MOST_BROADCAST
+    left = (F.broadcast(pairs) if small else pairs).join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("s_b")), "b")
+    leaders = sets.join(F.broadcast(pairs.select(F.col("a").alias("key")).distinct()) if small else pairs.select(F.col("a").alias("key")).distinct(), "key", "left_semi")
+    both = left.join(leaders.select(F.col("key").alias("a"), F.col("shingles").alias("s_a")), "a")
     return shared_table(both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("overlap")))
 
 
@@ -234,40 +267,46 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """`lists` with the component so far; only lists that hold two components or more."""
+def labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """shingle, key, n, pos, label (the component so far): only lists that hold two components or more."""
     own = Window.partitionBy("shingle")
-    out = lists.withColumn("label", F.col("key")) if labels is None else lists.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    known = F.broadcast(labels) if labels.count() <= MOST_BROADCAST else labels
+    out = lists.select("shingle", "key", "n", "pos").join(known, "key", "left").withColumn("label", F.coalesce("label", "key"))
     out = out.select("*", F.min("label").over(own).alias("_least"), F.max("label").over(own).alias("_most"))
     return out.filter(F.col("_least") < F.col("_most")).drop("_least", "_most")
 
 
-def led(lists: DataFrame, shift: float) -> DataFrame:
-    """a (leader), b, n_a, n_b: for each set the leader that it shares most list blocks with, of another component."""
-    block = F.floor(F.log(F.col("n").cast("double")) / float(np.log((DEN - NUM) / NUM)) + shift)
-    own = Window.partitionBy("shingle", block).orderBy("n", "key") if not shift else Window.partitionBy("shingle", block).orderBy(F.desc("n"), F.desc("key"))
-    first = lists.select("*", F.first(F.struct("key", "n", "label")).over(own).alias("lead"))
-    pairs = first.filter(F.col("lead.label") != F.col("label")).groupBy("key", "n", "lead").agg(F.count(F.lit(1)).alias("shared"))
-    best = pairs.groupBy("key", "n").agg(F.max(F.struct("shared", "lead")).alias("best"))
-    out = best.select(F.col("best.lead.key").alias("a"), F.col("key").alias("b"), F.col("best.lead.n").alias("n_a"), F.col("n").alias("n_b"))
-    return out.filter(enough(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b")))
-
-
 def prefix(n: Column) -> Column:
     return n - F.ceil(NUM * n / (DEN - NUM)) + 1
 
 
+def behind(a: Column, b: Column) -> Column:
+    """The most that two sets can share outside the part of their prefixes that is compared in the lists."""
+    return F.greatest(a - prefix(a), b - prefix(b))
+
+
+def led(lists: DataFrame) -> DataFrame:
+    """A stored table a (leader), b, n_a, n_b: for each set the leader that it shares most lists with, if they may be linked."""
+    pairs = lists.filter(F.col("lead_key") != F.col("key")).groupBy("key", "n", "lead_key", "lead_n").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = pairs.filter(enough(F.col("shared") + behind(F.col("n"), F.col("lead_n")), F.col("n"), F.col("lead_n")))
+    best = pairs.groupBy("key", "n").agg(F.max(F.struct("shared", "lead_key", "lead_n")).alias("best"))
+    out = best.select(F.col("best.lead_key").alias("a"), F.col("key").alias("b"), F.col("best.lead_n").alias("n_a"), F.col("n").alias("n_b"))
+    return shared_table(out.filter(enough(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"))))
+
+
 def left_over(lists: DataFrame) -> DataFrame:
     """a, b, n_a, n_b: the pairs of different components that their prefixes allow to be linked."""
     cols = ["key", "n", "pos", "label"]
     x = lists.select("shingle", *[F.col(c).alias(f"{c}_a") for c in cols])
     y = lists.select("shingle", *[F.col(c).alias(f"{c}_b") for c in cols])
-    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("key_a") < F.col("key_b")))
-    pairs = x.join(y, "shingle").filter(ordered & (F.col("label_a") != F.col("label_b")) & enough(F.col("n_a"), F.col("n_a"), F.col("n_b")))
+    a, b, i, j = F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")
+    ordered = (a < b) | ((a == b) & (F.col("key_a") < F.col("key_b")))
+    # at one shared shingle: as many as can stand before it in both, itself, and as many as can stand behind it in both
+    possible = F.least(i, j) + 1 + F.least(a - 1 - i, b - 1 - j)
+    pairs = x.join(y, "shingle").filter(ordered & (F.col("label_a") != F.col("label_b")) & enough(possible, a, b))
     each = pairs.groupBy("key_a", "key_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"), F.max("pos_a").alias("end_a"), F.max("pos_b").alias("end_b"))
-    a, b = F.col("n_a"), F.col("n_b")
-    behind = F.least(a - 1 - F.col("end_a"), b - 1 - F.col("end_b"), F.greatest(a - prefix(a), b - prefix(b)))
-    return each.filter(enough(F.col("shared") + behind, a, b)).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "n_a", "n_b")
+    rest = F.least(a - 1 - F.col("end_a"), b - 1 - F.col("end_b"), behind(a, b))
+    return each.filter(enough(F.col("shared") + rest, a, b)).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "n_a", "n_b")
 
 
 def underived(pairs: DataFrame, tried: DataFrame) -> DataFrame:
@@ -284,17 +323,16 @@ def joined(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
     """A row for each row of `docs`: the id, n_shingles and component_id (the smallest id that is reachable by links)."""
     rows, heavy = keys_and_counts(docs, size, id_col, text_col)
     lists = index(docs, heavy, size, text_col)
-    sets = candidate_sets(docs, lists.select("key").distinct(), size, text_col)
-    labels, links, tried = None, None, None
-    for shift in (0.0, 0.5):
-        lists = shared_table(labelled(lists, labels).drop("label") if labels is not None else lists)
-        seen = compared(led(labelled(lists, labels), shift), sets)
-        tried = seen if tried is None else tried.unionByName(seen)
-        links = tried.filter(enough(F.col("overlap"), F.col("n_a"), F.col("n_b")))
-        labels = components(links)
-    rest = underived(left_over(shared_table(labelled(lists, labels))), tried)
-    found = compared(rest, sets)
-    labels = components(links.unionByName(found.filter(enough(F.col("overlap"), F.col("n_a"), F.col("n_b")))))
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    linked = enough(F.col("overlap"), F.col("n_a"), F.col("n_b"))
+    first = led(lists)
+    sets = sets_of(docs, rows, ends(first), size, id_col, text_col)
+    tried = compared(first, sets)
+    links = tried.filter(linked)
+    rest = shared_table(underived(left_over(labelled(lists, components(links))), tried))
+    more = sets_of(docs, rows, ends(rest).join(sets, "key", "left_anti"), size, id_col, text_col)
+    found = compared(rest, sets.unionByName(more))
+    labels = components(links.unionByName(found.filter(linked)))
     classes = rows.filter(F.col("n") > 0).groupBy("key").agg(F.min("id").alias("least"))
     in_component = classes.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     ids = in_component.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def _load() -> tuple[dict, dict]:
     from quotelake import registry
-    from quotelake.plans import dashboards  # noqa: F401  registers its queries
+    from quotelake.plans import dashboards, queues  # noqa: F401  these register their queries
 
     return registry.QUERIES, registry.SQL
 
