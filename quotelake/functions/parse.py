@@ -94,6 +94,7 @@ def material_code(family: Column, shape: Column, size: Column, form: Column, sta
 
 def reducer_size(t: Column) -> Column:
     """From 1828.8->1371.6x38: both diameters first, then the wall."""
+    t = upper(t)
     p = rf"{NUMBER}\s*(?:->|→|/)\s*{NUMBER}{TIMES}{NUMBER}"
     return F.concat_ws("_", size_code(number(t, p)), size_code(number(t, p, 2)), F.concat(F.lit("T"), size_code(number(t, p, 3))))
 

@@ -154,7 +154,7 @@ def _repair(s: str | None) -> str | None:
     if start < 0:
         return None
     t = t[start:]
-    for fix in (lambda x: x, lambda x: x[: max(x.rfind("}"), x.rfind("]")) + 1], lambda x: re.sub(r",\s*([}\]])", r"\1", x), lambda x: x.replace("'", '"')):
+    for fix in (lambda x: x, lambda x: x[: max(x.rfind("}"), x.rfind("]")) + 1] or x, lambda x: re.sub(r",\s*([}\]])", r"\1", x), lambda x: x.replace("'", '"')):
         t = fix(t)
         try:
             return json.dumps(json.loads(t), sort_keys=True)
