@@ -29,67 +29,33 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from quotelake.llm.common import shared_table, slices, table
+from quotelake.llm.hashing import MIX, Words, mixed, utf8
 
 SIZE = 5
 #: Linked: DEN * overlap >= NUM * (one size + other size), which is a Jaccard similarity of 0.75 or more.
 NUM, DEN = 3, 7
-#: Random numbers for places in a word (from there on they repeat); counters of a task's shingle sketch; the most counters that are broadcast.
-PLACES, SKETCH_BITS, HEAVY_KEPT = 65_536, 20, 65_536
+#: Counters of a task's shingle sketch; the most counters that are broadcast.
+SKETCH_BITS, HEAVY_KEPT = 20, 65_536
 #: The most classes, or pairs of them, that are broadcast (under 100 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 4_000_000
-MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers whose every bit depends on all bits."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-class Shingles:
-    """Sorted distinct shingle hashes of texts, computed for all texts of a slice at once.
-
-    A word's hash is a sum over its bytes of a random number for the byte (one for both cases of a letter, 0 for
-    white space) times a random odd number for the place. A shingle's hash sums the hashes of its words times
-    odd numbers. Both are then mixed.
-    """
+class Shingles(Words):
+    """Sorted distinct shingle hashes of texts, computed for all texts of a slice at once: mixed sums of the words' hashes times odd numbers."""
 
     def __init__(self, size: int = SIZE):
         import xxhash
 
+        super().__init__()
         self.size, self.digest = size, xxhash.xxh3_64_intdigest
-        self.byte = mixed(np.arange(1, 257, dtype=np.uint64) * MIX[0])
-        self.byte[ord("A") : ord("Z") + 1] = self.byte[ord("a") : ord("z") + 1]
-        self.blank = np.zeros(256, bool)
-        self.blank[[32, *range(9, 14)]] = True
-        self.byte[self.blank] = 0
-        self.place = mixed(np.arange(1, PLACES + 1, dtype=np.uint64) * MIX[1]) | np.uint64(1)
         self.mix = mixed(np.arange(1, size + 1, dtype=np.uint64) * MIX[2]) | np.uint64(1)
 
-    def words(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words of consecutive texts in one buffer of UTF-8, and where the words of each text begin among them."""
-        if not len(raw):
-            return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-        solid = ~self.blank[raw]
-        first = solid.copy()
-        first[1:] &= ~solid[:-1]
-        heads = offsets[:-1][offsets[:-1] < len(raw)]
-        first[heads] = solid[heads]
-        starts = np.flatnonzero(first)
-        if not len(starts):
-            return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-        at = np.arange(starts[0], len(raw), dtype=np.int64) - np.repeat(starts, np.diff(starts, append=len(raw)))
-        terms = self.byte[raw[starts[0] :]] * self.place[at % PLACES]
-        return mixed(np.add.reduceat(terms, starts - starts[0])), np.searchsorted(starts, offsets)
-
     def of(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         w, ends = self.words(raw, offsets)
         k, n = self.size, len(w) - self.size + 1
@@ -116,14 +82,6 @@ def signed(x) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
 
-def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts (null: empty) in one array, and where each begins."""
-    texts = pc.fill_null(texts, "").cast(pa.large_binary())
-    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
-    return raw, bounds - bounds[0]
-
-
 def by_rows(docs: DataFrame, id_col: str, text_col: str, size: int, kernel, schema: str) -> DataFrame:
     """mapInArrow over (id, text): kernel() is made once in a task and gets ids, sets and keys of slices of bounded size; then, with None, its end."""
 
@@ -196,20 +154,32 @@ def postings(docs: DataFrame, heavy: np.ndarray, size: int, text_col: str) -> Da
 
 
 def index(docs: DataFrame, heavy: np.ndarray, size: int, text_col: str) -> DataFrame:
-    """A stored table shingle, key, n, pos, lead_key, lead_n: the lists with two classes or more, each class once, and the leader of its block.
+    """A stored table shingle, key, n, pos, others: the lists with two classes or more, each class once, and how many share the list with it.
 
-    One shuffle, by shingle. Blocks have sizes within the threshold's ratio.
+    One shuffle, by shingle.
     """
     own = Window.partitionBy("shingle")
-    n = F.shiftright("np", 32)
     lists = postings(docs, heavy, size, text_col).select(
         "*", F.min("key").over(own).alias("least"), F.max("key").over(own).alias("most"), F.lag("key").over(own.orderBy("np", "key")).alias("before")
     )
-    kept = lists.filter((F.col("least") < F.col("most")) & ~F.col("before").eqNullSafe(F.col("key"))).withColumn("n", n.cast("int"))
-    kept = kept.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / float(np.log((DEN - NUM) / NUM))))
-    lead = F.first(F.struct("key", "n")).over(Window.partitionBy("shingle", "block").orderBy("np", "key"))
-    kept = kept.withColumn("lead", lead).select("shingle", "key", "n", F.col("np").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"), F.col("lead.key").alias("lead_key"), F.col("lead.n").alias("lead_n"))
-    return shared_table(kept)
+    kept = lists.filter((F.col("least") < F.col("most")) & ~F.col("before").eqNullSafe(F.col("key"))).withColumn("others", F.count(F.lit(1)).over(own) - 1)
+    return shared_table(kept.select("shingle", "key", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"), "others"))
+
+
+def leaders(lists: DataFrame) -> DataFrame:
+    """A stored table key, n, lead_key, lead_n, shared: for each set the leaders of its list blocks that it may be linked with.
+
+    Blocks have sizes within the threshold's ratio. The member leads that shares most with others over its whole
+    prefix: in a group of near copies that is the one that the others were made from, if it is there.
+    """
+    central = lists.groupBy("key", "n").agg((F.sum("others") / prefix(F.first("n"))).alias("weight")).select("key", "weight")
+    block = F.floor(F.log(F.col("n").cast("double")) / float(np.log((DEN - NUM) / NUM)))
+    own = Window.partitionBy("shingle", block).orderBy(F.desc("weight"), "key")
+    weighed = lists.join(F.broadcast(central) if central.count() <= MOST_BROADCAST else central, "key")
+    led = weighed.select("key", "n", F.first(F.struct("key", "n")).over(own).alias("lead")).select("key", "n", F.col("lead.key").alias("lead_key"), F.col("lead.n").alias("lead_n"))
+    pairs = led.filter(F.col("lead_key") != F.col("key")).groupBy("key", "n", "lead_key", "lead_n").agg(F.count(F.lit(1)).alias("shared"))
+    a, b = F.col("n"), F.col("lead_n")
+    return shared_table(pairs.filter(enough(F.col("shared") + behind(a, b), a, b) & enough(F.least(a, b), a, b)))
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -285,24 +255,24 @@ def behind(a: Column, b: Column) -> Column:
     return F.greatest(a - prefix(a), b - prefix(b))
 
 
-def led(lists: DataFrame) -> DataFrame:
-    """A stored table a (leader), b, n_a, n_b: for each set the leader that it shares most lists with, if they may be linked."""
-    pairs = lists.filter(F.col("lead_key") != F.col("key")).groupBy("key", "n", "lead_key", "lead_n").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = pairs.filter(enough(F.col("shared") + behind(F.col("n"), F.col("lead_n")), F.col("n"), F.col("lead_n")))
+def best_leaders(pairs: DataFrame) -> DataFrame:
+    """A stored table a (leader), b, n_a, n_b: for each set the leader that it shares most lists with."""
     best = pairs.groupBy("key", "n").agg(F.max(F.struct("shared", "lead_key", "lead_n")).alias("best"))
-    out = best.select(F.col("best.lead_key").alias("a"), F.col("key").alias("b"), F.col("best.lead_n").alias("n_a"), F.col("n").alias("n_b"))
-    return shared_table(out.filter(enough(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"))))
+    return shared_table(best.select(F.col("best.lead_key").alias("a"), F.col("key").alias("b"), F.col("best.lead_n").alias("n_a"), F.col("n").alias("n_b")))
 
 
 def left_over(lists: DataFrame) -> DataFrame:
     """a, b, n_a, n_b: the pairs of different components that their prefixes allow to be linked."""
-    cols = ["key", "n", "pos", "label"]
+    count = lists.groupBy("key").agg(F.count(F.lit(1)).alias("open"))  # a pair shares no more lists than either has
+    lists = lists.join(F.broadcast(count) if count.count() <= MOST_BROADCAST else count, "key")
+    cols = ["key", "n", "pos", "label", "open"]
     x = lists.select("shingle", *[F.col(c).alias(f"{c}_a") for c in cols])
     y = lists.select("shingle", *[F.col(c).alias(f"{c}_b") for c in cols])
     a, b, i, j = F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")
     ordered = (a < b) | ((a == b) & (F.col("key_a") < F.col("key_b")))
     # at one shared shingle: as many as can stand before it in both, itself, and as many as can stand behind it in both
     possible = F.least(i, j) + 1 + F.least(a - 1 - i, b - 1 - j)
+    possible = F.least(possible, F.col("open_a") + behind(a, b), F.col("open_b") + behind(a, b))
     pairs = x.join(y, "shingle").filter(ordered & (F.col("label_a") != F.col("label_b")) & enough(possible, a, b))
     each = pairs.groupBy("key_a", "key_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"), F.max("pos_a").alias("end_a"), F.max("pos_b").alias("end_b"))
     rest = F.least(a - 1 - F.col("end_a"), b - 1 - F.col("end_b"), behind(a, b))
@@ -325,11 +295,11 @@ def joined(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
     lists = index(docs, heavy, size, text_col)
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     linked = enough(F.col("overlap"), F.col("n_a"), F.col("n_b"))
-    first = led(lists)
+    first = best_leaders(leaders(lists))
     sets = sets_of(docs, rows, ends(first), size, id_col, text_col)
     tried = compared(first, sets)
     links = tried.filter(linked)
-    rest = shared_table(underived(left_over(labelled(lists, components(links))), tried))
+    rest = shared_table(underived(left_over(shared_table(labelled(lists, components(links)))), tried))
     more = sets_of(docs, rows, ends(rest).join(sets, "key", "left_anti"), size, id_col, text_col)
     found = compared(rest, sets.unionByName(more))
     labels = components(links.unionByName(found.filter(linked)))
