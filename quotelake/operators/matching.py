@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quotelake.functions import parse
 from quotelake.functions.parse import close_points, equal_points
+from quotelake.operators.joins import latest
 
 
 def attributes(df: DataFrame, text: str) -> DataFrame:
@@ -19,7 +20,7 @@ def attributes(df: DataFrame, text: str) -> DataFrame:
 def block(kind: Column, beam: Column, tubular: Column, plate: Column, pipe: Column) -> Column:
     """What line and catalogue entry must have in common to be compared: the kind and its coarse size."""
     size = (
-        F.when(kind == "BEAM", beam["family"]).when(kind == "TUBULAR", F.floor(tubular["od_mm"] / 200).cast("string"))
+        F.when(kind == "BEAM", F.concat_ws(":", beam["family"], F.floor(beam["depth_mm"] / 50).cast("string"))).when(kind == "TUBULAR", F.floor(tubular["od_mm"] / 200).cast("string"))
         .when(kind == "PLATE", F.floor(plate["thickness_mm"] / 20).cast("string")).when(kind == "PIPE", pipe["nps"].cast("string"))
     )
     return F.concat_ws(":", kind, F.coalesce(size, F.lit("")))
@@ -27,9 +28,10 @@ def block(kind: Column, beam: Column, tubular: Column, plate: Column, pipe: Colu
 
 def blocks(kind: Column, beam: Column, tubular: Column, plate: Column, pipe: Column) -> Column:
     """The blocks a line looks in: its own, and the neighbours of those that cut a range."""
-    near = lambda x, step: F.transform(F.sequence(F.floor(x / step) - 1, F.floor(x / step) + 1), lambda i: F.concat_ws(":", kind, i.cast("string")))
+    near = lambda x, step, *more: F.transform(F.sequence(F.floor(x / step) - 1, F.floor(x / step) + 1), lambda i: F.concat_ws(":", kind, *more, i.cast("string")))
     return (
-        F.when((kind == "TUBULAR") & tubular["od_mm"].isNotNull(), near(tubular["od_mm"], 200))
+        F.when((kind == "BEAM") & beam["depth_mm"].isNotNull(), near(beam["depth_mm"], 50, beam["family"]))
+        .when((kind == "TUBULAR") & tubular["od_mm"].isNotNull(), near(tubular["od_mm"], 200))
         .when((kind == "PLATE") & plate["thickness_mm"].isNotNull(), near(plate["thickness_mm"], 20))
         .otherwise(F.array(block(kind, beam, tubular, plate, pipe)))
     )
@@ -51,12 +53,14 @@ def score(line: str = "l", cat: str = "c") -> Column:
 def best_matches(lines: DataFrame, catalogue: DataFrame, text: str, line_id: str, cat_id: str, k: int = 3, least: int = 40) -> DataFrame:
     """line_id, cat_id, score, rank, auto: up to k entries of each line with at least `least` points; 90 or more are taken without review.
 
-    An equality join on blocks, never all pairs; distinct descriptions are compared once.
+    An equality join on blocks, never all pairs. Distinct descriptions are compared once, and of catalogue entries
+    with one description only the first k, as no others can be among the best.
     """
     parts = ["kind", "beam", "tubular", "plate", "pipe"]
     own = attributes(lines.select(F.col(text)).distinct(), text)
-    own = own.withColumn("block", F.explode(blocks(*map(F.col, parts))))
-    cat = attributes(catalogue.select(cat_id, F.col(text).alias("_text")), "_text").withColumn("block", block(*map(F.col, parts)))
+    own = own.withColumn("block", F.explode_outer(blocks(*map(F.col, parts))))
+    entries = latest(catalogue.select(cat_id, F.col(text).alias("_text")), ["_text"], [F.asc(cat_id)], k)
+    cat = attributes(entries, "_text").withColumn("block", block(*map(F.col, parts)))
     scored = own.alias("l").join(cat.alias("c"), "block").select(F.col(f"l.{text}"), F.col(f"c.{cat_id}"), score().alias("score")).filter(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy(text).orderBy(F.desc("score"), cat_id))
     best = scored.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -98,9 +98,9 @@ def m01(spark, d):
 
 @register("m17_best_matches")
 def m17(spark, d):
-    """The three best catalogue entries of each late item's description."""
+    """The three best catalogue entries of each item's description."""
     cat = described(spark, d)
-    lines = domain.items(spark, d).filter("run_id < 2000").join(cat, "material_id").select(F.concat_ws(":", "run_id", "line_number", "material_id", "quantity", "item_price").alias("line"), "description")
+    lines = domain.items(spark, d).join(cat, "material_id").select(F.concat_ws(":", "run_id", "line_number", "material_id", "quantity", "item_price").alias("line"), "description")
     return matching.best_matches(lines, cat, "description", "line", "material_id")
 
 
@@ -135,19 +135,16 @@ def s20(spark, d):
     return domain.read(spark, d, "documents").select("doc_id", tx.page_relevance(F.col("text"), ["price", "total", "item"], ["copyright"]).alias("score"))
 
 
-TABLES = "SELECT run_id % 7 AS shape, run_id FROM runs WHERE run_id < 3000"
-
-
 def tables(spark: SparkSession, d: str) -> DataFrame:
     """Extracted tables of runs: headers by shape, one row for each item."""
-    rows = domain.items(spark, d).filter("run_id < 3000").groupBy("run_id").agg(
+    rows = domain.items(spark, d).groupBy("run_id").agg(
         F.array_sort(F.collect_list(F.array(F.col("line_number").cast("string"), F.col("material_id").cast("string"), F.col("quantity").cast("string")))).alias("rows")
     )
     heads = F.when(F.col("run_id") % 3 == 0, F.array(*map(F.lit, ["Item", "Description", "Qty", "Unit"]))).when(F.col("run_id") % 3 == 1, F.array(*map(F.lit, ["Revision", "Date", "Remarks"]))).otherwise(F.array(*map(F.lit, ["Vendor", "Document No", "Item"])))
     return rows.withColumn("headers", heads)
 
 
-@register("s16_table_scores", sql("SELECT run_id, CASE run_id % 3 WHEN 0 THEN 140 WHEN 1 THEN -35 ELSE -100 END AS score, run_id % 3 = 0 AS accepted FROM (SELECT DISTINCT run_id FROM items WHERE run_id < 3000)"))
+@register("s16_table_scores", sql("SELECT run_id, CASE run_id % 3 WHEN 0 THEN 140 WHEN 1 THEN -35 ELSE -100 END AS score, run_id % 3 = 0 AS accepted FROM (SELECT DISTINCT run_id FROM items)"))
 def s16(spark, d):
     s = documents.table_score(F.col("headers"), F.col("rows"))
     return tables(spark, d).select("run_id", s.alias("score"), (s >= documents.ACCEPT).alias("accepted"))
@@ -187,9 +184,9 @@ def d05(spark, d):
     return m.select("material_id", r["quantity"].alias("quantity"), r["method"].alias("method"))
 
 
-@register("d07_weight_checks", sql("SELECT 'item' AS level, 'all' AS name, count(*) FILTER (abs(item_price - c) > 0.01) AS off FROM w UNION ALL SELECT 'subsection', run_id || '/' || line_number, (abs(sum(item_price) - sum(c)) > 0.1)::BIGINT FROM w GROUP BY run_id, line_number UNION ALL SELECT 'section', run_id::VARCHAR, (abs(sum(item_price) - sum(c)) > 0.5)::BIGINT FROM w GROUP BY run_id", w="SELECT *, floor(item_price) + 0.25 AS c FROM items WHERE run_id < 500"))
+@register("d07_weight_checks", sql("SELECT 'item' AS level, 'all' AS name, count(*) FILTER (abs(item_price - c) > 0.01) AS off FROM w UNION ALL SELECT 'subsection', run_id || '/' || line_number, (abs(sum(item_price) - sum(c)) > 0.1)::BIGINT FROM w GROUP BY run_id, line_number UNION ALL SELECT 'section', run_id::VARCHAR, (abs(sum(item_price) - sum(c)) > 0.5)::BIGINT FROM w GROUP BY run_id", w="SELECT *, floor(item_price) + 0.25 AS c FROM items"))
 def d07(spark, d):
-    w = domain.items(spark, d).filter("run_id < 500").withColumn("c", F.floor("item_price") + 0.25)
+    w = domain.items(spark, d).withColumn("c", F.floor("item_price") + 0.25)
     return documents.weight_checks(w, "run_id", "line_number", "item_price", "c")
 
 

@@ -13,14 +13,13 @@ from quotelake.registry import register
 from quotelake.sources import domain
 from quotelake.sources.domain import sql
 
-SINCE = "2000-10-01"
-LATE = f"SELECT i.*, m.category, m.origin, m.base_cost, m.size, r.client_id, r.created_at FROM items i JOIN materials m USING (material_id) JOIN runs r USING (run_id) WHERE r.created_at >= TIMESTAMP '{SINCE}'"
+PRICED = "SELECT i.*, m.category, m.origin, m.base_cost, m.size, r.client_id, r.created_at FROM items i JOIN materials m USING (material_id) JOIN runs r USING (run_id)"
 KEY = ["run_id", "line_number", "material_id", "quantity", "item_price", "supplier_id", "effective_at"]
 
 
-def late(spark: SparkSession, d: str) -> DataFrame:
-    """Items of late runs with their material."""
-    r = domain.runs(spark, d).filter(F.col("created_at") >= F.to_timestamp_ntz(F.lit(f"{SINCE} 00:00:00"))).select("run_id", "client_id", "created_at")
+def priced(spark: SparkSession, d: str) -> DataFrame:
+    """Items with their material and run."""
+    r = domain.runs(spark, d).select("run_id", "client_id", "created_at")
     return domain.items(spark, d).join(domain.materials(spark, d).drop("name"), "material_id").join(r, "run_id")
 
 
@@ -38,10 +37,10 @@ TIERS = [("a", 0.0, 10.0, 1000.0), ("a", 10.0, 40.0, 900.0), ("a", 40.0, None, 8
 TIER_COLUMNS = "scale string, scale_from double, scale_to double, tier_rate double"
 
 
-@register("j10_scale_tier", sql("SELECT run_id, line_number, material_id, quantity, tier_rate FROM late JOIN tiers ON quantity >= scale_from AND (scale_to IS NULL OR quantity < scale_to)", late=LATE, tiers=values(TIER_COLUMNS, TIERS)))
+@register("j10_scale_tier", sql("SELECT run_id, line_number, material_id, quantity, tier_rate FROM priced JOIN tiers ON quantity >= scale_from AND (scale_to IS NULL OR quantity < scale_to)", priced=PRICED, tiers=values(TIER_COLUMNS, TIERS)))
 def j10(spark, d):
     """from <= quantity < to; the last tier is open."""
-    rows = late(spark, d).withColumn("scale", F.lit("a"))
+    rows = priced(spark, d).withColumn("scale", F.lit("a"))
     return joins.interval(rows, literal(spark, TIER_COLUMNS, TIERS), ["scale"], "quantity", "scale_from", "scale_to").select("run_id", "line_number", "material_id", "quantity", "tier_rate")
 
 
@@ -51,17 +50,17 @@ CONDITIONS = [
 ]
 CONDITION_COLUMNS = "lvl int, c5 long, m5 long, category string, condition_type string, rate_type string, rate double"
 LEVELS = {1: ["c5", "m5"], 2: ["c5", "category"], 3: ["category"], 4: ["m5"]}
-CASCADE = "SELECT l.*, lvl, condition_type, rate_type, rate FROM (SELECT *, client_id % 5 AS c5, material_id % 5 AS m5 FROM late) l JOIN conditions k ON CASE lvl WHEN 1 THEN l.c5 = k.c5 AND l.m5 = k.m5 WHEN 2 THEN l.c5 = k.c5 AND l.category = k.category WHEN 3 THEN l.category = k.category ELSE l.m5 = k.m5 AND condition_type = 'BASE_PRICE' END"
+CASCADE = "SELECT l.*, lvl, condition_type, rate_type, rate FROM (SELECT *, client_id % 5 AS c5, material_id % 5 AS m5 FROM priced) l JOIN conditions k ON CASE lvl WHEN 1 THEN l.c5 = k.c5 AND l.m5 = k.m5 WHEN 2 THEN l.c5 = k.c5 AND l.category = k.category WHEN 3 THEN l.category = k.category ELSE l.m5 = k.m5 AND condition_type = 'BASE_PRICE' END"
 
 
 @register("p01_agreement_prices", sql(f"""SELECT run_id, line_number, material_id, quantity, item_price, supplier_id, effective_at, lvl AS level, round(base, 4) AS base, round(taxed * t / 100, 4) AS tax, round(taxed * (1 + t / 100) + lme, 4) AS net FROM (
  SELECT *, base * (1 - disc / 100) + sur AS taxed FROM (SELECT run_id, line_number, material_id, quantity, item_price, supplier_id, effective_at, min(lvl) AS lvl, sum(rate) FILTER (condition_type = 'BASE_PRICE') AS base, coalesce(sum(rate) FILTER (condition_type = 'DISCOUNT'), 0) AS disc,
  coalesce(sum(rate) FILTER (condition_type = 'SURCHARGE'), 0) AS sur, coalesce(sum(rate) FILTER (condition_type = 'TAX'), 0) AS t, coalesce(sum(rate) FILTER (condition_type = 'LME'), 0) AS lme
- FROM (SELECT *, min(lvl) OVER (PARTITION BY run_id, line_number, material_id, quantity, item_price, supplier_id, effective_at) AS best FROM ({CASCADE})) WHERE lvl = best GROUP BY run_id, line_number, material_id, quantity, item_price, supplier_id, effective_at))""", late=LATE, conditions=values(CONDITION_COLUMNS, CONDITIONS)))
+ FROM (SELECT *, min(lvl) OVER (PARTITION BY run_id, line_number, material_id, quantity, item_price, supplier_id, effective_at) AS best FROM ({CASCADE})) WHERE lvl = best GROUP BY run_id, line_number, material_id, quantity, item_price, supplier_id, effective_at))""", priced=PRICED, conditions=values(CONDITION_COLUMNS, CONDITIONS)))
 def p01(spark, d):
     """The first access level with a condition gives all conditions; they are then evaluated in order of dependence."""
     kinds = literal(spark, CONDITION_COLUMNS, CONDITIONS)
-    items = late(spark, d).dropDuplicates(KEY).withColumn("c5", F.col("client_id") % 5).withColumn("m5", F.col("material_id") % 5)
+    items = priced(spark, d).dropDuplicates(KEY).withColumn("c5", F.col("client_id") % 5).withColumn("m5", F.col("material_id") % 5)
     levels = []
     for n, on in LEVELS.items():
         own = kinds.filter(F.col("lvl") == n)
@@ -73,14 +72,14 @@ def p01(spark, d):
 
 RULES = [(None, None, None, 0.20, 0.05, 0.02, 1), ("ECONOMY", None, None, 0.25, 0.05, 0.02, 2), ("ECONOMY", "Brand#11", None, 0.15, 0.04, 0.01, 3), (None, "Brand#11", None, 0.30, 0.05, 0.03, 4), (None, None, 3, 0.22, 0.05, 0.02, 5)]
 RULE_COLUMNS = "category string, origin string, client_id long, markup double, logistics double, risk double, rule int"
-RULED = """SELECT l.*, k.markup, k.logistics, k.risk, k.rule FROM late l JOIN rules k ON (k.category IS NULL OR k.category = l.category) AND (k.origin IS NULL OR k.origin = l.origin) AND (k.client_id IS NULL OR k.client_id = l.client_id)
+RULED = """SELECT l.*, k.markup, k.logistics, k.risk, k.rule FROM priced l JOIN rules k ON (k.category IS NULL OR k.category = l.category) AND (k.origin IS NULL OR k.origin = l.origin) AND (k.client_id IS NULL OR k.client_id = l.client_id)
  QUALIFY row_number() OVER (PARTITION BY l.run_id, l.line_number, l.material_id, l.quantity, l.item_price, l.supplier_id, l.effective_at ORDER BY k.client_id IS NOT NULL DESC, k.origin IS NOT NULL DESC, k.category IS NOT NULL DESC, k.rule DESC) = 1"""
 PRICE = "floor(base_cost * (1 + (CASE WHEN quantity > 40 THEN -10.0 WHEN quantity > 20 THEN -5.0 ELSE 0.0 END) / 100) * (1 + greatest(markup, CASE WHEN category = 'PROMO' THEN 0.22 ELSE 0.18 END) + logistics + risk) * 1.02 / 10 + 0.5) * 10"
 
 
 def ruled(spark: SparkSession, d: str) -> DataFrame:
     dims = ["client_id", "origin", "category"]
-    return pricing.most_specific(late(spark, d).dropDuplicates(KEY), literal(spark, RULE_COLUMNS, RULES), KEY, dims, [F.desc("rule")])
+    return pricing.most_specific(priced(spark, d).dropDuplicates(KEY), literal(spark, RULE_COLUMNS, RULES), KEY, dims, [F.desc("rule")])
 
 
 def rule_price():
@@ -89,12 +88,12 @@ def rule_price():
     return pricing.unit_price(F.col("base_cost"), pct, F.col("markup"), F.col("logistics"), F.col("risk"), floor, F.lit(0.02), F.lit(0.0))
 
 
-@register("p04_rule_resolution", sql("SELECT run_id, line_number, material_id, quantity, rule FROM ruled", late=LATE, rules=values(RULE_COLUMNS, RULES), ruled=RULED))
+@register("p04_rule_resolution", sql("SELECT run_id, line_number, material_id, quantity, rule FROM ruled", priced=PRICED, rules=values(RULE_COLUMNS, RULES), ruled=RULED))
 def p04(spark, d):
     return ruled(spark, d).select("run_id", "line_number", "material_id", "quantity", "rule")
 
 
-@register("p10_unit_prices", sql(f"SELECT run_id, line_number, material_id, quantity, {PRICE} AS price, round(100 * ({PRICE} - base_cost) / nullif({PRICE}, 0), 8) AS margin_on_price_pct, round(100 * ({PRICE} - base_cost) / nullif({PRICE}, 0), 8) < 18 AS needs_approval FROM ruled", late=LATE, rules=values(RULE_COLUMNS, RULES), ruled=RULED))
+@register("p10_unit_prices", sql(f"SELECT run_id, line_number, material_id, quantity, {PRICE} AS price, round(100 * ({PRICE} - base_cost) / nullif({PRICE}, 0), 8) AS margin_on_price_pct, round(100 * ({PRICE} - base_cost) / nullif({PRICE}, 0), 8) < 18 AS needs_approval FROM ruled", priced=PRICED, rules=values(RULE_COLUMNS, RULES), ruled=RULED))
 def p10(spark, d):
     """Quantity break, rule, margin floor, regional adjustment, rounding; the margin here is on price, not on cost."""
     out = ruled(spark, d).withColumn("price", rule_price())
@@ -109,12 +108,12 @@ def p08(spark, d):
 
 RATES = [("ECONOMY", "weight", 0.5, 20.0), ("PROMO", "value", 0.01, 15.0), ("STANDARD", "volume", 80.0, 25.0), ("SMALL", "flat", 40.0, 10.0)]
 RATE_COLUMNS = "category string, method string, rate double, least double"
-LANDED = "SELECT *, greatest(CASE method WHEN 'weight' THEN quantity * size * rate WHEN 'value' THEN item_price * rate WHEN 'volume' THEN quantity * size / 500.0 * rate ELSE coalesce(rate, 30.0) END, coalesce(least, 5.0)) AS freight, 12.0 + 150.0 / count(*) OVER (PARTITION BY run_id) AS handling FROM late LEFT JOIN rates USING (category)"
+LANDED = "SELECT *, greatest(CASE method WHEN 'weight' THEN quantity * size * rate WHEN 'value' THEN item_price * rate WHEN 'volume' THEN quantity * size / 500.0 * rate ELSE coalesce(rate, 30.0) END, coalesce(least, 5.0)) AS freight, 12.0 + 150.0 / count(*) OVER (PARTITION BY run_id) AS handling FROM priced LEFT JOIN rates USING (category)"
 LANDED2 = "SELECT *, greatest((item_price + freight) * 0.004 * 1.1, 5.0) AS insurance, coalesce(CASE WHEN material_id % 7 = 0 THEN 25.0 END, item_price * CASE WHEN material_id % 5 = 0 THEN 4.0 END / 100, item_price * 2.5 / 100) AS duty FROM landed"
 
 
 def landed(spark: SparkSession, d: str) -> DataFrame:
-    rows = late(spark, d).join(literal(spark, RATE_COLUMNS, RATES), "category", "left")
+    rows = priced(spark, d).join(literal(spark, RATE_COLUMNS, RATES), "category", "left")
     weight = F.col("quantity") * F.col("size")
     value, m = F.col("item_price"), F.col("material_id")
     rows = rows.withColumn("freight", pricing.freight(weight, value, weight / 500.0, F.col("method"), F.coalesce("rate", F.lit(30.0)), F.coalesce("least", F.lit(5.0))))
@@ -123,7 +122,7 @@ def landed(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("duty", pricing.duty(F.when(m % 7 == 0, 25.0), F.when(m % 5 == 0, 4.0), F.lit(2.5), value))
 
 
-@register("p21_landed_cost", sql("SELECT run_id, line_number, material_id, quantity, round(freight, 6) AS freight, round(insurance, 6) AS insurance, round(handling, 6) AS handling, round(duty, 6) AS duty, round(item_price + duty + freight + insurance + handling, 6) AS landed FROM landed2", late=LATE, rates=values(RATE_COLUMNS, RATES), landed=LANDED, landed2=LANDED2))
+@register("p21_landed_cost", sql("SELECT run_id, line_number, material_id, quantity, round(freight, 6) AS freight, round(insurance, 6) AS insurance, round(handling, 6) AS handling, round(duty, 6) AS duty, round(item_price + duty + freight + insurance + handling, 6) AS landed FROM landed2", priced=PRICED, rates=values(RATE_COLUMNS, RATES), landed=LANDED, landed2=LANDED2))
 def p21(spark, d):
     """Freight by method with a minimum, insurance, handling with a share of fixed costs, duty by precedence."""
     parts = ["freight", "insurance", "handling", "duty"]
@@ -131,7 +130,7 @@ def p21(spark, d):
     return landed(spark, d).select("run_id", "line_number", "material_id", "quantity", *[F.round(c, 6).alias(c) for c in parts], whole.alias("landed"))
 
 
-@register("q51_rollups", sql("SELECT run_id, round(sum(duty), 6) AS duty, round(sum(freight + insurance + handling), 6) AS logistics, round(sum(item_price + duty + freight + insurance + handling), 6) AS landed, count(*) AS n FROM landed2 GROUP BY run_id", late=LATE, rates=values(RATE_COLUMNS, RATES), landed=LANDED, landed2=LANDED2))
+@register("q51_rollups", sql("SELECT run_id, round(sum(duty), 6) AS duty, round(sum(freight + insurance + handling), 6) AS logistics, round(sum(item_price + duty + freight + insurance + handling), 6) AS landed, count(*) AS n FROM landed2 GROUP BY run_id", priced=PRICED, rates=values(RATE_COLUMNS, RATES), landed=LANDED, landed2=LANDED2))
 def q51(spark, d):
     log = F.col("freight") + F.col("insurance") + F.col("handling")
     return landed(spark, d).groupBy("run_id").agg(F.round(F.sum("duty"), 6).alias("duty"), F.round(F.sum(log), 6).alias("logistics"), F.round(F.sum(F.col("item_price") + F.col("duty") + log), 6).alias("landed"), F.count(F.lit(1)).alias("n"))
@@ -156,10 +155,10 @@ def p18(spark, d):
     return one.select("run_id", amount.alias("tax"), F.round(F.col("total_price") + amount, 2).alias("total"), label.alias("label"))
 
 
-@register("p22_version_diff", sql("SELECT coalesce(a.material_id, b.material_id) AS material_id, round(a.price, 4) AS old_price, round(b.price, 4) AS new_price, CASE WHEN a.material_id IS NULL THEN 'added' WHEN b.material_id IS NULL THEN 'removed' WHEN a.price = b.price THEN 'unchanged' ELSE 'modified' END AS status FROM (SELECT material_id, max(item_price) AS price FROM items WHERE run_id % 2 = 0 AND run_id < 3000 GROUP BY material_id) a FULL JOIN (SELECT material_id, max(item_price) AS price FROM items WHERE run_id % 2 = 1 AND run_id < 3000 GROUP BY material_id) b ON a.material_id = b.material_id"))
+@register("p22_version_diff", sql("SELECT coalesce(a.material_id, b.material_id) AS material_id, round(a.price, 4) AS old_price, round(b.price, 4) AS new_price, CASE WHEN a.material_id IS NULL THEN 'added' WHEN b.material_id IS NULL THEN 'removed' WHEN a.price = b.price THEN 'unchanged' ELSE 'modified' END AS status FROM (SELECT material_id, max(item_price) AS price FROM items WHERE run_id % 2 = 0 GROUP BY material_id) a FULL JOIN (SELECT material_id, max(item_price) AS price FROM items WHERE run_id % 2 = 1 GROUP BY material_id) b ON a.material_id = b.material_id"))
 def p22(spark, d):
     """Two versions of a price list, by material."""
-    version = lambda odd: domain.items(spark, d).filter((F.col("run_id") % 2 == odd) & (F.col("run_id") < 3000)).groupBy("material_id").agg(F.max("item_price").alias("price"))
+    version = lambda odd: domain.items(spark, d).filter(F.col("run_id") % 2 == odd).groupBy("material_id").agg(F.max("item_price").alias("price"))
     out = joins.difference(version(0), version(1), ["material_id"], ["price"])
     return out.select("material_id", F.round("old_price", 4).alias("old_price"), F.round("new_price", 4).alias("new_price"), "status")
 
