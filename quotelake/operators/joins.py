@@ -21,19 +21,19 @@ def as_of(left: DataFrame, series: DataFrame, key: str, at: str, since: str, val
     return q.unionByName(p).withColumn(out, last).filter(F.col("_o") == kind).select("_row.*", out)
 
 
-def interval(left: DataFrame, tiers: DataFrame, on: list[str], value: str, start: str, end: str, order: list[str] | None = None) -> DataFrame:
-    """start <= value < end (open end: null), the first tier by start; rows without a tier stay. `tiers` is a small rate table that the optimiser may broadcast."""
-    name = "_row"
-    rows = left.withColumn(name, F.monotonically_increasing_id()) if order is None else left
-    keys = [name] if order is None else order
-    hit = (F.col(value) >= F.col(start)) & (F.col(end).isNull() | (F.col(value) < F.col(end)))
-    t = tiers.select(*[F.col(c).alias(f"_t_{c}") if c in on else F.col(c) for c in tiers.columns])
-    cond = hit
+def interval(left: DataFrame, tiers: DataFrame, on: list[str], value: str, start: str, end: str) -> DataFrame:
+    """start <= value < end (open end: null), the first tier by start; rows without a tier stay.
+
+    Overlaps are cut out of the tiers, so that a row meets one tier at most and the rows themselves need no shuffle
+    where the optimiser broadcasts the tiers. `start` of the result is the tier's start after cutting.
+    """
+    before = F.max(F.coalesce(F.col(end), F.lit(float("inf")))).over(Window.partitionBy(*on).orderBy(start, F.asc_nulls_last(end)).rowsBetween(Window.unboundedPreceding, -1))
+    t = tiers.withColumn(start, F.greatest(F.col(start), before)).filter((F.col(start) < float("inf")) & (F.col(end).isNull() | (F.col(start) < F.col(end))))
+    t = t.select(*[F.col(c).alias(f"_t_{c}") if c in on else F.col(c) for c in tiers.columns])
+    cond = (F.col(value) >= F.col(start)) & (F.col(end).isNull() | (F.col(value) < F.col(end)))
     for c in on:
         cond = cond & (F.col(c) == F.col(f"_t_{c}"))
-    out = rows.join(t, cond, "left").drop(*[f"_t_{c}" for c in on])
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(start)))
-    return out.withColumn("_first", first).filter("_first = 1").drop("_first", *([name] if order is None else []))
+    return left.join(t, cond, "left").drop(*[f"_t_{c}" for c in on])
 
 
 def cascade(items: DataFrame, levels: list[tuple[DataFrame, list[str]]], key: list[str]) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,18 +32,23 @@ def evaluate(conditions: DataFrame, key: list[str], kind: str = "condition_type"
     return s.select(*key, *[F.round(c, 4).alias(c) for c in ("base", "discount", "surcharge", "freight", "tax", "lme", "net")])
 
 
-def most_specific(items: DataFrame, rules: DataFrame, key: list[str], dims: list[str], tie: list[Column]) -> DataFrame:
+def most_specific(items: DataFrame, rules: DataFrame, dims: list[str], tie: list[Column]) -> DataFrame:
     """Each item with the rule that fits it on most dimensions, the first of `dims` counting most. A rule's null dimension fits all.
 
-    `rules` is a small table that the optimiser may broadcast. Items without a rule stay.
+    One equality join for each pattern of given dimensions, with one rule for each key: items are never multiplied or
+    ranked, and not shuffled where the rules are small. Items without a rule stay.
     """
-    r = rules.select(*[F.col(c).alias(f"rule_{c}") if c in dims else F.col(c) for c in rules.columns])
-    fit = F.lit(True)
-    for c in dims:
-        fit = fit & (F.col(f"rule_{c}").isNull() | (F.col(f"rule_{c}") == F.col(c)))
-    order = [F.col(f"rule_{c}").isNotNull().cast("int").desc() for c in dims] + tie
-    w = Window.partitionBy(*key).orderBy(*order)
-    return items.join(r, fit, "left").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", *[f"rule_{c}" for c in dims])
+    values = [c for c in rules.columns if c not in dims]
+    out, best = items, []
+    for n, given in enumerate(sorted(product((True, False), repeat=len(dims)), reverse=True)):
+        on = [c for c, g in zip(dims, given) if g]
+        fits = reduce(and_, [F.col(c).isNotNull() if g else F.col(c).isNull() for c, g in zip(dims, given)])
+        w = Window.partitionBy(*(on or [F.lit(1)])).orderBy(*tie)
+        own = rules.filter(fits).withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*on, F.struct(*values).alias(f"_rule{n}"))
+        out = out.join(own, on if on else F.lit(True), "left")
+        best.append(f"_rule{n}")
+    rule = F.coalesce(*best)
+    return out.select(*items.columns, *[rule[v].alias(v) for v in values])
 
 
 def unit_price(cost: Column, break_pct: Column, markup: Column, logistics: Column, risk: Column, floor: Column, region: Column, industry: Column) -> Column:

@@ -79,7 +79,7 @@ PRICE = "floor(base_cost * (1 + (CASE WHEN quantity > 40 THEN -10.0 WHEN quantit
 
 def ruled(spark: SparkSession, d: str) -> DataFrame:
     dims = ["client_id", "origin", "category"]
-    return pricing.most_specific(priced(spark, d).dropDuplicates(KEY), literal(spark, RULE_COLUMNS, RULES), KEY, dims, [F.desc("rule")])
+    return pricing.most_specific(priced(spark, d).dropDuplicates(KEY), literal(spark, RULE_COLUMNS, RULES), dims, [F.desc("rule")])
 
 
 def rule_price():

@@ -49,6 +49,20 @@ def test_tiers(spark):
     assert got == {("a", 5.0): 1000, ("a", 10.0): 900, ("a", 20.0): 900, ("a", 50.0): 800, ("a", 80.0): 800, ("b", 1.0): None}
 
 
+def test_overlapping_tiers(spark):
+    tiers = spark.createDataFrame([("a", 0.0, 10.0, 1), ("a", 5.0, 20.0, 2), ("a", 8.0, 9.0, 3), ("a", 15.0, None, 4), ("a", 30.0, 40.0, 5)], "s string, f double, t double, rate int")
+    q = spark.createDataFrame([("a", x) for x in (-1.0, 0.0, 5.0, 9.5, 10.0, 19.0, 20.0, 35.0)], "s string, q double")
+    got = {r.q: r.rate for r in joins.interval(q, tiers, ["s"], "q", "f", "t").collect()}
+    assert got == {-1.0: None, 0.0: 1, 5.0: 1, 9.5: 1, 10.0: 2, 19.0: 2, 20.0: 4, 35.0: 4}
+
+
+def test_most_specific_rule(spark):
+    rules = spark.createDataFrame([(None, None, 1), ("c", None, 2), (None, "o", 3), ("c", "o", 4), ("c", "o", 5)], "client string, origin string, rule int")
+    items = spark.createDataFrame([("c", "o"), ("c", "x"), ("y", "o"), ("y", "x"), (None, None)], "client string, origin string")
+    got = {tuple(r)[:2]: r.rule for r in pricing.most_specific(items, rules, ["client", "origin"], [F.desc("rule")]).collect()}
+    assert got == {("c", "o"): 5, ("c", "x"): 2, ("y", "o"): 3, ("y", "x"): 1, (None, None): 1}
+
+
 def test_cascade_takes_the_first_level_whole(spark):
     items = spark.createDataFrame([(1, "m", "g"), (2, "m2", "g"), (3, "x", "y")], "id int, m string, g string")
     by_m = spark.createDataFrame([("m", 1), ("m", 2)], "m string, v int")
