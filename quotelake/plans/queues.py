@@ -12,12 +12,13 @@ from quotelake.registry import register
 from quotelake.sources import domain
 from quotelake.sources.domain import sql
 
-N = F.count(F.lit(1))
+def n_rows():
+    return F.count(F.lit(1))
 
 
 @register("q23_rfq_count", sql("SELECT count(*) AS n FROM runs"))
 def q23(spark, d):
-    return domain.runs(spark, d).agg(N.alias("n"))
+    return domain.runs(spark, d).agg(n_rows().alias("n"))
 
 
 @register("q24_needs_attention", sql("SELECT run_id, client_id, status FROM runs WHERE status = 'pending_approval' AND created_at < TIMESTAMP '1996-01-01'"))
@@ -45,7 +46,7 @@ def f07b(spark, d):
  WHERE status = 'pending_approval' ORDER BY submitted_at, a.run_id LIMIT 50""", approvals=APPROVALS))
 def q28(spark, d, oldest_first: bool = True, limit: int = 50):
     """Pending runs with statistics of their items, aggregated before the join."""
-    stats = domain.items(spark, d).groupBy("run_id").agg(N.alias("n_items"), F.countDistinct("material_id").alias("n_materials"), F.sum("item_price").alias("items_value"))
+    stats = domain.items(spark, d).groupBy("run_id").agg(n_rows().alias("n_items"), F.countDistinct("material_id").alias("n_materials"), F.sum("item_price").alias("items_value"))
     pending = approvals(spark, d).filter(F.col("status") == "pending_approval").join(domain.clients(spark, d), "client_id").join(stats, "run_id", "left")
     days = F.floor(F.timestamp_diff("SECOND", F.col("submitted_at"), F.to_timestamp_ntz(F.lit(f"{domain.AS_OF} 00:00:00"))) / 86400.0)
     order = F.asc("submitted_at") if oldest_first else F.desc("submitted_at")
@@ -60,13 +61,13 @@ def q27(spark, d):
 @register("q29_usage_by_service", sql("SELECT service, count(*) AS calls, sum(tokens)::BIGINT AS tokens, round(sum(cost), 4) AS cost, round(avg(tokens), 6) AS average_tokens, max(tokens) AS most_tokens, count(*) FILTER (NOT success) AS failed FROM usage GROUP BY service"))
 def q29(spark, d):
     return domain.usage(spark, d).groupBy("service").agg(
-        N.alias("calls"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 4).alias("cost"), F.round(F.avg("tokens"), 6).alias("average_tokens"), F.max("tokens").alias("most_tokens"), count_if(~F.col("success")).alias("failed")
+        n_rows().alias("calls"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 4).alias("cost"), F.round(F.avg("tokens"), 6).alias("average_tokens"), F.max("tokens").alias("most_tokens"), count_if(~F.col("success")).alias("failed")
     )
 
 
 @register("q30_usage_daily", sql("SELECT CAST(created_at AS DATE) AS day, tenant_id, service, count(*) AS calls, round(sum(cost), 4) AS cost FROM usage GROUP BY ALL"))
 def q30(spark, d):
-    return domain.usage(spark, d).groupBy(F.to_date("created_at").alias("day"), "tenant_id", "service").agg(N.alias("calls"), F.round(F.sum("cost"), 4).alias("cost"))
+    return domain.usage(spark, d).groupBy(F.to_date("created_at").alias("day"), "tenant_id", "service").agg(n_rows().alias("calls"), F.round(F.sum("cost"), 4).alias("cost"))
 
 
 @register("q31_budget", sql("SELECT tenant_id, round(used, 4) AS used, round(100 * used / 2000.0, 4) AS used_pct, CASE WHEN 100 * used / 2000.0 > 90 THEN 'critical' WHEN 100 * used / 2000.0 > 75 THEN 'warning' ELSE 'ok' END AS alert FROM (SELECT tenant_id, sum(cost) AS used FROM usage WHERE created_at >= TIMESTAMP '2024-01-02' AND created_at < TIMESTAMP '2024-02-01' GROUP BY tenant_id)"))
@@ -79,7 +80,7 @@ def q31(spark, d, budget: float = 2000.0):
 
 @register("q32_event_stats", sql("SELECT service AS event_type, count(*) AS n, count(DISTINCT tenant_id) AS actors, min(created_at) AS first_at, max(created_at) AS last_at FROM usage GROUP BY service"))
 def q32(spark, d):
-    return domain.usage(spark, d).groupBy(F.col("service").alias("event_type")).agg(N.alias("n"), F.countDistinct("tenant_id").alias("actors"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
+    return domain.usage(spark, d).groupBy(F.col("service").alias("event_type")).agg(n_rows().alias("n"), F.countDistinct("tenant_id").alias("actors"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
 
 
 @register("q33_extraction_stats", "WITH x AS (SELECT lang, (n_chars % 100) / 100.0 AS c FROM documents) SELECT lang, count(*) AS n, round(avg(c), 6) AS confidence, count(*) FILTER (c >= 0.9) AS high, count(*) FILTER (c >= 0.7 AND c < 0.9) AS medium, count(*) FILTER (c < 0.7) AS low, round(100.0 * count(*) FILTER (c < 0.7) / count(*), 4) AS review_rate FROM x GROUP BY lang")
@@ -88,8 +89,8 @@ def q33(spark, d):
     c = F.col("c")
     x = domain.read(spark, d, "documents").select("lang", ((F.col("n_chars") % 100) / 100.0).alias("c"))
     return x.groupBy("lang").agg(
-        N.alias("n"), F.round(F.avg(c), 6).alias("confidence"), count_if(c >= 0.9).alias("high"), count_if((c >= 0.7) & (c < 0.9)).alias("medium"), count_if(c < 0.7).alias("low"),
-        F.round(100.0 * count_if(c < 0.7) / N, 4).alias("review_rate"),
+        n_rows().alias("n"), F.round(F.avg(c), 6).alias("confidence"), count_if(c >= 0.9).alias("high"), count_if((c >= 0.7) & (c < 0.9)).alias("medium"), count_if(c < 0.7).alias("low"),
+        F.round(100.0 * count_if(c < 0.7) / n_rows(), 4).alias("review_rate"),
     )
 
 
@@ -98,12 +99,12 @@ def q34(spark, d):
     """Nested documents: sizes of parts, from an array of structs for each parent."""
     nested = domain.read(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("t"))
     answers = F.size(F.filter("t", lambda x: x["role"] == "assistant"))
-    return nested.agg(N.alias("n"), F.round(F.avg(F.size("t")), 6).alias("average_turns"), count_if(answers > 0).alias("answered"))
+    return nested.agg(n_rows().alias("n"), F.round(F.avg(F.size("t")), 6).alias("average_turns"), count_if(answers > 0).alias("answered"))
 
 
 @register("q35_run_totals", sql("SELECT r.run_id, coalesce(n, 0) AS n_items, round(v, 2) AS items_total FROM runs r LEFT JOIN (SELECT run_id, count(*) AS n, sum(item_price) AS v FROM items GROUP BY run_id) USING (run_id)"))
 def q35(spark, d):
-    s = domain.items(spark, d).groupBy("run_id").agg(N.alias("n"), F.sum("item_price").alias("v"))
+    s = domain.items(spark, d).groupBy("run_id").agg(n_rows().alias("n"), F.sum("item_price").alias("v"))
     return domain.runs(spark, d).join(s, "run_id", "left").select("run_id", F.coalesce("n", F.lit(0)).alias("n_items"), F.round("v", 2).alias("items_total"))
 
 
@@ -117,14 +118,14 @@ def q36(spark, d):
 def q37_compat(spark, d):
     """Run totals summed once for each item, and a status that never occurs: as the view was written."""
     rows = domain.runs(spark, d).join(domain.items(spark, d).select("run_id"), "run_id", "left")
-    return rows.groupBy(F.to_date("created_at").alias("day")).agg(N.alias("n"), count_if(F.col("status") == "pending").alias("pending"), F.round(F.sum("total_price"), 2).alias("value"))
+    return rows.groupBy(F.to_date("created_at").alias("day")).agg(n_rows().alias("n"), count_if(F.col("status") == "pending").alias("pending"), F.round(F.sum("total_price"), 2).alias("value"))
 
 
 @register("q37_margin_view_fixed", sql("SELECT CAST(created_at AS DATE) AS day, count(*) AS n, count(*) FILTER (status IN ('pending', 'pending_approval')) AS pending, round(sum(total_price), 2) AS value, round(avg((total_price - total_cost) / nullif(total_cost, 0)), 6) AS margin FROM runs LEFT JOIN costs USING (run_id) GROUP BY ALL", costs=COSTS))
 def q37_fixed(spark, d):
     """As meant: each run once, both names of the status."""
     m = safe_div(F.col("total_price") - F.col("total_cost"), F.col("total_cost"))
-    return run_costs(spark, d).groupBy(F.to_date("created_at").alias("day")).agg(N.alias("n"), count_if(F.col("status").isin("pending", "pending_approval")).alias("pending"), F.round(F.sum("total_price"), 2).alias("value"), F.round(F.avg(m), 6).alias("margin"))
+    return run_costs(spark, d).groupBy(F.to_date("created_at").alias("day")).agg(n_rows().alias("n"), count_if(F.col("status").isin("pending", "pending_approval")).alias("pending"), F.round(F.sum("total_price"), 2).alias("value"), F.round(F.avg(m), 6).alias("margin"))
 
 
 @register("q38_runs_with_items", sql("SELECT r.run_id, status, line_number, material_id, round(item_price, 2) AS item_price FROM runs r LEFT JOIN items USING (run_id) WHERE r.created_at >= TIMESTAMP '2000-12-01'"))
@@ -139,7 +140,7 @@ PROFILE = "count(*) AS n, round(avg(base_cost), 6) AS average, min(base_cost) AS
 @register("q39_catalogue_profile", sql(f"SELECT 'category' AS by, category AS value, {PROFILE} FROM materials GROUP BY category UNION ALL SELECT 'origin', origin, {PROFILE} FROM materials GROUP BY origin"))
 def q39(spark, d):
     def profile(by):
-        return domain.materials(spark, d).groupBy(F.lit(by).alias("by"), F.col(by).alias("value")).agg(N.alias("n"), F.round(F.avg("base_cost"), 6).alias("average"), F.min("base_cost").alias("lowest"), F.max("base_cost").alias("highest"))
+        return domain.materials(spark, d).groupBy(F.lit(by).alias("by"), F.col(by).alias("value")).agg(n_rows().alias("n"), F.round(F.avg("base_cost"), 6).alias("average"), F.min("base_cost").alias("lowest"), F.max("base_cost").alias("highest"))
 
     return profile("category").unionByName(profile("origin"))
 
@@ -151,7 +152,7 @@ def q40(spark, d):
 
 @register("q41_price_bands", sql("SELECT CASE WHEN base_cost < 920 THEN 'low' WHEN base_cost < 960 THEN 'middle' ELSE 'high' END AS band, count(*) AS n, min(base_cost) AS lowest FROM materials GROUP BY ALL"))
 def q41(spark, d):
-    return domain.materials(spark, d).groupBy(bucket(F.col("base_cost"), [(920, "low"), (960, "middle")], "high").alias("band")).agg(N.alias("n"), F.min("base_cost").alias("lowest")).orderBy("lowest")
+    return domain.materials(spark, d).groupBy(bucket(F.col("base_cost"), [(920, "low"), (960, "middle")], "high").alias("band")).agg(n_rows().alias("n"), F.min("base_cost").alias("lowest")).orderBy("lowest")
 
 
 @register("q42_cheapest", sql("SELECT category, material_id, base_cost FROM materials QUALIFY row_number() OVER (PARTITION BY category ORDER BY base_cost, material_id) <= 3"))
@@ -176,7 +177,7 @@ def q44(spark, d):
 @register("q45_duplicates", sql("SELECT run_id, line_number, count(*) AS n, string_agg(material_id, ',' ORDER BY material_id) AS ids FROM items GROUP BY ALL HAVING count(*) > 1"))
 def q45(spark, d):
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("material_id")), lambda x: x.cast("string")), ",")
-    return domain.items(spark, d).groupBy("run_id", "line_number").agg(N.alias("n"), ids.alias("ids")).filter("n > 1")
+    return domain.items(spark, d).groupBy("run_id", "line_number").agg(n_rows().alias("n"), ids.alias("ids")).filter("n > 1")
 
 
 @register("j08_runs_without_items", sql("SELECT run_id FROM runs WHERE NOT EXISTS (SELECT 1 FROM items i WHERE i.run_id = runs.run_id)"))
@@ -189,7 +190,7 @@ def j08(spark, d):
  string_agg(DISTINCT category, ',' ORDER BY category) AS categories, count(*) FILTER (flag = 'R') AS returned FROM quoted GROUP BY run_id""", quoted=QUOTED))
 def q46(spark, d):
     return quoted(spark, d).groupBy("run_id").agg(
-        N.alias("n_items"), F.round(F.avg("margin"), 6).alias("average_margin"), F.round(F.stddev_samp("margin"), 6).alias("margin_sd"), F.countDistinct("category").alias("n_categories"),
+        n_rows().alias("n_items"), F.round(F.avg("margin"), 6).alias("average_margin"), F.round(F.stddev_samp("margin"), 6).alias("margin_sd"), F.countDistinct("category").alias("n_categories"),
         F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), count_if(F.col("flag") == "R").alias("returned"),
     )
 
@@ -201,7 +202,7 @@ def q47(spark, d):
     """What was known of a client strictly before each run."""
     won = F.col("outcome") == "won"
     rows = domain.runs(spark, d)
-    h = joins.history(rows, "client_id", F.unix_micros(F.col("created_at").cast("timestamp")), {"earlier": N, "wins": count_if(won), "settled": F.count("outcome"), "last_win": F.max(F.when(won, F.col("created_at")))})
+    h = joins.history(rows, "client_id", F.unix_micros(F.col("created_at").cast("timestamp")), {"earlier": n_rows(), "wins": count_if(won), "settled": F.count("outcome"), "last_win": F.max(F.when(won, F.col("created_at")))})
     rate = F.coalesce(F.round(safe_div(F.col("wins").cast("double"), F.col("settled").cast("double")), 6), F.lit(0.5))
     return h.select(
         "run_id", "earlier", rate.alias("win_rate"), F.datediff(F.to_date("created_at"), F.to_date("last_win")).cast("long").alias("days_since_win"),
@@ -214,7 +215,7 @@ def q48(spark, d):
     """Runs of a client as numbered versions; the last is current."""
     w = Window.partitionBy("client_id")
     v = domain.runs(spark, d).select("client_id", "run_id", F.row_number().over(w.orderBy("created_at", "run_id")).cast("long").alias("version"))
-    n = domain.items(spark, d).groupBy("run_id").agg(N.alias("n"))
+    n = domain.items(spark, d).groupBy("run_id").agg(n_rows().alias("n"))
     return v.withColumn("is_current", F.col("version") == F.max("version").over(w)).join(n, "run_id", "left").select("client_id", "run_id", "version", "is_current", F.coalesce("n", F.lit(0)).alias("n_items"))
 
 
@@ -226,7 +227,7 @@ def q49(spark, d):
 
 @register("q50_backfill_audit", sql("SELECT count(*) AS n, count(outcome) AS filled, count(*) - count(outcome) AS missing FROM runs"))
 def q50(spark, d):
-    return domain.runs(spark, d).agg(N.alias("n"), F.count("outcome").alias("filled"), (N - F.count("outcome")).alias("missing"))
+    return domain.runs(spark, d).agg(n_rows().alias("n"), F.count("outcome").alias("filled"), (n_rows() - F.count("outcome")).alias("missing"))
 
 
 @register("q52_margin_spread", sql("SELECT run_id, round(stddev_pop(margin * 100), 6) AS spread FROM quoted GROUP BY run_id", quoted=QUOTED))
