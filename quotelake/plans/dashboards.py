@@ -44,11 +44,15 @@ STATS = f"""SELECT count(DISTINCT run_id) AS quotes, count(*) FILTER (status = '
 
 @register("q01_quote_stats", sql(STATS))
 def q01(spark, d):
+    return in_range(domain.runs(spark, d)).agg(*quote_stats())
+
+
+def quote_stats() -> list:
     s = F.col("status")
-    return in_range(domain.runs(spark, d)).agg(
+    return [
         F.countDistinct("run_id").alias("quotes"), count_if(s == "pending_approval").alias("pending"), count_if(s == "approved").alias("approved"),
         count_if(s == "rejected").alias("rejected"), F.round(F.sum("total_price"), 2).alias("value"), F.round(F.avg("total_price"), 4).alias("average"),
-    )
+    ]
 
 
 @register("q02_margins", sql(f"SELECT round(avg(m), 6) AS average, round(min(m), 6) AS lowest, round(max(m), 6) AS highest FROM (SELECT (total_price - total_cost) / nullif(total_cost, 0) AS m FROM runs JOIN costs USING (run_id) WHERE {IN_RANGE})", costs=COSTS))
@@ -74,10 +78,10 @@ def q03(spark, d):
  (SELECT count(*) AS before, sum(total_price) AS old FROM runs WHERE created_at >= TIMESTAMP '{BEFORE}' AND created_at < TIMESTAMP '{START}')"""))
 def q04(spark, d):
     """This period against the one before: a heuristic, as distinct runs now are compared with all runs then."""
-    runs = domain.runs(spark, d)
-    now = in_range(runs).agg(F.countDistinct("run_id").alias("n"), F.sum("total_price").alias("value"))
-    then = runs.filter(filters.half_open(F.col("created_at"), BEFORE, START)).agg(F.count(F.lit(1)).alias("before"), F.sum("total_price").alias("old"))
-    both = now.crossJoin(then)  # one row each
+    now, then = filters.day_range(F.col("created_at"), START, END), filters.half_open(F.col("created_at"), BEFORE, START)
+    both = domain.runs(spark, d).agg(
+        F.countDistinct(F.when(now, F.col("run_id"))).alias("n"), F.sum(F.when(now, F.col("total_price"))).alias("value"), count_if(then).alias("before"), F.sum(F.when(then, F.col("total_price"))).alias("old")
+    )
     change = percent_change(F.col("n").cast("double"), F.col("before").cast("double"))
     return both.select("n", "before", change.alias("change_pct"), percent_change(F.col("value"), F.col("old")).alias("value_change_pct"))
 
@@ -91,8 +95,9 @@ def q05(spark, d):
 
 @register("q06_dashboard", sql(f"SELECT s.*, m.average_margin FROM ({STATS}) s, (SELECT round(avg((total_price - total_cost) / nullif(total_cost, 0)), 6) AS average_margin FROM runs JOIN costs USING (run_id) WHERE {IN_RANGE}) m", costs=COSTS))
 def q06(spark, d):
-    """The dashboard's figures in one row."""
-    return q01(spark, d).crossJoin(q02(spark, d).select(F.col("average").alias("average_margin")))
+    """The dashboard's figures in one row and one pass."""
+    m = margin_on_cost(F.col("total_price"), F.col("total_cost"))
+    return in_range(run_costs(spark, d)).agg(*quote_stats(), F.round(F.avg(m), 6).alias("average_margin"))
 
 
 def win_loss() -> list:
