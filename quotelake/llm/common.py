@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,11 @@ def shared_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def first_rows(df: DataFrame, order: list[Column], k: int) -> list[Row]:
+    """The first k rows in a total order. The driver takes them from the first ranges, not k from each partition as after orderBy."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).take(k)
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch where its text column reaches `most` bytes; a single longer text is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Texts are hashed in slices of about so many bytes: some 40 bytes of memory for each.
+HASHED_BYTES = 1 << 20
 #: Random numbers for places in a word (from there on they repeat).
 PLACES = 65_536
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
