@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from quotelake.llm.common import shared_table, slices, table
-from quotelake.llm.hashing import MIX, Words, mixed, utf8
+from quotelake.llm.hashing import HASHED_BYTES, MIX, Words, mixed, utf8
 
 SIZE = 5
 #: Linked: DEN * overlap >= NUM * (one size + other size), which is a Jaccard similarity of 0.75 or more.
@@ -43,7 +43,7 @@ NUM, DEN = 3, 7
 #: Counters of a task's shingle sketch; the most counters that are broadcast.
 SKETCH_BITS, HEAVY_KEPT = 20, 65_536
 #: The most classes, or pairs of them, that are broadcast (under 100 bytes each); more are joined by a shuffle.
-MOST_BROADCAST = 4_000_000
+MOST_BROADCAST = 1_000_000
 
 
 class Shingles(Words):
@@ -88,7 +88,7 @@ def by_rows(docs: DataFrame, id_col: str, text_col: str, size: int, kernel, sche
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, shingles = kernel(), Shingles(size)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, HASHED_BYTES):
                 sets = shingles.of(*utf8(part.column(1)))
                 yield from work(part.column(0), sets, np.array([shingles.key(s) for s in sets], np.uint64))
         yield from work(None, [], None)
@@ -227,11 +227,12 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = shared_table(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = shared_table(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    sent = F.broadcast if labels.count() <= MOST_BROADCAST else (lambda df: df)
     while True:
-        near = edges.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "key").select("key", "label", F.least("label", "near").alias("new"))
+        near = edges.join(sent(labels.withColumnRenamed("key", "b")), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
+        step = near.join(sent(labels), "key").select("key", "label", F.least("label", "near").alias("new"))
         up = step.select(F.col("key").alias("new"), F.col("new").alias("top"))
-        after = shared_table(step.join(up, "new").select("key", "label", F.least("new", "top").alias("new")))
+        after = shared_table(step.join(sent(up), "new").select("key", "label", F.least("new", "top").alias("new")))
         labels = after.select("key", F.col("new").alias("label"))
         if after.filter(F.col("new") != F.col("label")).isEmpty():
             return labels
