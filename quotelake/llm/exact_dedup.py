@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import ascii_lower, shared_table, table
+from quotelake.llm.common import ascii_lower, first_rows, shared_table, table
 
 #: Counters of a Misra-Gries summary, and so the most rows that are broadcast.
 SLOTS = 2048
@@ -49,7 +49,8 @@ def frequent(digests: DataFrame, column: str, slots: int = SLOTS) -> DataFrame:
 
     # Sums of summaries fall short of a count by less than 1 row in slots + 1, so one that stands first stays.
     merged = digests.select(column).mapInPandas(summary, f"{column} string, n long").groupBy(column).agg(F.sum("n").alias("n"))
-    return merged.orderBy(F.desc("n"), column).limit(slots).select(column)
+    first = first_rows(merged, [F.desc("n"), F.asc(column)], slots)
+    return digests.sparkSession.createDataFrame([(r[column],) for r in first], f"{column} string")
 
 
 def exact_groups(digests: DataFrame, id_col: str, digest_col: str, slots: int = SLOTS) -> DataFrame:
