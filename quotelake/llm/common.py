@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts are handed to the Python kernels in slices of about so many bytes.
-SLICE_BYTES = 8 << 20
+#: Texts are handed to the Python kernels in slices of about so many bytes, from Arrow batches of at most so many rows.
+SLICE_BYTES, BATCH_ROWS = 8 << 20, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,13 @@ def first_rows(df: DataFrame, order: list[Column], k: int) -> list[Row]:
     return df.repartitionByRange(*order).sortWithinPartitions(*order).take(k)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Rows of documents are long: lower the session's rows of an Arrow batch, which Spark and each worker hold whole."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch where its text column reaches `most` bytes; a single longer text is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
@@ -74,4 +81,5 @@ def add_by_text(
                 made = work([x or "" for x in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
 
+    bound_batches(df.sparkSession)
     return kept.toDF(*names[: len(kept.columns)]).mapInArrow(run, schema).toDF(*(f.name for f in fields))

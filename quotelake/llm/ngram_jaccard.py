@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from quotelake.llm.common import shared_table, slices, table
+from quotelake.llm.common import bound_batches, shared_table, slices, table
 from quotelake.llm.hashing import HASHED_BYTES, MIX, Words, mixed, utf8
 
 SIZE = 5
@@ -93,6 +93,7 @@ def by_rows(docs: DataFrame, id_col: str, text_col: str, size: int, kernel, sche
                 yield from work(part.column(0), sets, np.array([shingles.key(s) for s in sets], np.uint64))
         yield from work(None, [], None)
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 

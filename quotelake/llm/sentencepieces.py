@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from quotelake.llm.common import add_by_text, table
 
 #: Chunks that a worker keeps before it starts its table anew, and characters of the longest one kept.
-TABLE_CHUNKS, CHUNK_CHARS = 500_000, 200
+TABLE_CHUNKS, CHUNK_CHARS = 150_000, 200
 MARK = "▁"
 #: The first space of a run that follows another character: it stands for the marker that opens the next chunk.
 OPENS = re.compile("(?<=[^ ]) ")
