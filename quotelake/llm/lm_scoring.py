@@ -16,6 +16,9 @@ plus the gains of its n-grams: a join of exploded n-grams with a table of gains,
 count tables are aggregated and joined by hash of the key. The HOT_KEPT most frequent n-grams would skew the
 join: their gains are broadcast and added while n-grams are exploded; the others are shuffled.
 
+That is `score`, for another corpus or a chosen vocabulary. The query is `score_whole`: by the documents' own counts
+of all words and n-grams, under 64-bit hashes, with no limit on their number.
+
 Null and empty texts have n_words 0, total 0 and a null score. Rows that repeat an id and text get equal
 results, and each counts in the corpus. Ties in frequency go by word. An empty table gives an empty one.
 Columns beyond the named ones play no part. Texts of any length are read whole.
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelake.llm.common import bound_batches, first_rows, shared_table, slices, table
-from quotelake.llm.hashing import HASHED_BYTES, Words, utf8
+from quotelake.llm.hashing import HASHED_BYTES, MIX, Words, mixed, utf8
 from quotelake.llm.words import row_key
 
 #: Bits of a word's number in a key: orders up to 3 fit.
@@ -230,9 +233,100 @@ def score(
     return each.select(F.col("id").alias(id_col), "n_words", F.col("part").alias("total"), F.when(F.col("n_words") > 0, F.col("part") / F.col("n_words")).alias("score"))
 
 
+def hashes(own: np.ndarray, order: int) -> np.ndarray:
+    """64-bit keys of all n-grams of one order, from the hashes of a text's words."""
+    n = max(len(own) - order + 1, 0)
+    key = mixed(own[:n] + MIX[order % len(MIX)])
+    for i in range(1, order):
+        key = mixed(key + own[i : i + n])
+    return key.view(np.int64)
+
+
+def whole_counts(docs: DataFrame, order: int, text_col: str) -> DataFrame:
+    """A stored table key, n of all n-grams of orders 1 to `order`, whatever their number; key 0 has the number of all words."""
+
+    def rows(held: list[np.ndarray], total: int) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.append(key, 0)), pa.array(np.append(n, total).astype(np.int64))], names=["key", "n"])
+
+    def count(batches):
+        split, held, total = Words(), [np.empty(0, np.int64)], 0
+        for part in each_slice(batches):
+            own, ends = split.words(*utf8(part.column(0)))
+            total += len(own)
+            for a, b in pairwise(ends.tolist()):
+                held += [hashes(own[a:b], k) for k in range(1, order + 1)]
+            if total * order > KEYS_HELD:
+                yield rows(held, total)
+                held, total = [np.empty(0, np.int64)], 0
+        yield rows(held, total)
+
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "key long, n long")
+    # one that stands once has log10(1) = 0 for its share: it needn't be stored
+    return shared_table(counted.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1 OR key = 0"))
+
+
+def signed(own: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that add the log10 of their count to a text's sum, and those that take it off."""
+    if len(own) < order:
+        return hashes(own, max(len(own), 1)), np.empty(0, np.int64)
+    return hashes(own, order), hashes(own, order - 1)[1:-1]
+
+
+def score_whole(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`score` of `docs` by their own counts, of every word and every n-gram: no vocabulary and no least count.
+
+    Every n-gram of a text was counted, so none backs off, and the counts of contexts cancel
+    between neighbours: a text's sum is the log10 counts of its n-grams of the full order, less those of the
+    next shorter ones inside it (without the first and the last), less log10 of the number of all words.
+    """
+    if order < 2:
+        raise ValueError("order is 2 at least")
+    spark = docs.sparkSession
+    bound_batches(spark)
+    counts = whole_counts(docs, order, text_col)
+    total = counts.filter("key = 0").agg(F.sum("n")).first()[0] or 0
+    logs = counts.filter("key <> 0").select("key", "n", F.log10(F.col("n").cast("double")).alias("log"))
+    heavy = most_frequent(logs, HOT_KEPT).select("key", "log").toPandas().sort_values("key")  # bounded by HOT_KEPT
+    hot = spark.sparkContext.broadcast((heavy["key"].to_numpy(np.int64), heavy["log"].to_numpy(float)))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), row_key(F.col(text_col))).alias("row"), F.col(text_col).alias("text"))
+
+    def others(batches):
+        split, (hot_keys, _) = Words(), hot.value
+        for part in each_slice(batches):
+            own, ends = split.words(*utf8(part.column(1)))
+            made = []
+            for row, (a, b) in zip(part.column(0).to_pylist(), pairwise(ends.tolist())):
+                for key, sign in zip(signed(own[a:b], order), (1, -1)):
+                    key = key[~found(hot_keys, key)[1]]
+                    made.append((np.full(len(key), row), key, np.full(len(key), sign, np.int8)))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made)], names=["row", "key", "sign"])
+
+    schema = rows.select("id", "row").schema.add("n_words", "long").add("part", "double")
+
+    def frequent(batches):
+        split, (hot_keys, hot_logs) = Words(), hot.value
+        for part in each_slice(batches):
+            own, ends = split.words(*utf8(part.column(2)))
+            n, sums = [], []
+            for a, b in pairwise(ends.tolist()):
+                more, less = (hot_logs[at[there]].sum() for at, there in (found(hot_keys, key) for key in signed(own[a:b], order)))
+                n.append(b - a)
+                sums.append(more - less - np.log10(total) if b > a else 0.0)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sums, pa.float64())], names=["id", "row", "n_words", "part"])
+
+    sums = rows.select("row", "text").mapInArrow(others, "row long, key long, sign byte").join(logs.select("key", "log"), "key")
+    sums = sums.groupBy("row").agg(F.sum(F.col("log") * F.col("sign")).alias("more"))
+    copies = rows.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))  # rows that repeat an id and text
+    more = sums.join(copies, "row").select("row", (F.col("more") / F.col("copies")).alias("more"))
+    each = rows.select("id", "row", "text").mapInArrow(frequent, schema).join(more, "row", "left").withColumn("part", F.col("part") + F.coalesce("more", F.lit(0.0)))
+    return each.select(F.col("id").alias(id_col), "n_words", F.col("part").alias("total"), F.when(F.col("n_words") > 0, F.col("part") / F.col("n_words")).alias("score"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram scores of all documents by the counts of all documents, to six places."""
-    out = score(table(spark, sf_dir, "documents"))
+    """Bigram scores of all documents by the counts of all words and bigrams of all documents, to six places."""
+    out = score_whole(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", F.round("total", 6).alias("total"), F.round("score", 6).alias("score"))
 
 

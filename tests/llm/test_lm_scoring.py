@@ -57,3 +57,29 @@ def test_another_corpus_and_empty_tables(spark, hard):
         assert got[r][0] == want[0] and abs(got[r][1] - want[1]) < 1e-9
     assert m.score(hard.limit(0)).count() == 0
     assert m.score(docs, corpus.limit(0)).count() == 2
+
+
+@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("hot", [0, 50])
+def test_whole_counts_equal_definition(spark, hard, monkeypatch, order, hot):
+    """Every word and n-gram counts, also those that stand once."""
+    monkeypatch.setattr(m, "HOT_KEPT", hot)
+    docs = spark.read.parquet(f"{TESTDATA}/documents.parquet").select("doc_id", "text").limit(30).cache()
+    both = hard.select("doc_id", "text").unionByName(docs)
+    rows = both.collect()
+    texts, want = [r.text for r in rows], {}
+    for r, x in zip(rows, expected(texts, texts, order, 10**9, least=1)):
+        want.setdefault(r.doc_id, []).append(x)
+    out = m.score_whole(both, order=order).collect()
+    assert len(out) == len(rows)
+    assert all(any(r.n_words == n and abs(r.total - total) < 1e-6 for n, total in want[r.doc_id]) for r in out)
+    assert m.score_whole(hard.limit(0), order=order).count() == 0
+
+
+def test_query_is_whole(spark, tmp_path):
+    """More words than VOCABULARY, most of them once: none is lumped together, no n-gram is left out."""
+    texts = [" ".join(f"w{i}" for i in range(a, a + 7000)) for a in range(0, 70_000, 6900)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_words, r.total) for r in m.op7_lm_scoring(spark, str(tmp_path)).collect()}
+    for i, (n, total) in enumerate(expected(texts, texts, m.ORDER, 10**9, least=1)):
+        assert got[i][0] == n and abs(got[i][1] - total) < 2e-6
