@@ -1,7 +1,9 @@
 """Operator 4: license scan by an exact set-similarity join with license templates. DataFrame functions only.
 
 Two things are found. Base phrases: every place where a phrase's words stand consecutively. Templates:
-every text block (a line) whose word set holds at least THRESHOLD of a template's words. For these the
+every text block whose word set holds at least THRESHOLD of a template's words. A block is a line, or, as
+notices are wrapped, a window of consecutive words across line breaks: twice the template's length, and one
+from every multiple of that length on, so that each run of as many words as the template has lies in one. For lines the
 words of all templates are ordered by their document frequency over the whole corpus, rare first; a
 template is indexed by its prefix of |T| - o + 1 words, where o is the overlap that the threshold asks
 for, and a block is probed with its own prefix. Length filter: a block needs o template words. Positional
@@ -32,6 +34,7 @@ TEMPLATES = {
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
     "gpl-3.0": "licensed under the gnu general public license version 3",
+    "mit-notice": "under the mit license",  # four words: all of them are needed
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "public-domain": "this is free and unencumbered software released into the public domain",
@@ -102,10 +105,35 @@ def matching_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thre
     return met.select(id_col, "row_key", "block", "label", (common / F.col("t_size")).alias("containment"))
 
 
+def matching_windows(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, row_key, label, containment: every window and template that meet the threshold.
+
+    Only texts whose whole word set meets it are walked, in one pass: a template word counts for the two windows that hold it.
+    """
+    entries = []
+    for label, text in templates.items():
+        own = sorted(set(text.split(" ")))
+        entries.append((label, own, len(own), ceil(threshold * len(own) - 1e-9), len(text.split(" "))))
+    known = F.array(*map(F.lit, sorted({w for _, own, *_ in entries for w in own})))
+    fits = lambda own, need: F.size(F.array_intersect("b", F.array(*map(F.lit, own)))) >= need
+    as_struct = lambda e: F.struct(*[F.lit(x).alias(n) if not isinstance(x, list) else F.array(*map(F.lit, x)).alias(n) for n, x in zip(("label", "words", "size", "need", "length"), e)])
+    whole = docs.select(F.col(id_col), row_key(F.col(text_col)).alias("row_key"), once(words(F.col(text_col))).alias("w"))
+    whole = whole.select(id_col, "row_key", "w", once(F.array_intersect(known, "w")).alias("b"))
+    met = F.array_compact(F.array(*[F.when(fits(e[1], e[3]), as_struct(e)) for e in entries]))
+    whole = whole.select(id_col, "row_key", "w", once(met).alias("met")).filter(F.size("met") > 0).select(id_col, "row_key", "w", F.explode("met").alias("t"))
+    placed = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("word"))), lambda h: F.array_contains("t.words", h["word"]))
+    hits = whole.select(id_col, "row_key", "t.label", "t.size", "t.need", F.col("t.length").alias("length"), F.explode(placed).alias("h"))
+    first = F.floor(F.col("h.at") / F.col("length"))
+    hits = hits.select(id_col, "row_key", "label", "size", "need", "h.word", F.explode(F.array(first, first - 1)).alias("window"))
+    held = hits.groupBy(id_col, "row_key", "label", "size", "need", "window").agg(F.size(F.collect_set("word")).alias("held"))
+    return held.filter(F.col("held") >= F.col("need")).select(id_col, "row_key", "label", (F.col("held") / F.col("size")).alias("containment"))
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of `docs`: base places and labels, template labels, n_blocks, score (1 with a base phrase, else the best containment)."""
+    """A row for each row of `docs`: base places and labels, template labels, n_blocks (lines that meet the threshold alone), score (1 with a base phrase, else the best containment)."""
     base = base_places(docs, phrases, id_col, text_col)
-    found = matching_blocks(docs, templates, threshold, id_col, text_col).groupBy(F.col(id_col).alias("_id"), F.col("row_key").alias("_row")).agg(
+    windows = matching_windows(docs, templates, threshold, id_col, text_col)
+    found = matching_blocks(docs, templates, threshold, id_col, text_col).unionByName(windows, allowMissingColumns=True).groupBy(F.col(id_col).alias("_id"), F.col("row_key").alias("_row")).agg(
         F.array_sort(F.collect_set("label")).alias("template_labels"), F.max("containment").alias("best"), F.countDistinct("block").alias("n_blocks")
     )
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_row"))

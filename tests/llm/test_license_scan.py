@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from quotelake.llm import license_scan as s
 
@@ -57,3 +58,14 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{TESTDATA}/documents.parquet").collect()]
     got = sorted(repr((*tuple(r)[:-1], round(r.score, 9))) for r in s.op4_license_scan(spark, TESTDATA).collect())
     assert got == want(docs)
+
+
+def test_notices_across_lines_and_short_ones(spark):
+    """Notices wrapped at any width, with other words before them; and a line that names the license only."""
+    before = "some other words stand here first "
+    texts = {label: [before * k + "\n".join(textwrap.wrap(t, width)) for width in (20, 40, 72) for k in (0, 1, 3)] for label, t in s.TEMPLATES.items()}
+    rows = [(i, label, t) for i, (label, t) in enumerate((label, t) for label, ts in texts.items() for t in ts)]
+    rows += [(-1, "mit-notice", "Readme\nReleased under the MIT License."), (-2, "", "released under the license of the\nmitt"), (-3, "", "\n".join(["permission is hereby granted", *["other words"] * 40, "free of charge to any person obtaining a copy of this software and"]))]
+    got = {r.doc_id: r for r in s.scan(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")).collect()}
+    for i, label, t in rows:
+        assert (label in got[i].labels and got[i].score == 1.0) if label else (not got[i].labels and got[i].score == 0.0), t
