@@ -64,19 +64,39 @@ def s08(spark, d):
     return domain.clients(spark, d).select("client_id", similarity.soundex(F.col("client")).alias("code"), (similarity.soundex(F.col("client")) == similarity.soundex(F.col("segment"))).alias("same"))
 
 
+def close_names(names: DataFrame, least: float) -> DataFrame:
+    """a, b, score: all pairs of different names, both ways, that score `least` or more; `names` has name, distinct.
+
+    Candidates share a key, exactly for any `least` from 0.55 on. Who shares no bigram and no token (and doesn't lack them
+    alike) scores at most 0.3 edit + 0.35: from 0.55 on an edit similarity of 2/3 at least, so at most a third of the longer
+    name's L characters differ. Then L - 1 - 2L/3 > 0 bigrams with the spaces are shared where L > 3, else one character is.
+    """
+    if least < 0.55:
+        raise ValueError("least is 0.55 at least")
+    low, g, t = F.lower("name"), similarity.grams(F.col("name")), similarity.tokens(F.col("name"))
+    every = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
+    marked = lambda mark, values: F.transform(values, lambda x: F.concat(F.lit(mark), x))
+    lacks = lambda mark, values: F.when(F.size(values) == 0, F.array(F.lit(mark))).otherwise(F.array().cast("array<string>"))
+    short = F.when(F.length(low) <= 3, every(1)).otherwise(F.array().cast("array<string>"))
+    keys = F.array_distinct(F.concat(marked("g", g), lacks("-g", g), marked("t", t), lacks("-t", t), marked("r", every(2)), marked("c", short)))
+    one = names.select("name", F.explode(keys).alias("key"))
+    pairs = one.select("key", F.col("name").alias("a")).join(one.select("key", F.col("name").alias("b")), "key").filter("a <> b").select("a", "b").distinct()
+    a, b = F.col("a"), F.col("b")
+    pairs = pairs.filter(similarity.weighted(a, b, F.lit(1.0)) >= least - 1e-9)  # Jaro-Winkler is at most 1: Python sees only the rest
+    return pairs.withColumn("score", F.round(similarity.weighted(a, b, similarity.jaro_winkler("a", "b")), 9)).filter(F.col("score") >= least)
+
+
 @register("s11_best_match")
 def s11(spark, d, least: float = 0.6):
     """For each name the best other one, strictly over the threshold; ties go to the first in order."""
-    p = name_pairs(spark, d)
-    both = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    scored = both.withColumn("score", F.round(similarity.weighted(F.col("a"), F.col("b"), similarity.jaro_winkler("a", "b")), 9)).filter(F.col("score") > least)
+    scored = close_names(domain.materials(spark, d).select("name").distinct(), least).filter(F.col("score") > least)
     return joins.latest(scored, ["a"], [F.desc("score"), F.asc("b")])
 
 
 @register("s12_all_matches")
 def s12(spark, d, least: float = 0.6):
     """For each name all others from the threshold on, best first."""
-    scored = name_pairs(spark, d).withColumn("score", F.round(similarity.weighted(F.col("a"), F.col("b"), similarity.jaro_winkler("a", "b")), 9)).filter(F.col("score") >= least)
+    scored = close_names(domain.materials(spark, d).select("name").distinct(), least)
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("b").alias("b"))))
     return scored.groupBy("a").agg(F.array_join(F.transform(ranked, lambda x: x["b"]), "|").alias("matches"), F.count(F.lit(1)).alias("n"))
 

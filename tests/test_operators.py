@@ -217,3 +217,19 @@ def test_history_is_strictly_before(spark):
     rows = spark.createDataFrame([("c", datetime(2024, 1, 1), 1), ("c", datetime(2024, 1, 1), 2), ("c", datetime(2024, 1, 2), 3)], "c string, t timestamp, v int")
     h = joins.history(rows, "c", F.unix_micros("t"), {"n": F.count(F.lit(1))})
     assert {r.v: r.n for r in h.collect()} == {1: 0, 2: 0, 3: 2}
+
+
+def test_close_names_equal_all_pairs(spark):
+    from quotelake.plans.materials import close_names, s11, s12
+
+    d = "/root/testdata/sf0.1"
+    own = [r.p_name for r in spark.read.parquet(f"{d}/part.parquet").select("p_name").distinct().collect()]
+    odd = ["", "a", "A", "é", "É", "ab", "abc", "abd", "a b", "x  y z", "x  y w", "日本語", "日本", "-", "--", "small  ring", "RING small", "ring"]
+    names = spark.createDataFrame([(x,) for x in {*own, *odd}], "name string").cache()
+    a, b = names.select(F.col("name").alias("a")), names.select(F.col("name").alias("b"))
+    score = F.round(similarity.weighted(F.col("a"), F.col("b"), similarity.jaro_winkler("a", "b")), 9)
+    every = {(r.a, r.b): r.score for r in a.crossJoin(b).filter("a <> b").withColumn("score", score).collect()}
+    assert {(r.a, r.b): r.score for r in close_names(names, 0.6).collect()} == {k: v for k, v in every.items() if v >= 0.6}
+    mine = {x: sorted((-v, b) for (a, b), v in every.items() if a == x and b in own and v >= 0.6) for x in own}
+    assert {r.a: r.b for r in s11(spark, d).collect()} == {x: v[0][1] for x, v in mine.items() if v and -v[0][0] > 0.6}
+    assert {r.a: r.matches for r in s12(spark, d).collect()} == {x: "|".join(b for _, b in v) for x, v in mine.items() if v}
