@@ -23,10 +23,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quotelake-stream/{uuid.uuid4().hex}"
 
 
-def source(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 100) -> DataFrame:
-    """A table's files as a stream. The pattern finds a table that is one file as well as a folder of files."""
+def source(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """A table's files as a stream: one batch, unless `files_per_batch` cuts it, so that no watermark drops a row for the file it stands in. The pattern finds a table that is one file as well as a folder of files."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/{name}.parque[t]")
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -233,3 +233,14 @@ def test_close_names_equal_all_pairs(spark):
     mine = {x: sorted((-v, b) for (a, b), v in every.items() if a == x and b in own and v >= 0.6) for x in own}
     assert {r.a: r.b for r in s11(spark, d).collect()} == {x: v[0][1] for x, v in mine.items() if v and -v[0][0] > 0.6}
     assert {r.a: r.matches for r in s12(spark, d).collect()} == {x: "|".join(b for _, b in v) for x, v in mine.items() if v}
+
+
+def test_flows_do_not_depend_on_the_number_of_files(spark, tmp_path):
+    from quotelake.plans.streams import t06, t08
+
+    d = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{d}/events.parquet")
+    e.repartitionByRange(130, F.desc("ts")).write.option("maxRecordsPerFile", 100_000).parquet(f"{tmp_path}/events.parquet")
+    assert len(list((tmp_path / "events.parquet").glob("*.parquet"))) > 100
+    for query in (t06, t08):
+        assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(map(tuple, query(spark, d).collect()))
