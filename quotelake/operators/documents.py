@@ -20,12 +20,12 @@ def pages(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(doc, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\f")).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
-def chunks(n_pages: Column, size: int = 4, overlap: int = 1, most: int = 50, limit: int = 200) -> Column:
-    """array<struct<first, last>>: one chunk up to 3 pages; else `size` pages each, with `overlap`; null beyond `limit` pages."""
+def chunks(n_pages: Column, size: int = 4, overlap: int = 1, most: int | None = None, limit: int = 200) -> Column:
+    """array<struct<first, last>>: one chunk up to 3 pages; else `size` pages each, with `overlap`, the first `most` chunks if that is given; null beyond `limit` pages."""
     step = size - overlap
     many = F.transform(F.sequence(F.lit(1), n_pages, F.lit(step)), lambda s: F.struct(s.alias("first"), F.least(s + (size - 1), n_pages).alias("last")))
     one = F.array(F.struct(F.lit(1).alias("first"), n_pages.alias("last")))
-    return F.when(n_pages > limit, None).when(n_pages <= 3, one).otherwise(F.slice(many, 1, most))
+    return F.when(n_pages > limit, None).when(n_pages <= 3, one).otherwise(many if most is None else F.slice(many, 1, most))
 
 
 def with_neighbours(hits: DataFrame, doc: str, page: str, n_pages: str, before: int = 2, after: int = 2) -> DataFrame:

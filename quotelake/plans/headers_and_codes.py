@@ -57,6 +57,15 @@ def d05b(spark, d):
     return t.select("run_id", F.size("k").cast("long").alias("n"), least.cast("string").alias("least"))
 
 
+@register("d05c_all_keyed_rows", sql("SELECT run_id, CASE run_id % 3 WHEN 0 THEN 'Qty' WHEN 1 THEN 'Remarks' ELSE 'Item' END AS header, count(*) AS n, (3 * count(*))::BIGINT AS cells, min(quantity)::VARCHAR AS least FROM items GROUP BY run_id"))
+def d05c(spark, d):
+    """Cells by their headers, for the tables of all runs: how many there are, and the least under the third header."""
+    t = tables(spark, d).select("run_id", F.get("headers", F.lit(2)).alias("header"), documents.keyed_rows(F.col("headers"), F.col("rows")).alias("k"))
+    cells = F.aggregate("k", F.lit(0).cast("long"), lambda n, m: n + F.size(m))
+    least = F.array_min(F.transform("k", lambda m: F.element_at(m, F.col("header")).cast("double")))
+    return t.select("run_id", "header", F.size("k").cast("long").alias("n"), cells.alias("cells"), least.cast("string").alias("least"))
+
+
 @register("d09_row_estimate", sql("SELECT run_id, count(*) FILTER (quantity > 10) AS n FROM items GROUP BY run_id"))
 def d09(spark, d):
     """Rows that look like items: a number first, and a quantity over ten."""

@@ -244,3 +244,16 @@ def test_flows_do_not_depend_on_the_number_of_files(spark, tmp_path):
     assert len(list((tmp_path / "events.parquet").glob("*.parquet"))) > 100
     for query in (t06, t08):
         assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(map(tuple, query(spark, d).collect()))
+
+
+def test_chunks_reach_the_last_page(spark):
+    got = one(spark, documents.chunks(F.lit(200)))
+    assert {p for c in got for p in range(c["first"], c["last"] + 1)} == set(range(1, 201))
+
+
+def test_every_run_has_keyed_rows(spark):
+    from quotelake.plans.headers_and_codes import d05c
+
+    d = "/root/testdata/sf0.001"
+    runs = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert d05c(spark, d).count() == runs
