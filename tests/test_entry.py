@@ -21,3 +21,9 @@ def test_flagship(spark):
 def test_library_does_not_import_the_llm_subpackage():
     files = [p for p in (ROOT / "quotelake").rglob("*.py") if p.parent.name != "llm"]
     assert not [p for p in files if "quotelake.llm" in p.read_text() or "corpus_pipeline" in p.read_text()]
+
+
+def test_every_sql_is_text():
+    import __spark_entry__
+
+    assert all(isinstance(x, str) for x in __spark_entry__.oracle_sql().values())
