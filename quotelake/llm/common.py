@@ -29,7 +29,9 @@ def shared_table(df: DataFrame) -> DataFrame:
     """Write `df` under spark.checkpoint.dir and read it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     if not (root := spark.conf.get("spark.checkpoint.dir", None)):
-        root = tempfile.mkdtemp(prefix="quotelake-")  # only where no cluster names a folder, as in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="quotelake-")  # one process, as in tests
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/quotelake/{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -41,8 +43,33 @@ def first_rows(df: DataFrame, order: list[Column], k: int) -> list[Row]:
     return df.repartitionByRange(*order).sortWithinPartitions(*order).take(k)
 
 
+def row_key(text: Column) -> Column:
+    """With the id, names a row where two passes over the texts meet."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, repeated: DataFrame | None = None) -> DataFrame:
+    """`docs` with its columns, less the rows whose id and row key stand in `gone` (id, row); of those in `repeated` (id, row) one stays.
+
+    Both are stored first, so that Spark knows their size: a small one is broadcast, else both sides are shuffled by id and row key.
+    The frame goes through the joins under plain names, so that any name of a column is allowed.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: n for c, n in zip(docs.columns, names)}
+    keys = [F.col(at[id_col]).alias("_i"), row_key(F.col(at[text_col])).alias("_r")]
+    same = lambda x: (F.col("_i").eqNullSafe(x["_id"])) & (F.col("_r") == x["_row"])
+    gone = shared_table(gone.toDF("_id", "_row"))
+    out = docs.toDF(*names).select("*", *keys).join(gone, same(gone), "left_anti")
+    if repeated is not None:
+        twice = shared_table(repeated.toDF("_id", "_row"))
+        if not twice.isEmpty():
+            some = out.join(twice, same(twice), "left_semi").dropDuplicates(["_i", "_r"])
+            out = out.join(twice, same(twice), "left_anti").unionByName(some)
+    return out.select(*names).toDF(*docs.columns)
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Rows of documents are long: lower the session's rows of an Arrow batch, which Spark and each worker hold whole."""
+    """Lower the session's rows of an Arrow batch, which Spark and each worker hold whole: rows of documents are long. For queries and stages."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
@@ -81,5 +108,4 @@ def add_by_text(
                 made = work([x or "" for x in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
 
-    bound_batches(df.sparkSession)
     return kept.toDF(*names[: len(kept.columns)]).mapInArrow(run, schema).toDF(*(f.name for f in fields))

@@ -8,7 +8,8 @@ rows are shuffled by digest, where no digest can have more than 1 row in SLOTS +
 
 Null and empty texts are equal to each other. Of equal texts the row with the largest id stays; a null
 id is less than any other, and stays only where no row of the group has an id. Rows that repeat one
-id and text carry the same verdict. An empty table gives an empty one.
+id and text carry the same verdict; `deduplicated` keeps one of them, and of different texts that are equal
+under one id the one of largest hash. An empty table gives an empty one. Extra columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import ascii_lower, first_rows, shared_table, table
+from quotelake.llm.common import ascii_lower, bound_batches, first_rows, row_key, shared_table, table, without
 
 #: Counters of a Misra-Gries summary, and so the most rows that are broadcast.
 SLOTS = 2048
@@ -53,32 +54,36 @@ def frequent(digests: DataFrame, column: str, slots: int = SLOTS) -> DataFrame:
     return digests.sparkSession.createDataFrame([(r[column],) for r in first], f"{column} string")
 
 
-def exact_groups(digests: DataFrame, id_col: str, digest_col: str, slots: int = SLOTS) -> DataFrame:
-    """`digests` with keep_id, group_size and kept. Reads `digests` three times: pass a stored table."""
-    best = [F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+def exact_groups(digests: DataFrame, id_col: str, digest_col: str, slots: int = SLOTS, tie_col: str | None = None) -> DataFrame:
+    """`digests` with keep_id, keep_tie (of ids that tie), group_size and kept. Reads `digests` three times: pass a stored table."""
+    tie = F.col(tie_col) if tie_col else F.lit(0)
+    best = [F.max(F.struct(F.col(id_col).alias("id"), tie.alias("tie"))).alias("keep"), F.count(F.lit(1)).alias("group_size")]
     named = F.broadcast(frequent(digests, digest_col, slots))
     winners = shared_table(digests.join(named, digest_col, "left_semi").groupBy(digest_col).agg(*best))
     heavy = digests.join(F.broadcast(winners), digest_col)
     rest = digests.join(F.broadcast(winners.select(digest_col)), digest_col, "left_anti")
     light = rest.join(rest.groupBy(digest_col).agg(*best), digest_col)
-    both = heavy.select(*digests.columns, "keep_id", "group_size").unionByName(light.select(*digests.columns, "keep_id", "group_size"))
+    kept = [*digests.columns, F.col("keep.id").alias("keep_id"), F.col("keep.tie").alias("keep_tie"), "group_size"]
+    both = heavy.select(*kept).unionByName(light.select(*kept))
     return both.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of `df`: the id, text_sha256, keep_id, group_size, kept."""
-    digests = shared_table(df.select(F.col(id_col), text_digest(F.col(text_col)).alias("text_sha256")))
-    return exact_groups(digests, id_col, "text_sha256")
+    """One row for each row of `df`: the id, row (key of the text), text_sha256, keep_id, keep_tie, group_size, kept."""
+    digests = shared_table(df.select(F.col(id_col), row_key(F.col(text_col)).alias("row"), text_digest(F.col(text_col)).alias("text_sha256")))
+    return exact_groups(digests, id_col, "text_sha256", tie_col="row")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df` that stay, with its columns."""
-    gone = dedup(df, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_digest"))
-    same = F.col(id_col).eqNullSafe(F.col("_gone")) & (text_digest(F.col(text_col)) == F.col("_digest"))
-    return df.join(gone, same, "left_anti")
+    """One row of `df` for each text, with its columns."""
+    out = shared_table(dedup(df, id_col, text_col))
+    first = F.col("kept") & (F.col("row") == F.col("keep_tie"))
+    twice = out.filter(first).groupBy(id_col, "row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(id_col, "row")
+    return without(df, out.filter(~first).select(id_col, "row").distinct(), id_col, text_col, twice)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

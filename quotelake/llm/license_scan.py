@@ -24,8 +24,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import table
-from quotelake.llm.words import SQL_WORDS, once, row_key, words
+from quotelake.llm.common import row_key, table
+from quotelake.llm.words import SQL_WORDS, once, words
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Notices as license texts ask for them, in words; label -> notice.

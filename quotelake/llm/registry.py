@@ -23,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.ORACLE,
+        "op3_ngram_jaccard": ngram_jaccard.ORACLE,
         "op4_license_scan": license_scan.ORACLE,
         "op7_lm_scoring": lm_scoring.ORACLE,
         "op8_chat_format": chat_format.ORACLE,

@@ -21,11 +21,6 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def row_key(text: Column) -> Column:
-    """With the id, names a row where two passes over the texts meet."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 #: The same in DuckDB's SQL.
 SQL_WORDS = (
     r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

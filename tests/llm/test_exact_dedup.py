@@ -52,3 +52,12 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{TESTDATA}/documents.parquet").collect()]
     out = e.op2_exact_dedup(spark, TESTDATA).collect()
     assert sorted(map(repr, map(tuple, out))) == expected(docs)
+
+
+def test_one_row_of_each_text(spark):
+    rows = [(5, "Same text"), (5, "Same text"), (5, "same text"), (4, "SAME TEXT"), (5, "other"), (None, None), (None, ""), (6, "b"), (6, "c")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, _gone int, _digest int, row int")
+    out = e.deduplicated(docs)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, (r.text or "").lower()) for r in out.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(5, "same text"), (5, "other"), (None, ""), (6, "b"), (6, "c")]))

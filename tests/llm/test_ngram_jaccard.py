@@ -86,3 +86,38 @@ def test_hard_rows(spark, hard):
 def test_query(spark):
     docs = spark.read.parquet(f"{TESTDATA}/documents.parquet").select("doc_id", "text").collect()
     assert sorted(map(tuple, j.op3_ngram_jaccard(spark, TESTDATA).collect())) == expected(list(map(tuple, docs)))
+
+
+def test_split_lists(spark, monkeypatch):
+    """Lists dealt over partitions, blocks in chunks and cells: the same links."""
+    monkeypatch.setattr(j, "partitions", lambda spark: 64)
+    monkeypatch.setattr(j, "BLOCK", 2)
+    monkeypatch.setattr(j, "CELL", 3)
+    rows = made(4, 30)
+    assert sorted(map(tuple, j.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())) == expected(rows)
+
+
+def passage_texts(n):
+    """Texts that share a passage of 60 words behind 10 words of their own: none is linked."""
+    r = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    return [(i, " ".join(f"own{r.randrange(10**9)}" for _ in range(10)) + " " + passage) for i in range(n)]
+
+
+def test_a_common_passage_pairs_nothing(spark, monkeypatch):
+    met = []
+    left_over = j.left_over
+    monkeypatch.setattr(j, "left_over", lambda lists: met.append(left_over(lists).count()) or left_over(lists))
+    rows = passage_texts(400)
+    out = j.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert met == [0] and all(r.component_id == r.doc_id for r in out)
+
+
+def test_no_row_is_lost_or_doubled(spark):
+    """Ids that stand for different texts, repeated rows and columns with names of helpers."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (3, long + " more"), (3, "quite another text of six words"), (5, "alone and only five words"), (5, "alone and only five words"), (7, None), (7, None), (None, long), (8, "x"), (8, "y")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, _gone int, _id int, _row int, c0 int")
+    out = j.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted(repr((r.doc_id, r.text)) for r in out.collect()) == sorted(map(repr, [rows[0], rows[2], rows[3], (7, None), (None, long), (8, "x"), (8, "y")]))
