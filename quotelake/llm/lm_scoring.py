@@ -17,7 +17,10 @@ count tables are aggregated and joined by hash of the key. The HOT_KEPT most fre
 join: their gains are broadcast and added while n-grams are exploded; the others are shuffled.
 
 That is `score`, for another corpus or a chosen vocabulary. The query is `score_whole`: by the documents' own counts
-of all words and n-grams, under 64-bit hashes, with no limit on their number.
+of all words and n-grams of order 3, under 64-bit hashes, with no limit on their number. There every n-gram of a document
+was counted, so none backs off, and exploded n-grams are shuffled once, by hash: the count table comes about
+in the partitions where they lie, and each meets its count there. Of the n-grams that could skew this, HOT_KEPT at most,
+tasks send counts only, and add their logarithms when the counts are known.
 
 Null and empty texts have n_words 0, total 0 and a null score. Rows that repeat an id and text get equal
 results, and each counts in the corpus. Ties in frequency go by word. An empty table gives an empty one.
@@ -35,16 +38,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quotelake.llm.common import bound_batches, first_rows, shared_table, slices, table
+from quotelake.llm.common import bound_batches, first_rows, row_key, shared_table, slices, table
 from quotelake.llm.hashing import HASHED_BYTES, MIX, Words, mixed, utf8
-from quotelake.llm.words import row_key
 
 #: Bits of a word's number in a key: orders up to 3 fit.
 BITS = 21
-ORDER, VOCABULARY, ALPHA, LEAST = 2, 65_536, 0.4, 2
-#: N-grams whose gains are broadcast; distinct words and n-grams that a task counts before it passes them on.
+#: Of the query's model, which has neither a vocabulary nor a least count; those of `score`.
+ORDER = 3
+VOCABULARY, ALPHA, LEAST = 65_536, 0.4, 2
+#: N-grams whose gains or logarithms are broadcast; distinct words and n-grams that a task counts before it passes them on.
 HOT_KEPT, WORDS_HELD, KEYS_HELD = 262_144, 1_000_000, 4_000_000
+#: An n-gram may be hot from one in so many of those that a task counts at a time.
+SHARE = 1 << 18
 
 
 def words(text: str | None) -> list[bytes]:
@@ -201,14 +208,13 @@ def alone(docs: DataFrame, known, logs, hot, order: int, alpha: float) -> DataFr
 
 
 def score(
-    docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, vocabulary: int = VOCABULARY, alpha: float = ALPHA, least: int = LEAST,
+    docs: DataFrame, corpus: DataFrame | None = None, order: int = 2, vocabulary: int = VOCABULARY, alpha: float = ALPHA, least: int = LEAST,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """A row for each row of `docs`: the id, n_words, total (the sum of log10 scores) and score (their mean), counted over `corpus` (else `docs`)."""
     if not (1 <= order <= 3 and vocabulary < (1 << BITS) - 1):
         raise ValueError(f"order is 1 to 3 and vocabulary less than {(1 << BITS) - 1}")
     spark, corpus = docs.sparkSession, docs if corpus is None else corpus
-    bound_batches(spark)
     counted = word_counts(corpus, text_col)
     total = counted.agg(F.sum("n")).first()[0] or 0
     top = first_rows(counted, [F.desc("n"), F.asc("word")], vocabulary)
@@ -234,7 +240,7 @@ def score(
 
 
 def hashes(own: np.ndarray, order: int) -> np.ndarray:
-    """64-bit keys of all n-grams of one order, from the hashes of a text's words."""
+    """64-bit keys of all n-grams of one order, from the hashes of words."""
     n = max(len(own) - order + 1, 0)
     key = mixed(own[:n] + MIX[order % len(MIX)])
     for i in range(1, order):
@@ -242,90 +248,153 @@ def hashes(own: np.ndarray, order: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def whole_counts(docs: DataFrame, order: int, text_col: str) -> DataFrame:
-    """A stored table key, n of all n-grams of orders 1 to `order`, whatever their number; key 0 has the number of all words."""
+class Grams:
+    """The n-grams of the texts of a slice: of the full order and the next shorter one, with what the log10 of their count is worth to their text.
 
-    def rows(held: list[np.ndarray], total: int) -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(np.append(key, 0)), pa.array(np.append(n, total).astype(np.int64))], names=["key", "n"])
+    A text's sum is the log10 counts of its n-grams of the full order (a shorter text's: of the whole text), less those of the
+    next shorter ones inside it (without the first and the last), less log10 of the number of all words: contexts cancel between neighbours.
+    """
 
-    def count(batches):
-        split, held, total = Words(), [np.empty(0, np.int64)], 0
+    def __init__(self, order: int):
+        self.order, self.split = order, Words()
+
+    def read(self, texts: pa.Array) -> None:
+        self.own, starts = self.split.words(*utf8(texts))
+        self.n = np.diff(starts)
+        self.text = np.repeat(np.arange(len(self.n)), self.n)
+        at = np.arange(len(self.own))
+        self.place, self.left = at - starts[:-1][self.text], starts[1:][self.text] - at
+
+    def keys(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of all n-grams of one order that stand in one text, and where they begin."""
+        key = hashes(self.own, order)
+        at = np.flatnonzero(self.left[: len(key)] >= order)
+        return key[at], at
+
+    def signed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """key, text, sign (1, -1 or 0) of the n-grams of the two highest orders."""
+        k = self.order
+        key, at = self.keys(k)
+        key_1, at_1 = self.keys(k - 1)
+        inside = (self.place[at_1] > 0) & (self.left[at_1] > k - 1)
+        sign_1 = np.where(self.n[self.text[at_1]] == k - 1, 1, -inside.astype(np.int64))
+        at_all = np.concatenate((at, at_1))
+        return np.concatenate((key, key_1)), self.text[at_all], np.concatenate((np.ones(len(key), np.int64), sign_1))
+
+    def short(self) -> tuple[np.ndarray, np.ndarray]:
+        """key, text of whole texts that are shorter than both orders."""
+        made = [np.empty((2, 0), np.int64)]
+        for k in range(1, self.order - 1):
+            key, at = self.keys(k)
+            whole = self.n[self.text[at]] == k
+            made.append(np.stack((key[whole], self.text[at[whole]])))
+        return tuple(np.concatenate(made, 1))
+
+
+def counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = np.unique(np.concatenate(held), return_counts=True)
+    return key, n.astype(np.int64)
+
+
+def hot_ngrams(docs: DataFrame, order: int) -> np.ndarray:
+    """Sorted keys of n-grams of the two highest orders that tasks hold often, HOT_KEPT at most: a choice of how to work that no result depends on."""
+
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = counted(held)
+        some = n > max(n.sum() // SHARE, 1)
+        return pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(n[some])], names=["key", "n"])
+
+    def run(batches):
+        grams, held, size = Grams(order), [np.empty(0, np.int64)], 0
         for part in each_slice(batches):
-            own, ends = split.words(*utf8(part.column(0)))
-            total += len(own)
-            for a, b in pairwise(ends.tolist()):
-                held += [hashes(own[a:b], k) for k in range(1, order + 1)]
-            if total * order > KEYS_HELD:
-                yield rows(held, total)
-                held, total = [np.empty(0, np.int64)], 0
-        yield rows(held, total)
+            grams.read(part.column(0))
+            held += [grams.keys(k)[0] for k in (order, order - 1)]
+            size += 2 * len(grams.own)
+            if size > KEYS_HELD:
+                yield often(held)
+                held, size = [np.empty(0, np.int64)], 0
+        yield often(held)
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "key long, n long")
-    # one that stands once has log10(1) = 0 for its share: it needn't be stored
-    return shared_table(counted.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1 OR key = 0"))
+    counts = shared_table(docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    return np.sort(most_frequent(counts, HOT_KEPT).select("key").toPandas()["key"].to_numpy(np.int64))  # bounded by HOT_KEPT
 
 
-def signed(own: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that add the log10 of their count to a text's sum, and those that take it off."""
-    if len(own) < order:
-        return hashes(own, max(len(own), 1)), np.empty(0, np.int64)
-    return hashes(own, order), hashes(own, order - 1)[1:-1]
+#: An exploded row's `what`: WEIGHT times the occurrences that it counts for, and the sign + 1 with which it adds the count's logarithm.
+WEIGHT = 4
 
 
-def score_whole(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`score` of `docs` by their own counts, of every word and every n-gram: no vocabulary and no least count.
+def exploded_once(docs: DataFrame, hot, order: int) -> DataFrame:
+    """row, key, what: all n-grams of the two highest orders that aren't hot. Counts of hot ones, and under key 0 of all words, have no row;
+    counts of lower orders, which only texts of so few words need, have row 0."""
 
-    Every n-gram of a text was counted, so none backs off, and the counts of contexts cancel
-    between neighbours: a text's sum is the log10 counts of its n-grams of the full order, less those of the
-    next shorter ones inside it (without the first and the last), less log10 of the number of all words.
-    """
+    def run(batches):
+        grams, keys, total = Grams(order), hot.value, 0
+        hot_n, held, size = np.zeros(len(keys), np.int64), [np.empty(0, np.int64)], 0
+        names = ["row", "key", "what"]
+
+        def lower(held):
+            key, n = counted(held)
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int64)), pa.array(key), pa.array(WEIGHT * n + 1)], names=names)
+
+        for part in each_slice(batches):
+            grams.read(part.column(1))
+            row = part.column(0).to_numpy()
+            key, text, sign = grams.signed()
+            at, there = found(keys, key)
+            hot_n += np.bincount(at[there], minlength=len(keys))
+            key, text, sign = key[~there], text[~there], sign[~there]
+            few, its_text = grams.short()
+            what = np.concatenate((WEIGHT + sign + 1, np.full(len(few), 2)))
+            yield pa.RecordBatch.from_arrays([pa.array(row[np.concatenate((text, its_text))]), pa.array(np.concatenate((key, few))), pa.array(what)], names=names)
+            held += [grams.keys(k)[0] for k in range(1, order - 1)]
+            size, total = size + len(grams.own) * (order - 2), total + len(grams.own)
+            if size > KEYS_HELD:
+                yield lower(held)
+                held, size = [np.empty(0, np.int64)], 0
+        yield lower(held)
+        ends, n = np.append(keys, 0), np.append(hot_n, total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(ends), pa.int64()), pa.array(ends), pa.array(WEIGHT * n + 1)], names=names)
+
+    return docs.select("row", "text").mapInArrow(run, "row long, key long, what long")
+
+
+def score_whole(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`score` of `docs` by their own counts, of every word and every n-gram: no vocabulary and no least count."""
     if order < 2:
         raise ValueError("order is 2 at least")
     spark = docs.sparkSession
-    bound_batches(spark)
-    counts = whole_counts(docs, order, text_col)
-    total = counts.filter("key = 0").agg(F.sum("n")).first()[0] or 0
-    logs = counts.filter("key <> 0").select("key", "n", F.log10(F.col("n").cast("double")).alias("log"))
-    heavy = most_frequent(logs, HOT_KEPT).select("key", "log").toPandas().sort_values("key")  # bounded by HOT_KEPT
-    hot = spark.sparkContext.broadcast((heavy["key"].to_numpy(np.int64), heavy["log"].to_numpy(float)))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), row_key(F.col(text_col))).alias("row"), F.col(text_col).alias("text"))
-
-    def others(batches):
-        split, (hot_keys, _) = Words(), hot.value
-        for part in each_slice(batches):
-            own, ends = split.words(*utf8(part.column(1)))
-            made = []
-            for row, (a, b) in zip(part.column(0).to_pylist(), pairwise(ends.tolist())):
-                for key, sign in zip(signed(own[a:b], order), (1, -1)):
-                    key = key[~found(hot_keys, key)[1]]
-                    made.append((np.full(len(key), row), key, np.full(len(key), sign, np.int8)))
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made)], names=["row", "key", "sign"])
-
+    keys = spark.sparkContext.broadcast(hot_ngrams(rows, order))
+    met = exploded_once(rows, keys, order).withColumn("n", F.sum(F.floor(F.col("what") / WEIGHT)).over(Window.partitionBy("key")))
+    sign = F.col("what") % WEIGHT - 1
+    sums = met.filter((sign != 0) | F.col("row").isNull()).groupBy("row", F.when(F.col("row").isNull(), F.col("key")).alias("hot")).agg(
+        F.sum(F.log10(F.col("n").cast("double")) * sign).alias("more"), F.max("n").alias("n")
+    )
+    sums = shared_table(sums)
+    frequent = sums.filter("row IS NULL").select("hot", "n").toPandas().sort_values("hot")  # HOT_KEPT + 1 rows at most
+    n = dict(zip(frequent["hot"], frequent["n"]))
+    total = int(n.get(0, 0))
+    logs = spark.sparkContext.broadcast(np.log10(np.maximum([int(n.get(k, 1)) for k in keys.value.tolist()], 1.0)))
     schema = rows.select("id", "row").schema.add("n_words", "long").add("part", "double")
 
-    def frequent(batches):
-        split, (hot_keys, hot_logs) = Words(), hot.value
+    def hot_part(batches):
+        grams = Grams(order)
         for part in each_slice(batches):
-            own, ends = split.words(*utf8(part.column(2)))
-            n, sums = [], []
-            for a, b in pairwise(ends.tolist()):
-                more, less = (hot_logs[at[there]].sum() for at, there in (found(hot_keys, key) for key in signed(own[a:b], order)))
-                n.append(b - a)
-                sums.append(more - less - np.log10(total) if b > a else 0.0)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sums, pa.float64())], names=["id", "row", "n_words", "part"])
+            grams.read(part.column(2))
+            key, text, sign = grams.signed()
+            at, there = found(keys.value, key)
+            sums = np.bincount(text[there], logs.value[at[there]] * sign[there], len(grams.n)) - np.where(grams.n > 0, np.log10(max(total, 1)), 0)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(grams.n.astype(np.int64)), pa.array(sums)], names=["id", "row", "n_words", "part"])
 
-    sums = rows.select("row", "text").mapInArrow(others, "row long, key long, sign byte").join(logs.select("key", "log"), "key")
-    sums = sums.groupBy("row").agg(F.sum(F.col("log") * F.col("sign")).alias("more"))
     copies = rows.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))  # rows that repeat an id and text
-    more = sums.join(copies, "row").select("row", (F.col("more") / F.col("copies")).alias("more"))
-    each = rows.select("id", "row", "text").mapInArrow(frequent, schema).join(more, "row", "left").withColumn("part", F.col("part") + F.coalesce("more", F.lit(0.0)))
+    more = sums.filter("row IS NOT NULL").join(copies, "row").select("row", (F.col("more") / F.col("copies")).alias("more"))
+    each = rows.mapInArrow(hot_part, schema).join(more, "row", "left").withColumn("part", F.col("part") + F.coalesce("more", F.lit(0.0)))
     return each.select(F.col("id").alias(id_col), "n_words", F.col("part").alias("total"), F.when(F.col("n_words") > 0, F.col("part") / F.col("n_words")).alias("score"))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram scores of all documents by the counts of all words and bigrams of all documents, to six places."""
+    """Trigram scores of all documents by the counts of all words and n-grams of all documents, to six places."""
+    bound_batches(spark)
     out = score_whole(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", F.round("total", 6).alias("total"), F.round("score", 6).alias("score"))
 
@@ -333,15 +402,13 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-t AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
-c AS (SELECT word, count(*) AS n FROM t GROUP BY word),
-v AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, encode(word)) AS k FROM c QUALIFY k <= {VOCABULARY}),
-e AS (SELECT r, i, coalesce(k, {VOCABULARY + 1}) AS k FROM t LEFT JOIN v USING (word)),
-u AS (SELECT k, count(*) AS n FROM e GROUP BY k),
-b AS (SELECT r, i, k, lag(k) OVER (PARTITION BY r ORDER BY i) AS p FROM e),
-bc AS (SELECT p, k, count(*) AS n FROM b WHERE p IS NOT NULL GROUP BY p, k HAVING count(*) >= {LEAST}),
-s AS (SELECT r, sum(CASE WHEN bc.n IS NOT NULL THEN log10(bc.n / up.n) WHEN b.p IS NULL THEN log10(uk.n / (SELECT count(*) FROM e))
-                         ELSE log10({ALPHA}) + log10(uk.n / (SELECT count(*) FROM e)) END) AS total, count(*) AS m
-      FROM b JOIN u AS uk ON uk.k = b.k LEFT JOIN u AS up ON up.k = b.p LEFT JOIN bc ON bc.p = b.p AND bc.k = b.k GROUP BY r)
+t AS (SELECT r, unnest(w) AS c, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (SELECT r, i, c, lag(c) OVER w AS b, lag(c, 2) OVER w AS a FROM t WINDOW w AS (PARTITION BY r ORDER BY i)),
+n1 AS (SELECT c, count(*) AS n FROM g GROUP BY c),
+n2 AS (SELECT b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY b, c),
+n3 AS (SELECT a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b, c),
+s AS (SELECT r, count(*) AS m, sum(log10(CASE WHEN i = 1 THEN x1.n / (SELECT count(*) FROM t) WHEN i = 2 THEN x2.n / y1.n ELSE x3.n / y2.n END)) AS total
+      FROM g JOIN n1 AS x1 ON x1.c = g.c LEFT JOIN n2 AS x2 ON x2.b = g.b AND x2.c = g.c LEFT JOIN n1 AS y1 ON y1.c = g.b
+      LEFT JOIN n3 AS x3 ON x3.a = g.a AND x3.b = g.b AND x3.c = g.c LEFT JOIN n2 AS y2 ON y2.b = g.a AND y2.c = g.b GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(total, 0.0), 6) AS total, round(total / m, 6) AS score FROM d LEFT JOIN s USING (r)
 """
