@@ -1,26 +1,30 @@
 """Operator 10: benchmark decontamination with a broadcast hash set of test n-grams. DataFrame functions only.
 
 Each benchmark item gives its windows of SIZE words (an item of fewer words, but not none, is one
-window). The distinct windows, keyed by hash, are broadcast when they are at most MOST_BROADCAST rows;
-a larger benchmark is joined by a shuffle of the hashes. Every window of every document is looked up;
-a hit is verified word by word. Flags, the removal of spans and the removal of documents follow from
-the verified hits.
+window). The distinct windows, keyed by hash, are broadcast when they are at most MOST_BROADCAST rows and MOST_BYTES
+of text; which items hold them is joined to verified hits only. Every word of every document is looked up with the word
+behind it among the windows' first two words, what is left by the hash of the whole window, and a hit is verified word by word.
+For a larger benchmark hashes meet in a shuffle, the frequent ones of the documents by broadcast. Flags, the removal of
+spans and the removal of documents follow from the verified hits.
 
 Null and empty texts have no words and no hits. Rows that repeat an id and text have equal results; rows
 that share only an id are kept apart. Items that repeat an id count once; a null item id counts as an
-empty string. Empty tables give empty or clean results. Columns beyond the named ones play no part.
+empty string. Empty tables give empty or clean results. Columns beyond the named ones, of any name, are kept where
+documents are returned, and play no part.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import table
-from quotelake.llm.words import SQL_WORDS, once, row_key, words
+from quotelake.llm.common import row_key, shared_table, table, without
+from quotelake.llm.words import SQL_WORDS, once, words
 
-#: Words of a window; the most windows that are broadcast (about 150 bytes each).
-SIZE, MOST_BROADCAST = 10, 500_000
+#: Words of a window; the most windows, and bytes of them, that are broadcast.
+SIZE, MOST_BROADCAST, MOST_BYTES = 10, 500_000, 100 << 20
 
 
 def windows(of: Column, n: int) -> Column:
@@ -28,44 +32,51 @@ def windows(of: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(of) - (n - 1)), lambda i: F.slice(of, i, n))
 
 
-def window_hashes(of: Column, n: int) -> Column:
-    """array<long>: a hash of every n consecutive words."""
-    return F.transform(F.sequence(F.lit(1), F.size(of) - (n - 1)), lambda i: F.xxhash64(F.slice(of, i, n)))
-
-
 def benchmark_windows(bench: DataFrame, size: int = SIZE, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """hash, n, gram array<string>, items array<string>: one row for each distinct window."""
+    """A stored table hash, n, gram array<string>, item: the distinct windows of each item."""
     items = bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words(F.col(text_col)).alias("w"))
     grams = F.when(F.size("w") >= size, windows(F.col("w"), size)).otherwise(F.array("w"))
-    each = items.filter(F.size("w") > 0).select("item", F.explode(grams).alias("gram"))
-    return each.groupBy("gram").agg(F.collect_set("item").alias("items")).select(
-        F.xxhash64("gram").alias("hash"), F.size("gram").alias("n"), "gram", "items"
-    )
-
-
-def hits(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, row_key, start (from 0), n, items: every verified occurrence of a window in a document."""
-    lengths = sorted(r.n for r in grams.select("n").distinct().collect())  # at most SIZE rows
-    small = grams.count() <= MOST_BROADCAST
+    each = items.filter(F.size("w") > 0).select("item", F.explode(grams).alias("gram")).distinct()
+    return shared_table(each.select(F.xxhash64("gram").alias("hash"), F.size("gram").alias("n"), "gram", "item"))
+
+
+def two(at: Column, n: int) -> Column:
+    """A hash of the word at `at` of _w and, in windows of more than one word, of the next."""
+    return F.xxhash64(F.get("_w", at), F.get("_w", at + 1)) if n > 1 else F.xxhash64(F.get("_w", at))
+
+
+def looked_up(base: DataFrame, side: DataFrame, n: int) -> DataFrame:
+    """The verified hits of windows of n words, of which `side` (hash, gram) is small."""
+    first = side.select((F.xxhash64(F.get("gram", F.lit(0)), F.get("gram", F.lit(1))) if n > 1 else F.xxhash64(F.get("gram", F.lit(0)))).alias("_two")).distinct()
+    # Generator, look-ups and check run in one generated loop that copies hits only. The outer generator keeps the optimiser from a filter on its input.
+    at = base.filter(F.size("_w") >= n).select("_id", "_row", "_w", F.posexplode_outer("_w").alias("_at", "_word"))
+    near = at.withColumn("_two", two(F.col("_at"), n)).join(F.broadcast(first), "_two")
+    found = near.withColumn("_hash", F.xxhash64(F.slice("_w", F.col("_at") + 1, n))).join(F.broadcast(side).withColumnRenamed("hash", "_hash"), "_hash")
+    return found.filter(F.slice("_w", F.col("_at") + 1, n) == F.col("gram")).select("_id", "_row", F.col("_at").alias("start"), F.lit(n).alias("n"), F.col("_hash").alias("hash"), "gram")
+
+
+def shuffled(base: DataFrame, side: DataFrame, n: int) -> DataFrame:
+    """The same where `side` is large: hashes meet first, those that documents hold often by broadcast; then the texts of hits are verified."""
+    spark = base.sparkSession
+    hashed = base.filter(F.size("_w") >= n).select("_id", "_row", F.posexplode_outer(F.transform(windows(F.col("_w"), n), lambda g: F.xxhash64(g))).alias("_at", "hash"))
+    known = side.select("hash").distinct()
+    counts = shared_table(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).join(known, "hash"))
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    often = F.broadcast(counts.filter(F.col("c") > total / int(spark.conf.get("spark.sql.shuffle.partitions"))).select("hash"))  # no more than partitions
+    met = hashed.join(often, "hash").unionByName(hashed.join(often, "hash", "left_anti").join(known, "hash").select("hash", "_id", "_row", "_at"))
+    met = shared_table(met.select(F.col("_id").alias("i"), F.col("_row").alias("r"), F.col("_at").alias("start"), "hash").distinct())
+    texts = base.join(met, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_row") == F.col("r")))
+    return texts.join(side, "hash").filter(F.slice("_w", F.col("start") + 1, n) == F.col("gram")).select("_id", "_row", "start", F.lit(n).alias("n"), "hash", "gram")
+
+
+def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A stored table _id, _row, start (from 0), n, hash, gram: every verified occurrence of a window (`items`: see benchmark_windows) in a document."""
+    grams = items.select("hash", "n", "gram").distinct()
+    sizes = grams.groupBy("n").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.array_join("gram", " "))).alias("bytes")).orderBy("n").collect()  # at most SIZE rows
+    small = sum(r["rows"] for r in sizes) <= MOST_BROADCAST and sum(r["bytes"] for r in sizes) <= MOST_BYTES
     base = docs.select(F.col(id_col).alias("_id"), row_key(F.col(text_col)).alias("_row"), once(words(F.col(text_col))).alias("_w"))
-    found = []
-    for n in lengths or [SIZE]:
-        at = base.filter(F.size("_w") >= n)
-        side = grams.filter(F.col("n") == n).select(F.col("hash").alias("_hash"), "gram", "items")
-        if small:
-            # Generator, look-up and check run in one generated loop that copies hits only. The outer generator keeps
-            # the optimiser from computing all hashes once more for a filter on their number; null hashes join nothing.
-            hashed = at.withColumn("_hashes", window_hashes(F.col("_w"), n))
-            seen = hashed.select("_id", "_row", "_w", F.posexplode_outer("_hashes").alias("_at", "_hash")).join(F.broadcast(side), "_hash")
-            seen = seen.filter(F.slice("_w", F.col("_at") + 1, n) == F.col("gram"))
-        else:
-            seen = at.withColumn("_grams", windows(F.col("_w"), n)).select("_id", "_row", F.posexplode_outer("_grams").alias("_at", "_gram"))
-            seen = seen.withColumn("_hash", F.xxhash64("_gram")).join(side, "_hash").filter(F.col("_gram") == F.col("gram"))
-        found.append(seen.select("_id", "_row", F.col("_at").alias("start"), F.lit(n).alias("n"), "items"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    found = [(looked_up if small else shuffled)(base, grams.filter(F.col("n") == n).select("hash", "gram"), n) for n in [r["n"] for r in sizes] or [SIZE]]
+    return shared_table(reduce(DataFrame.unionByName, found))
 
 
 def covered(starts: Column) -> Column:
@@ -82,10 +93,12 @@ def covered(starts: Column) -> Column:
 
 def contamination(docs: DataFrame, bench: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of `docs`: the id, row_key, n_words, n_hit, spans array<struct<start, n>>, items array<string> sorted."""
-    per_doc = hits(docs, benchmark_windows(bench, size), id_col, text_col).groupBy("_id", "_row").agg(
-        F.array_sort(F.collect_set(F.struct("start", "n"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
+    items = benchmark_windows(bench, size)
+    seen = hits(docs, items, id_col, text_col)
+    spans = seen.groupBy("_id", "_row").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("spans"))
+    holding = seen.select("_id", "_row", "hash", "gram").distinct().join(items.drop("n"), ["hash", "gram"])
+    named = holding.groupBy("_id", "_row").agg(F.array_sort(F.collect_set("item")).alias("items")).select(F.col("_id").alias("_i"), F.col("_row").alias("_r"), "items")
+    per_doc = spans.join(named, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r")))
     every = docs.select(F.col(id_col), row_key(F.col(text_col)).alias("row_key"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_row"))
     none = F.array().cast("array<struct<start:int,n:int>>")
@@ -102,15 +115,17 @@ def decontaminated(docs: DataFrame, bench: DataFrame, remove: str = "documents",
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
     seen = hits(docs, benchmark_windows(bench, size), id_col, text_col)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (row_key(F.col(text_col)) == F.col("_row"))
     if remove == "documents":
-        return docs.join(seen.select("_id", "_row").distinct(), same, "left_anti")
+        return without(docs, seen.select("_id", "_row").distinct(), id_col, text_col)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
     spans = seen.groupBy("_id", "_row").agg(F.collect_set(F.struct("start", "n")).alias("_spans"))
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), 1)
-    tail = F.regexp_extract(F.col(text_col), r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)\z", 1)
+    pieces = F.regexp_extract_all(text, F.lit(r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), 1)
+    tail = F.regexp_extract(text, r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)\z", 1)
     kept = F.filter(pieces, lambda _, i: ~F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["n"])))
-    cut = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(kept, ""), tail))
-    return docs.join(spans, same, "left").select(*[cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    cut = F.when(F.col("_spans").isNull(), text).otherwise(F.concat(F.array_join(kept, ""), tail))
+    out = docs.toDF(*names).join(spans, own.eqNullSafe(F.col("_id")) & (row_key(text) == F.col("_row")), "left")
+    return out.select(*[cut if c == text_col else F.col(n) for c, n in zip(docs.columns, names)]).toDF(*docs.columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

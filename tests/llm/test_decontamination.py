@@ -68,3 +68,11 @@ def test_query(spark):
     for r in d.op10_decontamination(spark, TESTDATA).collect():
         n, hit, items = want[r.doc_id]
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(items), hit > 0)
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a short item", 1, 2, 3), (1, "clean", 4, 5, 6)], "doc_id long, text string, _id int, _row int, c1 int")
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    for remove, texts in (("documents", ["clean"]), ("spans", ["a", "clean"])):
+        out = d.decontaminated(docs, bench, remove=remove)
+        assert out.columns == docs.columns and sorted(r.text for r in out.collect()) == texts
