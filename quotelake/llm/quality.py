@@ -6,7 +6,8 @@ arrays (split statistic and bound of each inner node, value of each leaf), which
 level walks for all rows of a batch and all trees.
 
 Training reads at most MAX_ROWS labelled rows, those of least hash of their id, so the fit is the same
-at every partitioning; scoring covers every row. Null texts count as empty, and both have scores. Null
+at every partitioning; scoring covers every row. A label counts once, with the least of its id's texts where rows
+repeat an id. Null texts count as empty, and both have scores. Null
 labels and labels without a document are passed over. Without any label the score is 0.5; with labels
 of one kind it is their smoothed share. Rows are scored independently; an empty table stays empty,
 other columns are kept and columns with an output's name are replaced.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotelake.llm.common import add_by_text, table
+from quotelake.llm.common import add_by_text, bound_batches, first_rows, table
 
 MAX_ROWS, BINS, ROUNDS, DEPTH, RATE, L2, LEAST = 20_000, 64, 80, 4, 0.15, 1.0, 20
 STATISTICS = (
@@ -128,11 +129,13 @@ def crc_third(id_col: str):
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Trees:
     """Trees fitted to `labels` (0 or 1) of rows whose id's CRC-32 mod 3 is not 1, at most `max_rows` of them."""
-    usable = labels.filter(F.col(label).isin(0, 1) & (crc_third(id_col) != 1)).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y"))
-    chosen = usable.join(docs.select(F.col(id_col).alias("_have")), F.col("_id") == F.col("_have"), "left_semi")
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)
+    usable = labels.filter(F.col(label).isin(0, 1) & (crc_third(id_col) != 1)).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).distinct()
+    known = usable.join(docs.select(F.col(id_col).alias("_have")), F.col("_id") == F.col("_have"), "left_semi")
+    first = first_rows(known, [F.xxhash64("_id"), F.col("_id"), F.col("_y")], max_rows)
+    chosen = docs.sparkSession.createDataFrame(first, known.schema)
     texts = docs.select(F.col(id_col).alias("_have"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_have") == F.col("_id"))
-    out = with_statistics(texts.select("_id", "_y", "_text"), "_text").select("_id", "_y", "_statistics").toPandas()
+    texts = texts.groupBy("_id", "_y").agg(F.min("_text").alias("_text"))  # one for each label, however often an id repeats
+    out = with_statistics(texts, "_text").select("_id", "_y", "_statistics").toPandas()
     if not len(out):
         return Trees(0.0, np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)))
     x, y = np.array(out["_statistics"].tolist()), out["_y"].to_numpy()
@@ -164,6 +167,7 @@ def score(df: DataFrame, trees: Trees, text_col: str = "text", out_col: str = "s
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", (crc_third("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

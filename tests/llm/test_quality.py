@@ -42,3 +42,53 @@ def test_hard_rows(spark, hard):
         out = q.score(hard, q.train(hard, labels))
         assert out.count() == hard.count() and out.filter("score IS NULL OR score < 0 OR score > 1").count() == 0
     assert q.score(hard.limit(0), q.train(hard.limit(0), some)).count() == 0
+
+
+def plain_fit(x, y, rounds, depth):
+    """Boosted trees by their definition, node by node: the best split of the rows of each node over all statistics and cuts."""
+    start = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, q.BINS + 1)[1:-1])) for c in x.T]
+    total = np.full(len(y), start)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-total))
+        g, h = p - y, p * (1 - p)
+
+        def grow(rows, level):
+            if level == depth:
+                return -q.RATE * g[rows].sum() / (h[rows].sum() + q.L2)
+            best = (1e-9, None, None)
+            for f, column in enumerate(cuts):
+                for cut in column:
+                    left = rows[x[rows, f] <= cut]
+                    right = rows[x[rows, f] > cut]
+                    if min(len(left), len(right)) < q.LEAST:
+                        continue
+                    gain = sum(s * g[r].sum() ** 2 / (h[r].sum() + q.L2) for r, s in ((left, 1), (right, 1), (rows, -1)))
+                    if gain > best[0] + 1e-9:
+                        best = (gain, f, cut)
+            return (best[1], best[2], *(grow(r, level + 1) for r in ((rows[x[rows, best[1]] <= best[2]], rows[x[rows, best[1]] > best[2]]) if best[1] is not None else (rows, rows[:0]))))
+
+        tree = grow(np.arange(len(y)), 0)
+        for i, row in enumerate(x):
+            node = tree
+            while isinstance(node, tuple):
+                node = node[3] if node[0] is not None and row[node[0]] > node[1] else node[2]
+            total[i] += node
+    return 1 / (1 + np.exp(-total))
+
+
+def test_fit_equals_its_definition():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(300, 3)).round(1)
+    y = (x[:, 0] * x[:, 1] + 0.3 * r.normal(size=300) > 0).astype(float)
+    assert np.allclose(q.fit(x, y, rounds=3, depth=2).score(x), plain_fit(x, y, 3, 2))
+
+
+def test_a_repeated_id_is_one_row(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, f"text number {i}") for i in range(50)] + [(1, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(q, "fit", lambda x, y: seen.append(len(y)))
+    q.train(docs, labels)
+    q.train(docs, labels, max_rows=1)
+    assert seen == [1, 1]
