@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotelake.llm.common import add_by_text, table
+from quotelake.llm.common import add_by_text, bound_batches, table
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE = KINDS[:3]
@@ -112,6 +112,7 @@ def redacted(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def of(kind: str) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotelake.llm.common import add_by_text, table
+from quotelake.llm.common import add_by_text, bound_batches, table
 
 #: Chunks that a worker keeps before it starts its table anew, and characters of the longest one kept.
 TABLE_CHUNKS, CHUNK_CHARS = 150_000, 200
@@ -141,6 +141,7 @@ def encode(df: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "
 def op1_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    bound_batches(spark)
     model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
     out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     return digests(out)

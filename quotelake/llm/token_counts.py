@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotelake.llm.common import add_by_text, table
+from quotelake.llm.common import add_by_text, bound_batches, table
 
 #: Counts that a worker keeps before it starts anew, and characters of the longest string kept.
 KEPT, KEPT_CHARS = 1_000_000, 64
@@ -153,6 +153,7 @@ def count_tokens(df: DataFrame, definition: str, text_col: str = "text", out_col
 def op6_token_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> DataFrame:
     import public_tokenizers
 
+    bound_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = count_tokens(docs, Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
