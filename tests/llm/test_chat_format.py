@@ -49,6 +49,22 @@ def test_segments_make_up_the_output(spark):
         assert "".join(s.text for s in r.segments) == r.formatted
 
 
+def test_the_machine_runs_and_emits(spark):
+    """Steps that the table lacks are marked in the segments, which keep the loss flag of their role; each null id stands alone."""
+    rows = [*ROWS, (None, 0, "user", "no id"), (8, 0, "system", "s"), (8, 1, "user", "u"), (8, 2, "tool", "t"), (8, 3, "user", "u")]
+    out = c.formatted(spark.createDataFrame(rows, SCHEMA))
+    assert "zip_with" in out._jdf.queryExecution().optimizedPlan().toString()
+    by_id = {r.conv_id: r for r in out.collect()}
+    allowed = {(a, b) for a, roles in c.Template().turns.items() for b in roles}
+    for conv, turns in expected(rows).items():
+        fits = [(a, b) in allowed for a, b in zip(["start", *(r for r, _ in turns)], (r for r, _ in turns))]
+        if conv is not None:
+            assert [(s.fits, s.loss) for s in by_id[conv].segments] == [(f, i == 1 and r == "assistant") for f, (r, _) in zip(fits, turns) for i in range(3)]
+            assert by_id[conv].n_misplaced == fits.count(False) and by_id[conv].valid == (all(fits) and turns[-1][0] in c.Template().ends)
+    assert out.filter("conv_id IS NULL").count() == 2
+    assert "zip_with" in c.op8_chat_format(spark, TESTDATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{TESTDATA}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     rows += [(-7, 0, "user", c.HOSTILE), (-7, 1, "assistant", c.HOSTILE)]
