@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 #: Texts are handed to the Python kernels in slices of about so many bytes, from Arrow batches of at most so many rows.
 SLICE_BYTES, BATCH_ROWS = 8 << 20, 1000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +35,12 @@ def shared_table(df: DataFrame) -> DataFrame:
         root = tempfile.mkdtemp(prefix="quotelake-")  # one process, as in tests
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/quotelake/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # what was shuffled for a stored table isn't needed any more
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

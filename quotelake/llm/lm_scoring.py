@@ -19,7 +19,8 @@ join: their gains are broadcast and added while n-grams are exploded; the others
 That is `score`, for another corpus or a chosen vocabulary. The query is `score_whole`: by the documents' own counts
 of all words and n-grams of order 3, under 64-bit hashes, with no limit on their number. There every n-gram of a document
 was counted, so none backs off, and exploded n-grams are shuffled once, by hash: the count table comes about
-in the partitions where they lie, and each meets its count there. Of the n-grams that could skew this, HOT_KEPT at most,
+in the partitions where they lie, and each meets its count there. N-grams are dealt over PASSES jobs by hash, so that a share of
+them only is on disk at a time. Of the n-grams that could skew a shuffle, HOT_KEPT at most,
 tasks send counts only, and add their logarithms when the counts are known.
 
 Null and empty texts have n_words 0, total 0 and a null score. Rows that repeat an id and text get equal
@@ -50,6 +51,8 @@ ORDER = 3
 VOCABULARY, ALPHA, LEAST = 65_536, 0.4, 2
 #: N-grams whose gains or logarithms are broadcast; distinct words and n-grams that a task counts before it passes them on.
 HOT_KEPT, WORDS_HELD, KEYS_HELD = 262_144, 1_000_000, 4_000_000
+#: Jobs that n-grams are dealt over.
+PASSES = 3
 #: An n-gram may be hot from one in so many of those that a task counts at a time.
 SHARE = 1 << 18
 
@@ -323,14 +326,14 @@ def hot_ngrams(docs: DataFrame, order: int) -> np.ndarray:
 WEIGHT = 4
 
 
-def exploded_once(docs: DataFrame, hot, order: int) -> DataFrame:
-    """row, key, what: all n-grams of the two highest orders that aren't hot. Counts of hot ones, and under key 0 of all words, have no row;
-    counts of lower orders, which only texts of so few words need, have row 0."""
+def exploded_once(docs: DataFrame, hot, order: int, share: int) -> DataFrame:
+    """row, key, what: the n-grams of the two highest orders that aren't hot and fall to this share of PASSES. Counts of lower orders, which only texts of so
+    few words need, have row 0. The first share has the counts of hot ones too, and under key 0 that of all words: they have no row."""
 
     def run(batches):
         grams, keys, total = Grams(order), hot.value, 0
         hot_n, held, size = np.zeros(len(keys), np.int64), [np.empty(0, np.int64)], 0
-        names = ["row", "key", "what"]
+        names, own = ["row", "key", "what"], lambda key: key.view(np.uint64) % np.uint64(PASSES) == share
 
         def lower(held):
             key, n = counted(held)
@@ -340,24 +343,39 @@ def exploded_once(docs: DataFrame, hot, order: int) -> DataFrame:
             grams.read(part.column(1))
             row = part.column(0).to_numpy()
             key, text, sign = grams.signed()
-            at, there = found(keys, key)
-            hot_n += np.bincount(at[there], minlength=len(keys))
-            key, text, sign = key[~there], text[~there], sign[~there]
+            if not share:
+                at, there = found(keys, key)
+                hot_n += np.bincount(at[there], minlength=len(keys))
+            key, text, sign = (x[own(key)] for x in (key, text, sign))
+            cold = ~found(keys, key)[1]
             few, its_text = grams.short()
-            what = np.concatenate((WEIGHT + sign + 1, np.full(len(few), 2)))
-            yield pa.RecordBatch.from_arrays([pa.array(row[np.concatenate((text, its_text))]), pa.array(np.concatenate((key, few))), pa.array(what)], names=names)
-            held += [grams.keys(k)[0] for k in range(1, order - 1)]
-            size, total = size + len(grams.own) * (order - 2), total + len(grams.own)
+            few, its_text = few[own(few)], its_text[own(few)]
+            what = np.concatenate((WEIGHT + sign[cold] + 1, np.full(len(few), 2)))
+            yield pa.RecordBatch.from_arrays([pa.array(row[np.concatenate((text[cold], its_text))]), pa.array(np.concatenate((key[cold], few))), pa.array(what)], names=names)
+            for k in range(1, order - 1):
+                held.append((key := grams.keys(k)[0])[own(key)])
+                size += len(held[-1])
+            total += len(grams.own)
             if size > KEYS_HELD:
                 yield lower(held)
                 held, size = [np.empty(0, np.int64)], 0
         yield lower(held)
-        ends, n = np.append(keys, 0), np.append(hot_n, total)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(ends), pa.int64()), pa.array(ends), pa.array(WEIGHT * n + 1)], names=names)
+        if not share:
+            ends, n = np.append(keys, 0), np.append(hot_n, total)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(ends), pa.int64()), pa.array(ends), pa.array(WEIGHT * n + 1)], names=names)
 
     return docs.select("row", "text").mapInArrow(run, "row long, key long, what long")
 
 
+def sums_of(docs: DataFrame, hot, order: int, share: int) -> DataFrame:
+    """A stored table row, hot, more, n: for each row the sum of signed log10 counts of its n-grams of a share; for hot n-grams their count."""
+    met = exploded_once(docs, hot, order, share).withColumn("n", F.sum(F.floor(F.col("what") / WEIGHT)).over(Window.partitionBy("key")))
+    sign = F.col("what") % WEIGHT - 1
+    return shared_table(met.filter((sign != 0) | F.col("row").isNull()).groupBy("row", F.when(F.col("row").isNull(), F.col("key")).alias("hot")).agg(
+        F.sum(F.log10(F.col("n").cast("double")) * sign).alias("more"), F.max("n").alias("n")
+    ))
+
+
 def score_whole(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`score` of `docs` by their own counts, of every word and every n-gram: no vocabulary and no least count."""
     if order < 2:
@@ -365,13 +383,8 @@ def score_whole(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), row_key(F.col(text_col))).alias("row"), F.col(text_col).alias("text"))
     keys = spark.sparkContext.broadcast(hot_ngrams(rows, order))
-    met = exploded_once(rows, keys, order).withColumn("n", F.sum(F.floor(F.col("what") / WEIGHT)).over(Window.partitionBy("key")))
-    sign = F.col("what") % WEIGHT - 1
-    sums = met.filter((sign != 0) | F.col("row").isNull()).groupBy("row", F.when(F.col("row").isNull(), F.col("key")).alias("hot")).agg(
-        F.sum(F.log10(F.col("n").cast("double")) * sign).alias("more"), F.max("n").alias("n")
-    )
-    sums = shared_table(sums)
-    frequent = sums.filter("row IS NULL").select("hot", "n").toPandas().sort_values("hot")  # HOT_KEPT + 1 rows at most
+    parts = [sums_of(rows, keys, order, share) for share in range(PASSES)]
+    frequent = parts[0].filter("row IS NULL").select("hot", "n").toPandas()  # HOT_KEPT + 1 rows at most
     n = dict(zip(frequent["hot"], frequent["n"]))
     total = int(n.get(0, 0))
     logs = spark.sparkContext.broadcast(np.log10(np.maximum([int(n.get(k, 1)) for k in keys.value.tolist()], 1.0)))
@@ -387,7 +400,8 @@ def score_whole(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(grams.n.astype(np.int64)), pa.array(sums)], names=["id", "row", "n_words", "part"])
 
     copies = rows.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))  # rows that repeat an id and text
-    more = sums.filter("row IS NOT NULL").join(copies, "row").select("row", (F.col("more") / F.col("copies")).alias("more"))
+    sums = reduce(DataFrame.unionByName, parts).filter("row IS NOT NULL").groupBy("row").agg(F.sum("more").alias("more"))
+    more = sums.join(copies, "row").select("row", (F.col("more") / F.col("copies")).alias("more"))
     each = rows.mapInArrow(hot_part, schema).join(more, "row", "left").withColumn("part", F.col("part") + F.coalesce("more", F.lit(0.0)))
     return each.select(F.col("id").alias(id_col), "n_words", F.col("part").alias("total"), F.when(F.col("n_words") > 0, F.col("part") / F.col("n_words")).alias("score"))
 
