@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,15 +24,17 @@ def upper(t: Column) -> Column:
 
 
 def beam(t: Column) -> Column:
-    """struct<family, depth_mm, weight_kg_m, confidence>: W inch x lb/ft, HEA / HEB, I."""
+    """struct<family, depth_mm, weight_kg_m, width_mm, web_mm, confidence>: W inch x lb/ft, HEA / HEB depth x width x web, I depth x width."""
     u = upper(t)
-    w, he, i = rf"\bW\s*{NUMBER}{TIMES}{NUMBER}", rf"\b(HE[AB])\s*{NUMBER}", rf"\bI(?:PE)?\s*{NUMBER}"
+    w, he, i = rf"\bW\s*{NUMBER}{TIMES}{NUMBER}", rf"\b(HE[AB])\s*{NUMBER}(?:{TIMES}{NUMBER}(?:{TIMES}{NUMBER})?)?", rf"\bI(?:PE)?\s*{NUMBER}(?:{TIMES}{NUMBER})?"
     is_w, is_he, is_i = u.rlike(w), u.rlike(he), u.rlike(i)
     return F.struct(
         F.when(is_w, "W").when(is_he, found(u, he)).when(is_i, "I").alias("family"),
         F.when(is_w, number(u, w) * 25.4).when(is_he, number(u, he, 2)).when(is_i, number(u, i)).alias("depth_mm"),
         F.when(is_w, number(u, w, 2) * 1.488).alias("weight_kg_m"),
-        F.when(is_w, 0.95).when(is_he, 0.9).when(is_i, 0.7).otherwise(0.0).alias("confidence"),
+        F.when(is_w, None).when(is_he, number(u, he, 3)).when(is_i, number(u, i, 2)).alias("width_mm"),
+        F.when(~is_w & is_he, number(u, he, 4)).alias("web_mm"),
+        F.when(is_w, 0.95).when(is_he, 0.9).when(is_i, 0.7).when(u.rlike(r"\bBEAM\b"), 0.5).otherwise(0.0).alias("confidence"),
     )
 
 
@@ -57,22 +61,79 @@ def plate(t: Column) -> Column:
 
 
 def european(t: Column) -> Column:
-    """struct<standard, grade>."""
+    """struct<standard, grade, designation, confidence>: EN 10210 S355 K2H, EN10225 S275, EN 10025-2 S355J2."""
+    u = upper(t)
+    standard, grade = found(u, r"\bEN\s*([0-9]{5}(?:-[0-9])?)"), found(u, r"\b(S[0-9]{3}[A-Z0-9]*)\b")
+    designation = found(u, r"\bEN\s*[0-9]{5}(?:-[0-9])?\s+S[0-9]{3}[A-Z0-9]*\s+([A-Z][0-9][A-Z0-9]+)\b")
+    sure = F.when(standard.isNull(), 0.0).when(designation.isNotNull(), 0.95).when(grade.isNotNull(), 0.85).otherwise(0.7)
+    return F.struct(standard.alias("standard"), grade.alias("grade"), designation.alias("designation"), sure.alias("confidence"))
+
+
+#: Nominal diameters in mm -> inches.
+DN_INCHES = {50: 2.0, 100: 4.0, 150: 6.0, 200: 8.0, 250: 10.0, 300: 12.0, 500: 20.0}
+SIZE_WORDS = {"TWO": 2.0, "THREE": 3.0, "FOUR": 4.0, "SIX": 6.0, "EIGHT": 8.0, "TEN": 10.0, "TWELVE": 12.0}
+FAMILIES = {"LTCS": r"LOW TEMP|\bLTCS\b|\bLT CS\b", "CS": r"CARBON STEEL|\bCS\b", "SS": r"STAINLESS|\bSS(304L?|316L?)?\b", "ALLOY": r"ALLOY"}
+
+
+def inches(t: Column) -> Column:
+    """Nominal size: 6", 6 INCH, SIX INCH, DN by its table, else DN / 25 to the nearest half."""
     u = upper(t)
-    return F.struct(found(u, r"\bEN\s*([0-9]{5}(?:-[0-9])?)").alias("standard"), found(u, r"\b(S[0-9]{3}[A-Z0-9]*)\b").alias("grade"))
+    word = reduce(lambda c, x: c.when(u.rlike(rf"\b{x[0]}\s*(INCH|IN)\b"), x[1]), SIZE_WORDS.items(), F)
+    dn = number(u, r"\bDN\s*([0-9]+)")
+    known = reduce(lambda c, x: c.when(dn == x[0], x[1]), DN_INCHES.items(), F)
+    return F.coalesce(number(u, rf"{NUMBER}\s*(?:\"|INCH\b|IN\b)"), word, known, F.floor(dn / 25 * 2 + 0.5) / 2)
+
+
+def schedule(t: Column) -> Column:
+    return found(upper(t), r"\bSCH(?:EDULE)?\.?\s*([0-9]+S?|STD|XS|XXS)\b")
+
+
+def grade(t: Column) -> Column:
+    return found(upper(t), r"\bGR(?:ADE)?\.?\s*([A-Z0-9]+)\b")
 
 
 def pipe(t: Column) -> Column:
-    """struct<nps, schedule, standard, grade, form>: size in inches (or DN / 25), schedule without SCH, ASTM number, grade, seamless or welded."""
+    """struct<nps, schedule, family, standard, grade, form, words>: size in inches, schedule without SCH, kind of steel, ASTM number, grade, seamless or welded,
+    and how many of four words (seamless, welded, pipe, sch) it uses, as a mask."""
+    u = upper(t)
+    family = reduce(lambda c, x: c.when(u.rlike(x[1]), x[0]), FAMILIES.items(), F)
+    mask = reduce(lambda a, b: a + b, [F.when(F.contains(u, F.lit(w)), 1 << i).otherwise(0) for i, w in enumerate(("SEAMLESS", "WELDED", "PIPE", "SCH"))])
+    return F.struct(
+        inches(t).alias("nps"), schedule(t).alias("schedule"), family.alias("family"), found(u, r"\b(A[0-9]{2,3}[A-Z]?)\b").alias("standard"), grade(t).alias("grade"),
+        F.when(u.rlike(r"\b(SMLS|SEAMLESS)\b"), "SEAMLESS").when(u.rlike(r"\b(WELDED|ERW|SAW)\b"), "WELDED").alias("form"), mask.alias("words"),
+    )
+
+
+PRODUCTS = {"FLANGE": r"FLANGE|BLIND|SPECTACLE|SPADE", "FITTING": r"FITTING|ELBOW|\bTEE\b|REDUCER", "GASKET": r"GASKET", "FASTENER": r"FASTENER|BOLT|\bNUT\b"}
+
+
+def generic(t: Column) -> Column:
+    """struct<product, standard, grade, size, schedule, marks> of what has no parser of its own: kind of product, any standard, grade, size in inches, schedule (or
+    rating), and a mask of the words spade, spectacle and ring."""
     u = upper(t)
-    inch, dn = number(u, rf"{NUMBER}\s*(?:\"|INCH|IN\b)"), number(u, r"\bDN\s*([0-9]+)")
+    product = reduce(lambda c, x: c.when(u.rlike(x[1]), x[0]), PRODUCTS.items(), F)
+    marks = reduce(lambda a, b: a + b, [F.when(F.contains(u, F.lit(w)), 1 << i).otherwise(0) for i, w in enumerate(("SPADE", "SPECTACLE", "RING"))])
     return F.struct(
-        F.coalesce(inch, F.floor(dn / 25 * 2 + 0.5) / 2).alias("nps"), found(u, r"\bSCH(?:EDULE)?\.?\s*([0-9]+S?|STD|XS|XXS)\b").alias("schedule"),
-        found(u, r"\b(A[0-9]{2,3})\b").alias("standard"), found(u, r"\bGR(?:ADE)?\.?\s*([A-Z0-9]+)\b").alias("grade"),
-        F.when(u.rlike(r"\b(SMLS|SEAMLESS)\b"), "SEAMLESS").when(u.rlike(r"\b(WELDED|ERW|SAW)\b"), "WELDED").alias("form"),
+        product.alias("product"), found(u, r"\b(?:ASTM\s*)?(A[0-9]{2,3}[A-Z]?|B16\.[0-9]+|API\s?5L)\b").alias("standard"), grade(t).alias("grade"),
+        inches(t).alias("size"), F.coalesce(schedule(t), found(u, r"\b([0-9]+#)")).alias("schedule"), marks.alias("marks"),
     )
 
 
+def best(t: Column) -> Column:
+    """struct<kind, confidence>: what the parser that is surest says; the first of equal ones, and none at confidence 0. A European standard can raise the confidence."""
+    parsers = [("BEAM", beam(t)), ("TUBULAR", tubular(t)), ("PLATE", plate(t))]
+    top = F.greatest(*[p["confidence"] for _, p in parsers])
+    kind = reduce(lambda c, x: c.when((top > 0) & (x[1]["confidence"] == top), x[0]), parsers, F)
+    return F.struct(kind.alias("kind"), F.when(kind.isNotNull(), F.greatest(top, european(t)["confidence"])).otherwise(0.0).alias("confidence"))
+
+
+def ambiguous(t: Column) -> Column:
+    """Whether a description looks like more than one kind."""
+    u = upper(t)
+    signs = (rf"W\s*[0-9]+{TIMES}[0-9]|HE[AB]", r"TUBULAR", r"PL\s*[0-9]", r"[0-9]\s*\"\s*SCH")
+    return reduce(lambda a, b: a + b, [u.rlike(p).cast("int") for p in signs]) > 1
+
+
 def kind(t: Column) -> Column:
     """Of what sort a description is; the first that fits."""
     u = upper(t)
@@ -115,13 +176,14 @@ def sku_errors(s: Column) -> Column:
     return F.array_compact(F.array(*wrong))
 
 
-def close_points(a: Column, b: Column, steps: list[tuple[float, int]]) -> Column:
-    """Points of the first step whose relative difference isn't exceeded; none where a value is missing."""
-    gap = F.abs(a - b) / F.nullif(F.abs(b), F.lit(0.0))
-    out = F
-    for within, points in steps:
-        out = out.when(gap <= within, points)
-    return F.coalesce(out.otherwise(0), F.lit(0))
+def first_points(*steps: tuple[Column, int]) -> Column:
+    """Points of the first condition that holds; none where it can't be told."""
+    return F.coalesce(reduce(lambda c, x: c.when(x[0], x[1]), steps, F).otherwise(0), F.lit(0))
+
+
+def text_points(a: Column, b: Column, equal: int, part: int) -> Column:
+    """Points for equal texts, and fewer where one contains the other."""
+    return first_points((a == b, equal), (F.contains(a, b) | F.contains(b, a), part))
 
 
 def equal_points(a: Column, b: Column, points: int) -> Column:

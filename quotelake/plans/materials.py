@@ -116,14 +116,6 @@ def m01(spark, d):
     )
 
 
-@register("m17_best_matches")
-def m17(spark, d):
-    """The three best catalogue entries of each item's description."""
-    cat = described(spark, d)
-    lines = domain.items(spark, d).join(cat, "material_id").select(F.concat_ws(":", "run_id", "line_number", "material_id", "quantity", "item_price").alias("line"), "description")
-    return matching.best_matches(lines, cat, "description", "line", "material_id")
-
-
 @register("m25_sku", sql("SELECT material_id, upper(split_part(category, ' ', 1)) || '-STEEL-' || CASE material_id % 5 WHEN 1 THEN '10025' || '-2' WHEN 3 THEN '10025' ELSE 'XX' END || '-' || size || '-' || upper(replace(name, ' ', '')) || '-XX' AS sku, CASE WHEN material_id % 5 = 1 THEN 'segments' ELSE '' END AS errors FROM materials"))
 def m25(spark, d):
     """Six segments; a standard that holds the separator is found by the check."""

@@ -122,9 +122,11 @@ def test_parsers(spark):
 
 
 def test_matches_find_themselves(spark):
-    texts = ["W24x104 beam", "Tubular 700x20", "Plate PL12 EN 10025 S275", 'Pipe 6" SCH 40 A106 GR B SMLS', "nothing", None]
+    texts = ["W24x104 beam", "Tubular 700x20", "Plate PL12 EN 10025 S275", 'Pipe 6" SCH 40 A106 GR B SMLS CS', "nothing", None]
     cat = spark.createDataFrame(list(enumerate(texts)), "m long, d string")
-    out = matching.best_matches(cat.select(F.col("m").alias("line"), "d"), cat, "d", "line", "m").filter("rank = 1").collect()
+    every = matching.best_matches(cat.select(F.col("m").alias("line"), "d"), cat, "d", "line", "m")
+    assert {r.line for r in every.filter("strategy = 'none' AND m IS NULL AND NOT auto").collect()} == {4, 5}
+    out = every.filter("rank = 1").collect()
     assert {r.line: r.m for r in out} == {0: 0, 1: 1, 3: 3, 2: 2} and all(r.score >= 90 for r in out)
 
 
