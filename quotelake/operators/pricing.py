@@ -114,3 +114,30 @@ def overall_risk(margin: Column, credit: Column, anomalies: Column, availability
 
 def risk_level(score: Column) -> Column:
     return F.when(score < 30, "LOW").when(score < 60, "MEDIUM").otherwise("HIGH")
+
+
+def local_charges(value: Column, run: str, flat: float, value_pct: float | None, documents: float, bank: float, misc_pct: float) -> Column:
+    """A flat rate (or a share of the value), the item's part of what the run pays for documents and to the bank, and miscellaneous charges by value; to cents."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(run))
+    own = F.lit(flat) if value_pct is None else value * value_pct
+    return F.floor((own + (documents + bank) / n + value * misc_pct) * 100 + 0.5) / 100
+
+
+def tax_breakdown(subtotal: Column, amount: Column, rate: Column, name: Column) -> Column:
+    """array<struct<label, formatted>> of subtotal, tax and total, in dollars."""
+    money = lambda x: F.concat(F.lit("$"), F.format_number(x, 2))
+    part = lambda label, x: F.struct(label.alias("label"), money(x).alias("formatted"))
+    tax_label = F.concat(name, F.lit(" ("), F.format_number(F.coalesce(rate, F.lit(0.0)) * 100, 2), F.lit("%)"))
+    return F.array(part(F.lit("Subtotal"), subtotal), part(tax_label, amount), part(F.lit("Total (incl. tax)"), subtotal + amount))
+
+
+def availability(items: DataFrame, run: str, code: str) -> DataFrame:
+    """run, availability (15 points for each item without a code, 100 at most), n_issues."""
+    missing = F.count(F.when(F.coalesce(F.trim(F.col(code)), F.lit("")) == "", 1))
+    return items.groupBy(run).agg(F.least(missing * 15, F.lit(100)).cast("double").alias("availability"), missing.alias("n_issues"))
+
+
+def failed_checks(checks: dict[str, tuple[DataFrame, Column, str]]) -> DataFrame:
+    """check, result (pass, or what a failure means), n: for each check its rows, the condition of a bad one, and fail or warn."""
+    out = [rows.agg(F.count(F.when(bad, 1)).alias("n")).select(F.lit(name).alias("check"), F.when(F.col("n") == 0, "pass").otherwise(verdict).alias("result"), "n") for name, (rows, bad, verdict) in checks.items()]
+    return reduce(DataFrame.unionByName, out)

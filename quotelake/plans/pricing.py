@@ -274,14 +274,102 @@ def p28(spark, d):
     return out.select("term", "n", F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "one").otherwise("many").alias("outcome"), F.round(F.col("a") * 1.2, 4).alias("estimate"))
 
 
-@register("p40_validator", sql("SELECT 'items' AS check, CASE WHEN count(*) = 0 THEN 'pass' ELSE 'warn' END AS result, count(*) AS n FROM runs WHERE run_id NOT IN (SELECT run_id FROM items) UNION ALL SELECT 'duplicates', CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END, count(*) FROM (SELECT run_id, line_number FROM items GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'materials', CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END, count(*) FROM items WHERE material_id NOT IN (SELECT material_id FROM materials)"))
-def p40(spark, d):
-    """One row for each check of the workflow's data."""
-    items, runs = domain.items(spark, d), domain.runs(spark, d)
 
-    def check(name, bad, verdict):
-        n = bad.agg(F.count(F.lit(1)).alias("n"))
-        return n.select(F.lit(name).alias("check"), F.when(F.col("n") == 0, "pass").otherwise(verdict).alias("result"), "n")
 
-    twice = items.groupBy("run_id", "line_number").count().filter("count > 1")
-    return check("items", runs.join(items, "run_id", "left_anti"), "warn").unionByName(check("duplicates", twice, "fail")).unionByName(check("materials", items.join(domain.materials(spark, d), "material_id", "left_anti"), "fail"))
+@register("p19_tax_labels", sql("""SELECT run_id, '$' || format('{:,.2f}', total_price) AS subtotal, name || ' (' || format('{:,.2f}', rate * 100) || '%)' AS label, '$' || format('{:,.2f}', tax) AS tax, '$' || format('{:,.2f}', total_price + tax) AS total FROM (
+ SELECT run_id, total_price, coalesce(tax_rate, 0.0) AS rate, floor(total_price * coalesce(tax_rate, 0.0) * 100 + 0.5) / 100 AS tax, CASE WHEN tax_rate IS NULL THEN 'Tax' WHEN tax_rate < 0.15 THEN 'SST' ELSE 'VAT' END AS name FROM taxed)""", taxes=values(TAX_COLUMNS, TAX), taxed=TAXED))
+def p19(spark, d):
+    """Subtotal, tax and total as they are shown."""
+    day = F.to_date("created_at")
+    rules = literal(spark, TAX_COLUMNS, TAX).withColumns({c: F.to_date(c) for c in ("valid_from", "valid_to")})
+    rows = domain.runs(spark, d).join(domain.clients(spark, d).select("client_id", "nation_id"), "client_id")
+    valid = (F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (F.col("valid_to") >= day))
+    found = rows.alias("r").join(rules.alias("t"), (F.col("r.nation_id") == F.col("t.nation_id")) & valid, "left").drop(F.col("t.nation_id"))
+    one = joins.latest(found, ["run_id"], [F.desc_nulls_last("valid_from")]).withColumn("tax", pricing.tax(F.col("total_price"), F.col("tax_rate")))
+    name = F.when(F.col("tax_rate").isNull(), "Tax").when(F.col("tax_rate") < 0.15, "SST").otherwise("VAT")
+    b = pricing.tax_breakdown(F.col("total_price"), F.col("tax"), F.col("tax_rate"), name)
+    return one.select("run_id", b[0]["formatted"].alias("subtotal"), b[1]["label"].alias("label"), b[1]["formatted"].alias("tax"), b[2]["formatted"].alias("total"))
+
+
+LOCAL = "floor((10.0 + (60.0 + 25.0) / count(*) OVER (PARTITION BY run_id) + item_price * 0.002) * 100 + 0.5) / 100"
+
+
+def with_local(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("local", pricing.local_charges(F.col("item_price"), "run_id", 10.0, None, 60.0, 25.0, 0.002))
+
+
+@register("p15_local_charges", sql(f"SELECT run_id, line_number, material_id, quantity, {LOCAL} AS local FROM items"))
+def p15(spark, d):
+    """Flat rate, shares of documents and bank, miscellaneous by value."""
+    return with_local(domain.items(spark, d)).select("run_id", "line_number", "material_id", "quantity", "local")
+
+
+CODED = "SELECT *, CASE WHEN (material_id + run_id) % 4 = 0 THEN NULL WHEN (material_id + run_id) % 9 = 0 THEN ' ' ELSE 'M-' || material_id END AS code FROM items"
+
+
+def coded(spark: SparkSession, d: str) -> DataFrame:
+    """Items, some without a material code."""
+    k = F.col("material_id") + F.col("run_id")
+    return domain.items(spark, d).withColumn("code", F.when(k % 4 == 0, None).when(k % 9 == 0, " ").otherwise(F.concat(F.lit("M-"), F.col("material_id").cast("string"))))
+
+
+@register("p33_availability", sql("SELECT run_id, least(100, 15 * count(*) FILTER (coalesce(trim(code), '') = ''))::DOUBLE AS availability, count(*) FILTER (coalesce(trim(code), '') = '') AS n_issues FROM coded GROUP BY run_id", coded=CODED))
+def p33(spark, d):
+    """15 points for each item without a material code."""
+    return pricing.availability(coded(spark, d), "run_id", "code")
+
+
+@register("p11_price_run", sql(f"""SELECT run_id, count(*) AS n_items, count(*) FILTER (method = 'agreement') AS by_agreement, round(sum(unit_price * quantity), 6) AS subtotal, round(sum(duty), 6) AS duty, round(sum(freight + insurance + handling + local), 6) AS logistics,
+ round(sum(unit_price * quantity + duty + freight + insurance + handling + local), 6) AS landed, round(sum(weight), 6) AS weight_kg FROM (
+ SELECT *, {LOCAL} AS local FROM (SELECT *, greatest((item_price + freight) * 0.004 * 1.1, 5.0) AS insurance, item_price * 2.5 / 100 AS duty FROM (
+ SELECT *, greatest(CASE rate_method WHEN 'weight' THEN weight * rate WHEN 'value' THEN item_price * rate WHEN 'volume' THEN weight / 500.0 * rate ELSE coalesce(rate, 30.0) END, coalesce(least, 5.0)) AS freight, 12.0 + 150.0 / count(*) OVER (PARTITION BY run_id) AS handling FROM (
+ SELECT r.run_id, r.quantity, r.quantity * coalesce(p.kg, size) AS weight, coalesce(a.net, {PRICE}) AS unit_price, coalesce(a.net, {PRICE}) * r.quantity AS item_price, CASE WHEN a.net IS NULL THEN 'rules' ELSE 'agreement' END AS method, rates.method AS rate_method, rates.rate, rates.least
+ FROM ruled r LEFT JOIN agreed a USING ({', '.join(KEY)}) LEFT JOIN (SELECT nps, max(kg_per_m) FILTER (is_preferred) AS kg FROM pipes GROUP BY nps) p ON p.nps = r.size LEFT JOIN rates USING (category))))) GROUP BY run_id""",
+ priced=f"SELECT DISTINCT * FROM ({PRICED})", rules=values(RULE_COLUMNS, RULES), ruled=RULED.replace("FROM priced l", "FROM (SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY " + ", ".join(KEY) + ") = 1) l"), rates=values(RATE_COLUMNS, RATES),
+ pipes=values("dn int, nps double, schedule string, kg_per_m double, is_preferred boolean", [(50, 2.0, "40", 5.44, True), (100, 4.0, "40", 16.07, True), (150, 6.0, "40", 28.26, True), (None, 8.0, "40", 42.55, True)]),
+ conditions=values(CONDITION_COLUMNS, CONDITIONS), cascade=CASCADE.replace("FROM priced)", "FROM (SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY " + ", ".join(KEY) + ") = 1))"),
+ agreed=f"SELECT {', '.join(KEY)}, round((base * (1 - disc / 100) + sur) * (1 + t / 100) + lme, 4) AS net FROM (SELECT {', '.join(KEY)}, sum(rate) FILTER (condition_type = 'BASE_PRICE') AS base, coalesce(sum(rate) FILTER (condition_type = 'DISCOUNT'), 0) AS disc, coalesce(sum(rate) FILTER (condition_type = 'SURCHARGE'), 0) AS sur, coalesce(sum(rate) FILTER (condition_type = 'TAX'), 0) AS t, coalesce(sum(rate) FILTER (condition_type = 'LME'), 0) AS lme FROM (SELECT *, min(lvl) OVER (PARTITION BY {', '.join(KEY)}) AS best FROM cascade) WHERE lvl = best GROUP BY {', '.join(KEY)})"))
+def p11(spark, d):
+    """A whole price run: material and pipe weight, agreement price or else rules, freight, insurance, handling, local charges and duty on the price, totals by run."""
+    items = ruled(spark, d).withColumn("by_rules", rule_price())
+    agreed = p01(spark, d).select(*KEY, "net")
+    pipes = [(2.0, 5.44), (4.0, 16.07), (6.0, 28.26), (8.0, 42.55)]
+    rows = items.join(agreed, KEY, "left").join(literal(spark, "nps double, kg double", pipes), F.col("size") == F.col("nps"), "left").join(literal(spark, RATE_COLUMNS, RATES), "category", "left")
+    rows = rows.withColumns({"unit_price": F.coalesce("net", "by_rules"), "weight": F.col("quantity") * F.coalesce("kg", F.col("size").cast("double"))}).withColumn("item_price", F.col("unit_price") * F.col("quantity"))
+    weight, value = F.col("weight"), F.col("item_price")
+    rows = rows.withColumn("freight", pricing.freight(weight, value, weight / 500.0, F.col("method"), F.coalesce("rate", F.lit(30.0)), F.coalesce("least", F.lit(5.0))))
+    rows = rows.withColumn("handling", pricing.shared_cost(F.lit(12.0), F.lit(150.0), "run_id"))
+    rows = with_local(rows.withColumn("insurance", pricing.insurance(value, F.col("freight"), F.lit(0.004), F.lit(1.1), F.lit(1.0), F.lit(5.0))))
+    rows = rows.withColumn("duty", pricing.duty(F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(2.5), value))
+    logistics = F.col("freight") + F.col("insurance") + F.col("handling") + F.col("local")
+    total = lambda c: F.round(F.sum(c), 6)
+    return rows.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_items"), F.count("net").alias("by_agreement"), total(value).alias("subtotal"), total("duty").alias("duty"), total(logistics).alias("logistics"),
+        total(value + F.col("duty") + logistics).alias("landed"), total("weight").alias("weight_kg"),
+    )
+
+
+@register("p40_validator", sql("""SELECT 'tenant' AS check, CASE WHEN count(*) FILTER (lifetime_value < -900) = 0 THEN 'pass' ELSE 'fail' END AS result, count(*) FILTER (lifetime_value < -900) AS n FROM clients
+ UNION ALL SELECT 'status', CASE WHEN count(*) FILTER (status IS NULL) = 0 THEN 'pass' ELSE 'fail' END, count(*) FILTER (status IS NULL) FROM runs
+ UNION ALL SELECT 'items', CASE WHEN count(*) = 0 THEN 'pass' ELSE 'warn' END, count(*) FROM runs WHERE run_id NOT IN (SELECT run_id FROM items)
+ UNION ALL SELECT 'quantity', CASE WHEN count(*) FILTER (quantity IS NULL OR quantity <= 0) = 0 THEN 'pass' ELSE 'fail' END, count(*) FILTER (quantity IS NULL OR quantity <= 0) FROM items
+ UNION ALL SELECT 'code', CASE WHEN count(*) FILTER (coalesce(trim(code), '') = '') = 0 THEN 'pass' ELSE 'warn' END, count(*) FILTER (coalesce(trim(code), '') = '') FROM coded
+ UNION ALL SELECT 'client', CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END, count(*) FROM runs WHERE client_id NOT IN (SELECT client_id FROM clients)
+ UNION ALL SELECT 'duplicates', CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END, count(*) FROM (SELECT run_id, line_number FROM items GROUP BY ALL HAVING count(*) > 1)
+ UNION ALL SELECT 'materials', CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END, count(*) FROM items WHERE material_id NOT IN (SELECT material_id FROM materials)
+ UNION ALL SELECT 'pricing rules', CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END, count(*) FROM materials WHERE category NOT IN ('ECONOMY', 'PROMO', 'STANDARD', 'SMALL')
+ UNION ALL SELECT 'logistics rates', CASE WHEN count(*) = 0 THEN 'pass' ELSE 'warn' END, count(*) FROM materials WHERE category NOT IN (SELECT category FROM rates)
+ UNION ALL SELECT 'tax rules', CASE WHEN count(*) FILTER (tax_rate IS NULL) = 0 THEN 'pass' ELSE 'warn' END, count(*) FILTER (tax_rate IS NULL) FROM taxed
+ UNION ALL SELECT 'cost', CASE WHEN count(*) FILTER (base_cost IS NULL OR base_cost <= 0) = 0 THEN 'pass' ELSE 'fail' END, count(*) FILTER (base_cost IS NULL OR base_cost <= 0) FROM materials""", coded=CODED, rates=values(RATE_COLUMNS, RATES), taxes=values(TAX_COLUMNS, TAX), taxed=TAXED))
+def p40(spark, d):
+    """The twelve checks of the workflow's data, each one row: the tenant's standing, states, items, quantities, codes, clients, duplicates, materials, rules, rates, taxes, costs."""
+    items, runs, clients, materials = domain.items(spark, d), domain.runs(spark, d), domain.clients(spark, d), domain.materials(spark, d)
+    every, rates = F.lit(True), [r[0] for r in RATES]
+    blank = F.coalesce(F.trim("code"), F.lit("")) == ""
+    return pricing.failed_checks({
+        "tenant": (clients, F.col("lifetime_value") < -900, "fail"), "status": (runs, F.col("status").isNull(), "fail"), "items": (runs.join(items, "run_id", "left_anti"), every, "warn"),
+        "quantity": (items, F.coalesce(F.col("quantity") <= 0, F.lit(True)), "fail"), "code": (coded(spark, d), blank, "warn"), "client": (runs.join(clients, "client_id", "left_anti"), every, "fail"),
+        "duplicates": (items.groupBy("run_id", "line_number").count(), F.col("count") > 1, "fail"), "materials": (items.join(materials, "material_id", "left_anti"), every, "fail"),
+        "pricing rules": (materials, ~F.col("category").isin(*rates), "fail"), "logistics rates": (materials, ~F.col("category").isin(*rates), "warn"),
+        "tax rules": (p18(spark, d), F.col("label") == "none", "warn"), "cost": (materials, F.coalesce(F.col("base_cost") <= 0, F.lit(True)), "fail"),
+    })
