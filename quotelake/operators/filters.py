@@ -83,3 +83,9 @@ class TenantCatalog:
     def table(self, name: str) -> DataFrame:
         own = F.col(self.column) == self.tenant
         return self.tables[name].filter(own | F.col(self.column).isNull() if name in self.shared else own)
+
+
+def expiring(df: DataFrame, until: str, today: str, days: int) -> DataFrame:
+    """Rows whose date lies between today and `days` later, with days_left: what a job that runs once a day reports."""
+    left = F.date_diff(F.col(until), F.lit(today).cast("date"))
+    return df.withColumn("days_left", left).filter(F.col("days_left").between(0, days))

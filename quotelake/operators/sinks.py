@@ -67,3 +67,8 @@ def flat(df: DataFrame) -> DataFrame:
         return out
 
     return df.select(*leaves(df.schema, ()))
+
+
+def next_versions(versions: DataFrame, key: list[str], version: str) -> DataFrame:
+    """key, next_version: one more than the largest of each key."""
+    return versions.groupBy(*key).agg((F.coalesce(F.max(version), F.lit(0)) + 1).alias("next_version"))

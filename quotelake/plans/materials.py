@@ -59,7 +59,16 @@ def s03(spark, d):
     return name_pairs(spark, d).select("a", "b", F.round(similarity.jaro_winkler("a", "b"), 6).alias("jw"))
 
 
-@register("s08_soundex")
+def sound(x: str) -> str:
+    """Letters as digits, equal ones next to each other as one, behind the first letter."""
+    letters = f"regexp_replace(upper({x}), '[^A-Z]', '', 'g')"
+    digits = f"translate({letters}, 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '111122222222334556')"
+    for i in range(1, 7):
+        digits = f"regexp_replace({digits}, '{i}+', '{i}', 'g')"
+    return f"CASE WHEN {letters} = '' THEN '' ELSE rpad((left({letters}, 1) || CASE WHEN contains('AEIOUYHW', left({letters}, 1)) THEN {digits} ELSE substr({digits}, 2) END)[1:4], 4, '0') END"
+
+
+@register("s08_soundex", sql(f"SELECT client_id, {sound('client')} AS code, {sound('client')} = {sound('segment')} AS same FROM clients"))
 def s08(spark, d):
     return domain.clients(spark, d).select("client_id", similarity.soundex(F.col("client")).alias("code"), (similarity.soundex(F.col("client")) == similarity.soundex(F.col("segment"))).alias("same"))
 

@@ -16,8 +16,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares; a folder of this machine only where none is named, as in tests."""
+    """A new folder below the one that the cluster shares; a folder of this machine only in a local session without one, as in tests."""
     if not (root := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quotelake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quotelake-stream/{uuid.uuid4().hex}"
@@ -72,7 +74,8 @@ def elapsed(starts: DataFrame, ends: DataFrame, key: str, ts: str, within: str =
 
 
 def merge_into(path: str, key: list[str], order: str):
-    """For foreachBatch: the stored table at `path` with each key's newest row, written to a new version beside it and then named in `current`."""
+    """For foreachBatch: the stored table at `path` with each key's newest row, written to a new version beside it and then named under `current`, which
+    `current_version` reads: readers see the version before until the new one is whole."""
 
     def put(batch: DataFrame, n: int) -> None:
         from quotelake.operators.sinks import upsert
@@ -81,10 +84,16 @@ def merge_into(path: str, key: list[str], order: str):
         out = f"{path}/version={n}"
         old = spark.read.parquet(f"{path}/version={n - 1}") if n else batch.limit(0)
         upsert(old, batch, key, [F.desc(order)]).write.mode("overwrite").parquet(out)
+        spark.range(n, n + 1).coalesce(1).write.mode("append").parquet(f"{path}/current")
 
     return put
 
 
+def current_version(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of a table that `merge_into` keeps."""
+    return spark.read.parquet(f"{path}/version={spark.read.parquet(f'{path}/current').agg(F.max('id')).first()[0]}")
+
+
 #: (status, event) -> status. Level 1 goes on to level 2 and 3 by `levels`; other events are refused.
 TRANSITIONS = {
     ("draft", "submit"): "pending", ("rejected", "submit"): "pending", ("pending", "approve"): "next", ("pending", "reject"): "rejected", ("approved", "approve"): "approved", ("approved", "send"): "sent",
