@@ -119,12 +119,12 @@ def generic(t: Column) -> Column:
     )
 
 
-def best(t: Column) -> Column:
-    """struct<kind, confidence>: what the parser that is surest says; the first of equal ones, and none at confidence 0. A European standard can raise the confidence."""
-    parsers = [("BEAM", beam(t)), ("TUBULAR", tubular(t)), ("PLATE", plate(t))]
+def best(beam: Column, tubular: Column, plate: Column, european: Column) -> Column:
+    """struct<kind, confidence> of the parsed structs: the parser that is surest, the first of equal ones, and none at confidence 0. A European standard can raise the confidence."""
+    parsers = [("BEAM", beam), ("TUBULAR", tubular), ("PLATE", plate)]
     top = F.greatest(*[p["confidence"] for _, p in parsers])
     kind = reduce(lambda c, x: c.when((top > 0) & (x[1]["confidence"] == top), x[0]), parsers, F)
-    return F.struct(kind.alias("kind"), F.when(kind.isNotNull(), F.greatest(top, european(t)["confidence"])).otherwise(0.0).alias("confidence"))
+    return F.struct(kind.alias("kind"), F.when(kind.isNotNull(), F.greatest(top, european["confidence"])).otherwise(0.0).alias("confidence"))
 
 
 def ambiguous(t: Column) -> Column:

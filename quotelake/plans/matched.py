@@ -96,5 +96,5 @@ def m05(spark, d):
     """The surest parser of each description, and whether it looks like several kinds."""
     e = entries(spark, d).select("description")
     texts = lines(spark, d).select("description").union(e).union(e.select(F.concat("description", F.lit(" on "), F.lower("description")))).distinct()
-    b = parse.best(F.col("description"))
-    return texts.select("description", b["kind"].alias("kind"), b["confidence"].cast("double").alias("confidence"), parse.ambiguous(F.col("description")).alias("ambiguous"))
+    b = parse.best(*map(F.col, ("beam", "tubular", "plate", "en")))
+    return matching.attributes(texts, "description").select("description", b["kind"].alias("kind"), b["confidence"].cast("double").alias("confidence"), parse.ambiguous(F.col("description")).alias("ambiguous"))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from quotelake.operators import documents, filters, sinks
 from quotelake.registry import register
 from quotelake.sources import domain, files
-from quotelake.sources.domain import AS_OF, sql
+from quotelake.sources.domain import sql
 from quotelake.streaming.flows import scratch
 
+#: A day on which orders were still coming in.
+TODAY = "2001-06-30"
 TENANTED = "SELECT *, CASE WHEN supplier_id % 7 = 0 THEN NULL ELSE 't' || (supplier_id % 5) END AS tenant_id FROM items"
 
 
@@ -37,10 +39,10 @@ def io03(spark, d):
     return sums(tenanted(spark, d, True))
 
 
-@register("f05_default_range", sql(f"SELECT status, count(*) AS n FROM runs WHERE CAST(created_at AS DATE) BETWEEN CAST('{AS_OF}' AS DATE) - 90 AND CAST('{AS_OF}' AS DATE) GROUP BY status"))
+@register("f05_default_range", sql(f"SELECT status, count(*) AS n FROM runs WHERE CAST(created_at AS DATE) BETWEEN CAST('{TODAY}' AS DATE) - 90 AND CAST('{TODAY}' AS DATE) GROUP BY status"))
 def f05(spark, d):
     """Without valid dates: the last 90 days."""
-    start, end = filters.default_range("not a date", None, AS_OF)
+    start, end = filters.default_range("not a date", None, TODAY)
     return domain.runs(spark, d).filter(F.to_date("created_at").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -92,8 +94,8 @@ def w06_next(spark, d):
     return sinks.next_versions(ranked, ["client_id"], "version")
 
 
-@register("t10_expiring", sql(f"SELECT run_id, CAST(created_at AS DATE) + 90 AS valid_until, datediff('day', CAST('{AS_OF}' AS DATE), CAST(created_at AS DATE) + 90) AS days_left FROM runs WHERE status = 'approved' AND CAST(created_at AS DATE) + 90 BETWEEN CAST('{AS_OF}' AS DATE) AND CAST('{AS_OF}' AS DATE) + 30"))
+@register("t10_expiring", sql(f"SELECT run_id, CAST(created_at AS DATE) + 90 AS valid_until, datediff('day', CAST('{TODAY}' AS DATE), CAST(created_at AS DATE) + 90) AS days_left FROM runs WHERE status = 'approved' AND CAST(created_at AS DATE) + 90 BETWEEN CAST('{TODAY}' AS DATE) AND CAST('{TODAY}' AS DATE) + 30"))
 def t10(spark, d):
     """The daily look at what expires within 30 days (offers hold for 90)."""
     until = F.date_add(F.to_date("created_at"), 90)
-    return filters.expiring(domain.runs(spark, d).filter("status = 'approved'").withColumn("valid_until", until), "valid_until", AS_OF, 30).select("run_id", "valid_until", F.col("days_left").cast("long").alias("days_left"))
+    return filters.expiring(domain.runs(spark, d).filter("status = 'approved'").withColumn("valid_until", until), "valid_until", TODAY, 30).select("run_id", "valid_until", F.col("days_left").cast("long").alias("days_left"))
