@@ -10,19 +10,19 @@ from quotelake.streaming import flows
 
 @register("t01_event_log", "SELECT event_id, event_type, user_id FROM events")
 def t01(spark, d):
-    return flows.run(flows.append_log(flows.source(spark, d, "events"), "event_id", ["event_type", "user_id"]))
+    return flows.run(flows.append_log(flows.source(spark, d, "events"), "event_id", ["event_type", "user_id"], "ts"))
 
 
 @register("t03_daily_cost", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS calls, round(sum(value), 4) AS cost FROM events GROUP BY ALL")
 def t03(spark, d):
-    out = flows.run(flows.windowed_cost(flows.source(spark, d, "events"), "ts", ["event_type"], "value"), "complete")
+    out = flows.run(flows.windowed_cost(flows.source(spark, d, "events"), "ts", ["event_type"], "value"), "update", ["start", "event_type"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "calls", F.round("cost", 4).alias("cost"))
 
 
 @register("t04_rolling_cost", "SELECT date_trunc('day', ts) - INTERVAL 1 DAY * k AS start, count(*) AS calls, round(sum(value), 4) AS cost FROM events, (SELECT unnest(range(0, 7)) AS k) GROUP BY ALL")
 def t04(spark, d):
     """Seven days, a new window each day."""
-    out = flows.run(flows.windowed_cost(flows.source(spark, d, "events"), "ts", [], "value", "7 days", "1 day"), "complete")
+    out = flows.run(flows.windowed_cost(flows.source(spark, d, "events"), "ts", [], "value", "7 days", "1 day"), "update", ["start"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "calls", F.round("cost", 4).alias("cost"))
 
 

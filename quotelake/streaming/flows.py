@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quotelake.operators.joins import latest
+
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the one that the cluster shares; a folder of this machine only in a local session without one, as in tests."""
@@ -34,8 +36,8 @@ def source(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | N
     return reader.parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def run(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything that is there now, then end. append: all rows that were put out; complete: the last result."""
+def run(stream: DataFrame, mode: str = "append", key: list[str] | None = None) -> DataFrame:
+    """Everything that is there now, then end. append: all rows that were put out; update: the last row of each `key`, whose state may end with its watermark."""
     spark, path = stream.sparkSession, scratch(stream.sparkSession)
 
     def put(batch: DataFrame, n: int) -> None:
@@ -43,14 +45,12 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(f"{path}/out")
-    if mode == "complete":
-        out = out.filter(F.col("batch") == out.agg(F.max("batch")).first()[0])
-    return out.drop("batch")
+    return (latest(out, key, [F.desc("batch")]) if mode == "update" else out).drop("batch")
 
 
-def append_log(stream: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """An event is written once and never changed."""
-    return stream.dropDuplicates([key]).select(key, *columns)
+def append_log(stream: DataFrame, key: str, columns: list[str], ts: str, late: str = "2 days") -> DataFrame:
+    """An event is written once and never changed; a key is remembered as long as a copy of its event may be late."""
+    return stream.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late).dropDuplicatesWithinWatermark([key]).select(key, *columns)
 
 
 def windowed_cost(stream: DataFrame, ts: str, by: list[str], cost: str, length: str = "1 day", slide: str | None = None, late: str = "2 days") -> DataFrame:
