@@ -171,12 +171,14 @@ def s16(spark, d):
     return tables(spark, d).select("run_id", s.alias("score"), (s >= documents.ACCEPT).alias("accepted"))
 
 
-@register("d01_chunks", "SELECT doc_id, count(*) AS n, sum(last - first + 1)::BIGINT AS pages FROM (SELECT doc_id, s AS first, least(s + CASE WHEN n <= 3 THEN 2 ELSE 3 END, n) AS last FROM (SELECT doc_id, n, unnest(CASE WHEN n <= 3 THEN [1] ELSE range(1, n + 1, 3) END) AS s FROM (SELECT doc_id, CAST(1 + coalesce(n_chars, 0) // 1000 AS INTEGER) AS n FROM documents) WHERE n <= 200)) GROUP BY doc_id")
+@register("d01_chunks", "SELECT doc_id, coalesce(k, 0) AS n, coalesce(pages, 0) AS pages, CASE WHEN p > 200 THEN 'more than 200 pages' END AS error FROM (SELECT doc_id, CAST(1 + coalesce(n_chars, 0) // 500 AS INTEGER) AS p FROM documents) LEFT JOIN (SELECT doc_id, count(*) AS k, sum(last - first + 1)::BIGINT AS pages FROM (SELECT doc_id, s AS first, least(s + CASE WHEN n <= 3 THEN 2 ELSE 3 END, n) AS last FROM (SELECT doc_id, n, unnest(CASE WHEN n <= 3 THEN [1] ELSE range(1, n + 1, 3) END) AS s FROM (SELECT doc_id, CAST(1 + coalesce(n_chars, 0) // 500 AS INTEGER) AS n FROM documents) WHERE n <= 200)) GROUP BY doc_id) USING (doc_id)")
 def d01(spark, d):
-    """Documents of one page for each thousand characters, in overlapping chunks."""
-    n = (1 + F.floor(F.coalesce(F.col("n_chars"), F.lit(0)) / 1000)).cast("int")
-    c = domain.read(spark, d, "documents").select("doc_id", F.explode(documents.chunks(n)).alias("c"))
-    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.last") - F.col("c.first") + 1).alias("pages"))
+    """Documents of one page for each 500 characters, in overlapping chunks; those of more than 200 pages are reported, not cut."""
+    n = (1 + F.floor(F.coalesce(F.col("n_chars"), F.lit(0)) / 500)).cast("int")
+    c = domain.read(spark, d, "documents").select("doc_id", documents.chunks(n).alias("chunks"))
+    pages = F.aggregate(F.coalesce("chunks", F.array().cast("array<struct<first:int,last:int>>")), F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
+    error = F.when(F.col("chunks").isNull(), "more than 200 pages")
+    return c.select("doc_id", F.when(F.col("chunks").isNull(), 0).otherwise(F.size("chunks")).cast("long").alias("n"), pages.alias("pages"), error.alias("error"))
 
 
 @register("w12_page_neighbours", "SELECT DISTINCT doc_id, p AS page FROM (SELECT doc_id, unnest(range(greatest(CAST(hit AS INTEGER) - 2, 1), least(CAST(hit AS INTEGER) + 2, CAST(n AS INTEGER)) + 1)) AS p FROM (SELECT doc_id, 1 + n_chars // 1000 AS n, 1 + doc_id % (1 + n_chars // 1000) AS hit FROM documents))")
