@@ -259,3 +259,37 @@ def test_every_run_has_keyed_rows(spark):
     d = "/root/testdata/sf0.001"
     runs = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey").distinct().count()
     assert d05c(spark, d).count() == runs
+
+
+def test_takeoff_codes_and_specifications(spark):
+    from quotelake.functions import sku
+
+    code = lambda t, s: one(spark, sku.takeoff_code(F.lit(t), F.lit(None).cast("string"), F.lit(s)))
+    assert code("W36X194", "ASTM A992") == "M-CS-BEAM-W36X194-ROLL-A992"
+    assert code("Pipe 406.4×25.4", "ASTM A106") == "M-CS-PIPE-OD406_4_WT25_4-SEAM-A106"
+    assert code("1828.8->1371.6x38", "A36") == "M-CS-CONE-1828_8_1371_6_T38-FABR-A36"
+    assert code("1828.8x44.5", "") == "M-CS-TUBROLLED-OD1828_8_WT44_5-ROLL" and code("PL60", None) == "M-CS-PLATE-T60-PLAT" and code("bolt", "A36") is None
+    spec = lambda t: one(spark, sku.specification(F.lit(t)))
+    assert tuple(spec("457 x 39.61 x 11800"))[:4] == ("TUBULAR", 457.0, 39.61, 11800.0) and spec("W14x38").first == 14.0
+    assert spec("EN10210 S355 K2H").kind == "STANDARD" and spec(None).confidence == 0.0 and spec("unknown").confidence == 0.3
+    assert one(spark, sku.category_code(F.lit("Gasket"))) == "GASK" and one(spark, sku.category_code(F.lit("Weld neck flanges"))) == "FLNG"
+
+
+def test_line_items_without_columns(spark):
+    from quotelake.operators import extraction
+
+    rows = [("d", 0, ["1", "Pipe 6 inch", "", "12 EA"]), ("d", 1, ["", "short", "x", "n/a"]), ("d", 2, ["XX", "", "", ""]), ("d", 3, ["", "FLANGES", "", ""]), ("d", 4, ["", "Flange blind", "", "1,200 pcs"]), ("d", 5, [None, None, None, None])]
+    df = spark.createDataFrame(rows, "doc string, row int, cells array<string>")
+    out = sorted(extraction.line_items(df, "doc", "row", "cells", {"item": 0}, ["Item", "A b", "C", "D"]).collect(), key=lambda r: r.row)
+    assert [(r.row, r.line_number, r.section) for r in out] == [(0, 1, None), (4, 10004, "FLANGES")]
+    out = extraction.line_items(df, "doc", "row", "cells", {"item": 0, "description": 1}, ["Item", "A b", "C", "D"]).filter("row = 0").collect()
+    assert out[0].quantity == 12.0 and out[0].unit == "EA" and out[0].extras == {"d": "12 EA"}
+
+
+def test_next_versions_and_expiries(spark):
+    from quotelake.operators import filters
+
+    v = spark.createDataFrame([("a", 1), ("a", 3), ("b", None)], "k string, v int")
+    assert {r.k: r.next_version for r in sinks.next_versions(v, ["k"], "v").collect()} == {"a": 4, "b": 1}
+    e = spark.createDataFrame([("2020-01-01",), ("2020-01-10",), ("2020-02-10",), (None,)], "u string").withColumn("u", F.to_date("u"))
+    assert [r.days_left for r in filters.expiring(e, "u", "2020-01-05", 30).collect()] == [5]
