@@ -48,8 +48,8 @@ SIZE = 5
 NUM, DEN = 3, 7
 #: Counters of a task's shingle sketch; the most counters that are broadcast.
 SKETCH_BITS, HEAVY_KEPT = 20, 65_536
-#: The most classes, or pairs of them, that are broadcast (under 100 bytes each); more are joined by a shuffle, so that all but toy tables work alike.
-MOST_BROADCAST = 2_000
+#: The most classes, or pairs of them, that are broadcast (under 100 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 #: Classes whose copies a task passes over; members of a block and entries of a list, about, that meet in one cell.
 KEYS_SEEN, BLOCK, CELL = 200_000, 128, 8192
 
