@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quotelake.llm import chat_format, decontamination, exact_dedup, filter_audit, license_scan, lm_scoring, ngram_jaccard, quality, secret_scan, sentencepieces, token_counts
+from quotelake.llm import chat_format, decontamination, exact_dedup, filter_audit, lexical_search, license_scan, lm_scoring, ngram_jaccard, quality, secret_scan, sentencepieces, token_counts
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_quality": quality.op9_quality,
         "op10_decontamination": decontamination.op10_decontamination,
+        "op11_lexical_search": lexical_search.op11_lexical_search,
         "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
@@ -29,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_lm_scoring": lm_scoring.ORACLE,
         "op8_chat_format": chat_format.ORACLE,
         "op10_decontamination": decontamination.ORACLE,
+        "op11_lexical_search": lexical_search.ORACLE,
         "op13_filter_audit": filter_audit.ORACLE,
     }
