@@ -110,13 +110,13 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-WITH d AS (SELECT row_number() OVER () AS at, doc_id, {SQL_WORDS.format("text")} AS w FROM documents),
-p AS (SELECT at, doc_id, n, term, count(*) AS tf FROM (SELECT at, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {SQL_WORDS.format("text")} AS w FROM documents),
+p AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
 c AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_words FROM d WHERE len(w) > 0),
 b AS (SELECT DISTINCT item_id, unnest({SQL_WORDS.format("text")}) AS term FROM benchmark),
 f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
-s AS (SELECT item_id, at, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_words))))::BIGINT AS score
-      FROM b JOIN f USING (term) JOIN p USING (term), c GROUP BY item_id, at, doc_id)
+s AS (SELECT item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_words))))::BIGINT AS score
+      FROM b JOIN f USING (term) JOIN p USING (term), c GROUP BY item_id, rid, doc_id)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, at) AS rank FROM s WHERE score > 0) WHERE rank <= {TOP}
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, rid) AS rank FROM s WHERE score > 0) WHERE rank <= {TOP}
 """
