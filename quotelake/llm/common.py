@@ -44,6 +44,14 @@ def shared_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables (see shared_table) that nothing will read again."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/quotelake/" in f}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def first_rows(df: DataFrame, order: list[Column], k: int) -> list[Row]:
     """The first k rows in a total order. The driver takes them from the first ranges, not k from each partition as after orderBy."""
     return df.repartitionByRange(*order).sortWithinPartitions(*order).take(k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quotelake.llm import chat_format, decontamination, exact_dedup, filter_audit, lexical_search, license_scan, lm_scoring, ngram_jaccard, quality, secret_scan, sentencepieces, token_counts
+from quotelake.llm import chat_format, decontamination, exact_dedup, filter_audit, lexical_search, license_scan, lm_scoring, ngram_jaccard, quality, secret_scan, sentencepieces, substring_dedup, token_counts
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_quality": quality.op9_quality,
         "op10_decontamination": decontamination.op10_decontamination,
         "op11_lexical_search": lexical_search.op11_lexical_search,
+        "op12_substring_dedup": substring_dedup.op12_substring_dedup,
         "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
@@ -31,5 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_chat_format": chat_format.ORACLE,
         "op10_decontamination": decontamination.ORACLE,
         "op11_lexical_search": lexical_search.ORACLE,
+        "op12_substring_dedup": substring_dedup.ORACLE,
         "op13_filter_audit": filter_audit.ORACLE,
     }
