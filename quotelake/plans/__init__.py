@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def _load() -> tuple[dict, dict]:
     from quotelake import registry
-    from quotelake.plans import codes, dashboards, extraction, headers_and_codes, line_items, matched, materials, pricing, queues, scans, streams  # noqa: F401  these register their queries
+    from quotelake.plans import codes, dashboards, extraction, headers_and_codes, line_items, matched, materials, pricing, queues, scans, streams, workflows  # noqa: F401  these register their queries
 
     return registry.QUERIES, registry.SQL
 

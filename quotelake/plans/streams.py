@@ -39,15 +39,3 @@ def t06(spark, d):
     """From each click to the purchases of the same user within an hour."""
     of = lambda t: flows.source(spark, d, "events").filter(F.col("event_type") == t)
     return flows.run(flows.elapsed(of("click"), of("purchase"), "user_id", "ts")).select("user_id", "seconds")
-
-
-EVENTS = {"signup": "submit", "click": "approve", "error": "reject", "purchase": "send"}
-
-
-@register("t08_approval_states")
-def t08(spark, d):
-    """The approval state of a run for each user, driven by the user's events."""
-    e = flows.source(spark, d, "events")
-    names = F.create_map(*[F.lit(x) for kv in EVENTS.items() for x in kv])
-    named = e.select("user_id", "ts", F.try_element_at(names, F.col("event_type")).alias("event")).filter("event IS NOT NULL")
-    return flows.run(flows.approval_states(named, "user_id", "ts", "event"))

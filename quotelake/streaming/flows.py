@@ -1,4 +1,4 @@
-"""Event flows as Structured Streaming: append-only log, usage costs by window, at-least-once jobs, elapsed times, approval states.
+"""Event flows as Structured Streaming: append-only log, usage costs by window, at-least-once jobs, elapsed times.
 
 Every flow takes a streaming frame and returns one; `run` drives a stream over what is there and gives its result.
 """
@@ -7,12 +7,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quotelake.operators.joins import latest
 
@@ -92,39 +89,3 @@ def merge_into(path: str, key: list[str], order: str):
 def current_version(spark: SparkSession, path: str) -> DataFrame:
     """The newest whole version of a table that `merge_into` keeps."""
     return spark.read.parquet(f"{path}/version={spark.read.parquet(f'{path}/current').agg(F.max('id')).first()[0]}")
-
-
-#: (status, event) -> status. Level 1 goes on to level 2 and 3 by `levels`; other events are refused.
-TRANSITIONS = {
-    ("draft", "submit"): "pending", ("rejected", "submit"): "pending", ("pending", "approve"): "next", ("pending", "reject"): "rejected", ("approved", "approve"): "approved", ("approved", "send"): "sent",
-}
-
-
-def step(status: str, level: int, event: str, levels: int) -> tuple[str, int, bool]:
-    """Status, level and whether the event was accepted."""
-    to = TRANSITIONS.get((status, event))
-    if to is None:
-        return status, level, False
-    if to == "next":
-        return ("approved", 4, True) if level >= levels else ("pending", level + 1, True)
-    return to, 1 if to == "pending" else level, True
-
-
-def approval_states(stream: DataFrame, key: str, ts: str, event: str, levels: int = 2) -> DataFrame:
-    """key, status, level, accepted, refused: the state of each run after each batch of events, in order of time; kept between batches.
-
-    stream: key long. A key's state is five values; its events of one batch come in bounded slices.
-    """
-
-    def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, level, yes, no = state.get if state.exists else ("draft", 0, 0, 0)
-        events = pd.concat(list(parts)).sort_values([ts, event])
-        for e in events[event]:
-            status, level, ok = step(status, level, e, levels)
-            yes, no = yes + ok, no + (not ok)
-        state.update((status, level, yes, no))
-        yield pd.DataFrame([(k[0], status, level, yes, no)], columns=[key, "status", "level", "accepted", "refused"])
-
-    return stream.select(key, F.col(ts).cast("timestamp").alias(ts), event).groupBy(key).applyInPandasWithState(
-        update, f"{key} long, status string, level int, accepted long, refused long", "status string, level int, yes long, no long", "append", GroupStateTimeout.NoTimeout
-    )

@@ -195,19 +195,6 @@ def test_page_ranges(spark):
     assert one(spark, files.page_range(F.lit("abcdefgh"), F.lit(2), F.lit(2), F.lit(2))) == "efgh"
 
 
-def test_approval_states_equal_a_plain_loop(spark):
-    d = "/root/testdata/sf0.001"
-    from quotelake.plans.streams import EVENTS, t08
-
-    want = {}
-    for e in sorted(spark.read.parquet(f"{d}/events.parquet").collect(), key=lambda e: (e.user_id, e.ts, EVENTS.get(e.event_type, ""))):
-        if e.event_type in EVENTS:
-            s, n, yes, no = want.get(e.user_id, ("draft", 0, 0, 0))
-            s, n, ok = flows.step(s, n, EVENTS[e.event_type], 2)
-            want[e.user_id] = (s, n, yes + ok, no + (not ok))
-    assert {r.user_id: tuple(r)[1:] for r in t08(spark, d).collect()} == want
-
-
 def test_merge_keeps_newest(spark, tmp_path):
     put = flows.merge_into(str(tmp_path), ["k"], "t")
     put(spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, t int, v string"), 0)
