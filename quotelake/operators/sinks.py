@@ -72,3 +72,18 @@ def flat(df: DataFrame) -> DataFrame:
 def next_versions(versions: DataFrame, key: list[str], version: str) -> DataFrame:
     """key, next_version: one more than the largest of each key."""
     return versions.groupBy(*key).agg((F.coalesce(F.max(version), F.lit(0)) + 1).alias("next_version"))
+
+
+def revised(runs: DataFrame, items: DataFrame, ids: DataFrame, run: str, parent: str, version: str, status: str) -> tuple[DataFrame, DataFrame]:
+    """(new runs, new items): a draft revision of each run in `ids`, with copies of its items.
+
+    Revisions of one run are a family under the run that none of them revises; each gets the version after the family's newest, several at once one after the other.
+    """
+    family = F.coalesce(parent, run)
+    newest = runs.groupBy(family.alias("_family")).agg(F.max(version).alias("_newest"))
+    asked = runs.join(ids.select(run).distinct(), run, "left_semi").withColumn("_family", family).join(newest, "_family")
+    number = F.col("_newest") + F.row_number().over(Window.partitionBy("_family").orderBy(version, run))
+    named = asked.withColumn("_version", number).withColumn("_new", F.concat("_family", F.lit("-r"), (F.col("_version") - 1).cast("string")))
+    made = {run: F.col("_new"), parent: F.col("_family"), version: F.col("_version").cast(runs.schema[version].dataType), status: F.lit("draft")}
+    copies = items.join(named.select(F.col(run).alias("_of"), "_new"), F.col(run) == F.col("_of")).withColumn(run, F.col("_new"))
+    return named.select(*[made.get(c, F.col(c)).alias(c) for c in runs.columns]), copies.select(*items.columns)

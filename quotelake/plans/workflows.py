@@ -6,10 +6,13 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from quotelake.operators import sinks
 from quotelake.registry import register
 from quotelake.sources import domain
 from quotelake.sources.domain import USAGE_AS_OF, sql
-from quotelake.streaming import approvals, ordered
+from quotelake.sources.versions import Versions
+from quotelake.streaming import approvals, ordered, views
+from quotelake.streaming.flows import scratch
 
 #: Micro-batches of a replayed table here; results do not depend on their number.
 BATCHES = 3
@@ -88,3 +91,56 @@ def t09(spark, d, batches: int = BATCHES):
     stream = ordered.replay(items, "effective_at", batches, datetime(2030, 1, 1))
     out = ordered.finished(ordered.ordered_fold(stream, ["material_id"], "effective_at", ["unit_price"], approvals.price_step, (None,), "price double", "us long, price double, previous double, pct double", "400 days", "1 day"))
     return out.select("material_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("effective_at"), F.round("price", 6).alias("unit_price"), F.round("previous", 6).alias("previous"), F.round("pct", 4).alias("pct"))
+
+
+#: A run is entered on its day; every thirteenth is withdrawn 400 days later.
+CHANGES = "run_id long, day date, at timestamp, pending long, price decimal(18,2), sign int"
+VIEW = "SELECT CAST(created_at AS DATE) AS day, count(*) AS n, sum(CAST(status = 'pending_approval' AS BIGINT))::BIGINT AS pending, sum(CAST(total_price AS DECIMAL(18,2)))::DOUBLE AS price, max(total_price) AS highest FROM runs WHERE run_id % 13 <> 0 GROUP BY ALL"
+
+
+def changes(spark, d):
+    r = domain.runs(spark, d)
+    rows = r.select("run_id", F.to_date("created_at").alias("day"), F.col("created_at").cast("timestamp").alias("at"), (F.col("status") == "pending_approval").cast("long").alias("pending"), F.col("total_price").cast("decimal(18,2)").alias("price"), F.lit(1).alias("sign"))
+    return rows.unionByName(rows.filter("run_id % 13 = 0").withColumns({"at": F.expr("at + INTERVAL 400 DAYS"), "sign": F.lit(-1)}))
+
+
+@register("t07_margin_view", sql(VIEW))
+def t07(spark, d, batches: int = BATCHES):
+    """The daily view, kept by deltas over several batches of runs that come and go."""
+    path = scratch(spark)
+    base = Versions(spark, f"{path}/base", "day date, run_id long, pending long, price decimal(18,2)", ["day", "run_id"], ["day"], 16)
+    table = Versions(spark, f"{path}/view", "day date, n long, pending long, price decimal(38,2), highest decimal(18,2)", ["day"], buckets=16)
+    view = views.View(table, base, {"pending": "pending", "price": "price"}, {"highest": "price"}, "at")
+    out = views.maintained(ordered.replay(changes(spark, d), "at", batches), view, f"{path}/checkpoint")
+    return out.select("day", "n", "pending", F.col("price").cast("double").alias("price"), F.col("highest").cast("double").alias("highest"))
+
+
+REPRICED, WITHDRAWN = "created_at >= TIMESTAMP '1998-01-01' AND created_at < TIMESTAMP '1998-02-01'", "created_at >= TIMESTAMP '1997-01-01' AND created_at < TIMESTAMP '1997-01-15' AND status = 'rejected'"
+
+
+@register("p23_revision_diff", sql(f"""SELECT run_id, 'modified' AS status, round(total_price, 2) AS old_price, round(total_price * 1.1, 2) AS new_price FROM runs WHERE {REPRICED}
+  UNION ALL SELECT run_id, 'removed', round(total_price, 2), NULL FROM runs WHERE {WITHDRAWN}
+  UNION ALL SELECT run_id + 1000000000, 'added', NULL, round(total_price, 2) FROM runs WHERE {WITHDRAWN}"""))
+def p23_revision(spark, d):
+    """A table of runs, copied as a new version, in which some are priced anew, some go and some come; and what differs between first and last version."""
+    r = domain.runs(spark, d).select("run_id", F.to_date("created_at").alias("day"), "status", "created_at", F.round("total_price", 2).alias("price"))
+    t = Versions(spark, scratch(spark), "run_id long, day date, price double", ["day", "run_id"], ["day"], 256)
+    first = t.commit(r)
+    t.copy(first, "revision")
+    t.commit(r.filter(F.expr(REPRICED)).withColumn("price", F.round(F.col("price") * 1.1, 2)), reason="new prices")
+    gone = r.filter(F.expr(WITHDRAWN))
+    last = t.commit(gone.withColumn("run_id", F.col("run_id") + 1_000_000_000), gone, "withdrawn and entered again")
+    return t.diff(first, last, ["price"]).select("run_id", "status", "old_price", "new_price")
+
+
+@register("io16_revisions", sql("""SELECT concat(run_id, '-r', v) AS run, run_id AS parent, v + 1 AS version, 'draft' AS status, n, total FROM runs
+  JOIN (SELECT run_id, count(*) AS n, round(sum(item_price), 2) AS total FROM items GROUP BY run_id) USING (run_id), (SELECT unnest([1, 2]) AS v) WHERE status = 'rejected' AND (v = 1 OR run_id % 2 = 0)"""))
+def io16(spark, d):
+    """Rejected runs revised, and every second of them once more: a draft of the next version each, with copies of the items and their total."""
+    r = domain.runs(spark, d).select(F.col("run_id").cast("string").alias("run"), F.lit(None).cast("string").alias("parent"), F.lit(1).alias("version"), "status")
+    i = domain.items(spark, d).select(F.col("run_id").cast("string").alias("run"), "line_number", "item_price")
+    first, copies = sinks.revised(r, i, r.filter("status = 'rejected'").select("run"), "run", "parent", "version", "status")
+    second, more = sinks.revised(r.unionByName(first), i.unionByName(copies), first.filter(F.col("parent").cast("long") % 2 == 0).select("run"), "run", "parent", "version", "status")
+    totals = copies.unionByName(more).groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("item_price"), 2).alias("total"))
+    out = first.unionByName(second).join(totals, "run")
+    return out.select("run", F.col("parent").cast("long").alias("parent"), F.col("version").cast("int").alias("version"), "status", "n", "total")

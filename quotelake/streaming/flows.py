@@ -68,24 +68,3 @@ def elapsed(starts: DataFrame, ends: DataFrame, key: str, ts: str, within: str =
     b = ends.select(F.col(key).alias("_key"), F.col(ts).cast("timestamp").alias("_b")).withWatermark("_b", late)
     hit = (F.col(key) == F.col("_key")) & (F.col("_b") >= F.col("_a")) & (F.col("_b") <= F.col("_a") + F.expr(f"INTERVAL {within}"))
     return a.join(b, hit).select(key, F.col("_a").alias("started_at"), F.timestamp_diff("SECOND", F.col("_a"), F.col("_b")).alias("seconds"))
-
-
-def merge_into(path: str, key: list[str], order: str):
-    """For foreachBatch: the stored table at `path` with each key's newest row, written to a new version beside it and then named under `current`, which
-    `current_version` reads: readers see the version before until the new one is whole."""
-
-    def put(batch: DataFrame, n: int) -> None:
-        from quotelake.operators.sinks import upsert
-
-        spark = batch.sparkSession
-        out = f"{path}/version={n}"
-        old = spark.read.parquet(f"{path}/version={n - 1}") if n else batch.limit(0)
-        upsert(old, batch, key, [F.desc(order)]).write.mode("overwrite").parquet(out)
-        spark.range(n, n + 1).coalesce(1).write.mode("append").parquet(f"{path}/current")
-
-    return put
-
-
-def current_version(spark: SparkSession, path: str) -> DataFrame:
-    """The newest whole version of a table that `merge_into` keeps."""
-    return spark.read.parquet(f"{path}/version={spark.read.parquet(f'{path}/current').agg(F.max('id')).first()[0]}")

@@ -195,13 +195,6 @@ def test_page_ranges(spark):
     assert one(spark, files.page_range(F.lit("abcdefgh"), F.lit(2), F.lit(2), F.lit(2))) == "efgh"
 
 
-def test_merge_keeps_newest(spark, tmp_path):
-    put = flows.merge_into(str(tmp_path), ["k"], "t")
-    put(spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, t int, v string"), 0)
-    put(spark.createDataFrame([(2, 5, "d"), (3, 1, "e")], "k int, t int, v string"), 1)
-    assert sorted((r.k, r.v) for r in spark.read.parquet(f"{tmp_path}/version=1").collect()) == [(1, "b"), (2, "d"), (3, "e")]
-
-
 def test_history_is_strictly_before(spark):
     rows = spark.createDataFrame([("c", datetime(2024, 1, 1), 1), ("c", datetime(2024, 1, 1), 2), ("c", datetime(2024, 1, 2), 3)], "c string, t timestamp, v int")
     h = joins.history(rows, "c", F.unix_micros("t"), {"n": F.count(F.lit(1))})
