@@ -22,7 +22,7 @@ def delta(changes: DataFrame, key: list[str], sums: dict[str, str], most: dict[s
 def refreshed(old: DataFrame, d: DataFrame, key: list[str], sums: dict[str, str], most: dict[str, str]) -> DataFrame:
     """The view's rows of the delta's keys, with `again`: a maximum went, or may have, and nothing as large came."""
     both = d.select(*key, *[F.col(c).alias(f"_{c}") for c in d.columns if c not in key]).join(old, key, "left")
-    new = {c: F.coalesce(F.col(c), F.lit(0)) + F.col(f"_{c}") for c in ("n", *sums)}
+    new = {c: F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"_{c}"), F.lit(0)) for c in ("n", *sums)}
     lost = F.lit(False)
     for n in most:
         out, come = F.col(f"_{n}_out"), F.col(f"_{n}_in")
