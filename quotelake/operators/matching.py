@@ -7,6 +7,7 @@ with equal attributes to the first k. Pairs come from equality joins on keys tha
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +32,9 @@ def attributes(df: DataFrame, text: str) -> DataFrame:
     return df.select("*", F.explode_outer(F.array(one)).alias("_parsed")).select(*[f"`{c}`" for c in df.columns], "_parsed.*")
 
 
-def step(x: Column, ratio: float) -> Column:
-    """The number of a range of values within `ratio` of each other."""
-    return F.floor(F.log(F.nullif(F.greatest(x, F.lit(0.0)), F.lit(0.0))) / F.lit(ratio).cast("double")).cast("long")
+def step(x: Column, share: float) -> Column:
+    """The number of the range that x stands in; what is within `share` of x stands in it or next to it."""
+    return F.floor(F.log(F.nullif(F.greatest(x, F.lit(0.0)), F.lit(0.0))) / F.lit(ratio(share)).cast("double")).cast("long")
 
 
 def near(number: Column, reach: int) -> Column:
@@ -50,29 +51,37 @@ def each(prefix: str, values: Column, *parts: Column) -> Column:
     return F.coalesce(F.transform(values, lambda i: reduce(lambda a, b: F.concat(a, F.lit(":"), b.cast("string")), [*parts, i], F.lit(prefix))), F.array().cast("array<string>"))
 
 
+def both(prefix: str, first: Column, second: Column) -> Column:
+    """A key for each pair of two arrays' values; none where something is missing."""
+    return F.coalesce(F.flatten(F.transform(first, lambda i: each(prefix, second, i))), F.array().cast("array<string>"))
+
+
 def characters(x: Column) -> Column:
     """Of two texts, one of which contains the other, some character is in both."""
     return F.array_distinct(F.filter(F.split(x, ""), lambda c: c != ""))
 
 
-#: log(1.05): a range of 5 %.
-FIVE = 0.04879016416943205
+def ratio(share: float) -> float:
+    """The length on a scale of logarithms of what lies within a share of a value: so long that values within it stand in ranges next to each other."""
+    return -log(1 - share) * (1 + 1e-9)
 
 
 def all_keys(reach: int) -> dict[str, dict[str, Column]]:
     """kind -> name -> keys. What reaches LEAST agrees in one of them, if lines look in ranges around their values (reach 1) and entries stand in one (reach 0).
 
-    Beams: depth, weight, or the family (alone, or with the standard). Tubulars: diameter within 5 %, or a wall within 0.5 mm or 5 %. Plates: thickness within
+    Beams: depth, weight, or the family (alone, or with the standard). Tubulars: diameter within 1 %, a wall within 0.5 mm or 5 %, or a diameter within 5 % with a wall
+    within 2 mm or 10 %. Plates: thickness within
     2 mm, or standard and grade. Pipes: size, schedule, or family and standard. Others: standard, grade, or size and schedule. FP and FF are where
     pipes, and flanges and gaskets, fall back to.
     """
     c = F.col
     whole = lambda x, r: near(F.floor(x).cast("long"), r * reach)
-    within = lambda x: near(step(x, FIVE), 2 * reach)
+    within = lambda x, share=0.05: near(step(x, share), reach)
+    wide = within(c("tubular.od_mm"))
     thirds = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.substr(x, i, F.lit(3)))
     return {
         "BEAM": {"B": each("B", whole(c("beam.depth_mm"), 1)), "BW": each("BW", within(c("beam.weight_kg_m"))), "BF": keys("BF", c("beam.family")), "BE": keys("BE", c("beam.family"), c("en.standard"))},
-        "TUBULAR": {"T": each("T", within(c("tubular.od_mm"))), "TW": each("TW", whole(c("tubular.wall_mm"), 1)), "TR": each("TR", within(c("tubular.wall_mm")))},
+        "TUBULAR": {"T": each("T", within(c("tubular.od_mm"), 0.01)), "TB": both("TB", wide, whole(c("tubular.wall_mm") / 2, 1)), "TC": both("TC", wide, within(c("tubular.wall_mm"), 0.1)), "TW": each("TW", whole(c("tubular.wall_mm"), 1)), "TR": each("TR", within(c("tubular.wall_mm")))},
         "PLATE": {"P": each("P", whole(c("plate.thickness_mm"), 2)), "PE": keys("PE", c("en.standard"), c("en.grade"))},
         "PIPE": {"N": each("N", whole(c("pipe.nps") * 2, 1)), "NS": each("NS", characters(c("pipe.schedule"))), "NF": each("NF", thirds(c("pipe.standard")), c("pipe.family")), "FP": keys("FP", c("pipe.nps"))},
         "OTHER": {"GS": each("GS", thirds(c("generic.standard"))), "GG": each("GG", characters(c("generic.grade"))), "GZ": each("GZ", characters(c("generic.schedule")), c("generic.size")),
