@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quotelake.operators import documents, filters, sinks
 from quotelake.registry import register
@@ -99,3 +100,23 @@ def t10(spark, d):
     """The daily look at what expires within 30 days (offers hold for 90)."""
     until = F.date_add(F.to_date("created_at"), 90)
     return filters.expiring(domain.runs(spark, d).filter("status = 'approved'").withColumn("valid_until", until), "valid_until", TODAY, 30).select("run_id", "valid_until", F.col("days_left").cast("long").alias("days_left"))
+
+
+SHEETS = "SELECT 'Offer ' || (supplier_id % 5) AS title, 'month ' || (supplier_id % 3) AS sheet, count(*) AS n, sum(CAST(floor(quantity) AS BIGINT))::BIGINT AS quantity, count(*) FILTER (line_number > 2) AS noted FROM items GROUP BY ALL"
+
+
+@register("io05_sheets", sql(SHEETS))
+def io05(spark, d):
+    """Workbooks with three sheets of each offer, headers at different rows and columns in different places; read again by sheet, rows by header."""
+    i = domain.items(spark, d).select((F.col("supplier_id") % 5).alias("offer"), (F.col("supplier_id") % 3).alias("month"), F.floor("quantity").alias("quantity"), "line_number", "material_id")
+    offer, head = F.concat(F.lit("Offer "), F.col("offer").cast("string")), 2 + F.col("month")
+    number = F.row_number().over(Window.partitionBy("offer", "month").orderBy("material_id", "line_number", "quantity"))
+    cells = lambda item, qty, note: F.when(F.col("month") == 1, F.array(qty, F.lit(""), item, note)).otherwise(F.array(item, qty, note))
+    body = i.withColumn("n", number).select("offer", "month", (head + F.col("n")).alias("row"), cells(F.col("material_id").cast("string"), F.col("quantity").cast("string"), F.when(F.col("line_number") > 2, "late").otherwise("")).alias("cells"))
+    every = i.select("offer", "month").distinct()
+    above = every.select("offer", "month", F.lit(1).alias("row"), F.array(offer).alias("cells")).unionByName(every.select("offer", "month", head.alias("row"), cells(F.lit("Item"), F.lit("Qty"), F.lit("Note")).alias("cells")))
+    path = scratch(spark)
+    rows = body.unionByName(above).withColumn("sheet", F.concat(F.col("offer").cast("string"), F.lit(" month "), F.col("month").cast("string")))
+    files.write_sheets(rows.repartition(5, "offer"), path)  # every sheet lies whole in one file
+    back = files.keyed_sheets(files.read_sheets(spark, path), ["item", "qty"])
+    return back.groupBy("title", F.substr("sheet", F.lit(3)).alias("sheet")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("cells")["qty"].cast("long")).alias("quantity"), F.count_if(F.coalesce(F.col("cells")["note"], F.lit("")) != "").alias("noted"))

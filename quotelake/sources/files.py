@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelake.operators.sinks import blank_to_null, flat
+from quotelake.sources.sheets import SheetSource
 
 PRICE_COLUMNS = ("material_code", "base_cost", "currency", "effective_date", "notes", "source")
 
@@ -42,39 +36,29 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
 
 
-NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-
-
-def _sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str]]]:
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = z.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", NS)]
-        for name in sorted(n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)):
-            for i, row in enumerate(ElementTree.fromstring(z.read(name)).iterfind(".//m:row", NS), 1):
-                cells: dict[int, str] = {}
-                for c in row.findall("m:c", NS):
-                    letters = re.match("[A-Z]+", c.get("r", "A"))[0]
-                    at = 0
-                    for x in letters:
-                        at = at * 26 + ord(x) - 64
-                    v = c.find("m:v", NS)
-                    text = "".join(t.text or "" for t in c.iter(f"{{{NS['m']}}}t")) if c.get("t") == "inlineStr" else "" if v is None else v.text or ""
-                    cells[at - 1] = shared[int(text)] if c.get("t") == "s" and text else text
-                yield name.rsplit("/", 1)[1][:-4], i, [cells.get(k, "") for k in range(max(cells, default=-1) + 1)]
-
-
 def read_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """path, sheet, row (from 1), cells array<string> of all .xlsx files; a file is one task's work."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for p, content in zip(batch["path"], batch["content"]):
-                yield pd.DataFrame([(p, s, i, c) for s, i, c in _sheet_rows(content)], columns=["path", "sheet", "row", "cells"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
-    return files.mapInPandas(rows, "path string, sheet string, row int, cells array<string>")
+    """path, sheet, row (from 1), cells array<string> of all .xlsx files: a partition for each sheet."""
+    spark.dataSource.register(SheetSource)
+    return spark.read.format("sheets").load(path)
+
+
+def write_sheets(df: DataFrame, path: str, mode: str = "append") -> None:
+    """sheet, row, cells as .xlsx files: one for each partition that has rows, sheets by name."""
+    df.sparkSession.dataSource.register(SheetSource)
+    df.select(F.lit("").alias("path"), "sheet", F.col("row").cast("int").alias("row"), "cells").sortWithinPartitions("sheet", "row").write.format("sheets").mode(mode).save(path)
+
+
+def keyed_sheets(sheets: DataFrame, words: list[str], first: int = 20) -> DataFrame:
+    """path, sheet, title, row, cells map<header, text>: the rows below each sheet's header row with what its first cell above says; sheets without a header are left out."""
+    s = sheets.select("path", "sheet", "row", "cells")
+    at = header_row(s, words, first).withColumnRenamed("row", "_at")
+    known = s.join(F.broadcast(at), ["path", "sheet"])  # a row for each sheet, as in the reader's partitions
+    own = known.filter(F.col("row") == F.col("_at")).select("path", "sheet", F.transform("cells", lambda c: F.lower(F.trim(c))).alias("_heads"))
+    above = known.filter(F.col("row") < F.col("_at")).groupBy("path", "sheet").agg(F.min_by(F.get("cells", F.lit(0)), "row").alias("title"))
+    below = known.filter(F.col("row") > F.col("_at")).join(F.broadcast(own), ["path", "sheet"]).join(F.broadcast(above), ["path", "sheet"], "left")
+    named = F.zip_with("_heads", "cells", lambda h, c: F.struct(h.alias("key"), c.alias("value")))
+    cells = F.map_from_entries(F.filter(named, lambda e: (F.coalesce(e["key"], F.lit("")) != "") & e["value"].isNotNull()))
+    return below.select("path", "sheet", "title", "row", cells.alias("cells"))
 
 
 def header_row(sheets: DataFrame, words: list[str], first: int = 20) -> DataFrame:

@@ -177,18 +177,6 @@ def test_price_files(spark, tmp_path):
         files.read_prices(spark, str(tmp_path / "q.csv"))
 
 
-def test_sheets(spark, tmp_path):
-    b = io.BytesIO()
-    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    with zipfile.ZipFile(b, "w") as z:
-        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Item</t></si><si><t>Qty</t></si></sst>")
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="A2"><v>7</v></c></row></sheetData></worksheet>')
-    (tmp_path / "a.xlsx").write_bytes(b.getvalue())
-    s = files.read_sheets(spark, str(tmp_path)).cache()
-    assert [r.cells for r in s.orderBy("row").collect()] == [["Item", "", "Qty"], ["7"]]
-    assert files.header_row(s, ["item", "qty"]).first().row == 1
-
-
 def test_page_ranges(spark):
     t = F.lit("--- PAGE 1 ---\none\n--- PAGE 2 ---\ntwo\n")
     assert one(spark, files.page_range(t, F.lit(2), F.lit(2), F.lit(2))) == "two\n"
