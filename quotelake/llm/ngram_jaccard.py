@@ -12,8 +12,8 @@ size, position). Two relations between sets save work:
 * In each range of sizes of a list the most central set leads. Members are compared with their leader first, and those
   that are linked to it take over its answers: pairs inside a component need no comparison, and lists that
   hold one component only are skipped. A member x of leader p and a set y that was compared with p give
-  |x & y| <= |p & y| + |x - p|, from which the answer for (x, y) is derived where that is too small. Only what is
-  left is compared, exactly.
+  |x & y| <= |p & y| + |x - p|, from which the answer for (x, y) is derived where that is too small. Of what is
+  left, bitmaps of the sets (a 32nd to an 8th of their size) rule out most pairs before whole sets meet; the others are compared, exactly.
 
 Long lists are split. Lists of a shingle that alone would fill a partition (the sketch of frequencies tells which) are dealt over
 all partitions by class; blocks meet in a square of cells whose side grows with the list, so no task gets a whole long list.
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from quotelake.llm.common import bound_batches, row_key, shared_table, slices, table, without
+from quotelake.llm.common import bound_batches, discard, row_key, shared_table, slices, table, without
 from quotelake.llm.hashing import HASHED_BYTES, MIX, Words, mixed, utf8
 
 SIZE = 5
@@ -224,11 +224,23 @@ def leaders(lists: DataFrame) -> DataFrame:
     led = led.select("key", "n", F.coalesce("top.key", "lead.key").alias("lead_key"), F.coalesce("top.n", "lead.n").alias("lead_n"))
     pairs = led.filter(F.col("lead_key") != F.col("key")).groupBy("key", "n", "lead_key", "lead_n").agg(F.count(F.lit(1)).alias("shared"))
     a, b = F.col("n"), F.col("lead_n")
-    return shared_table(pairs.filter(enough(F.col("shared") + behind(a, b), a, b) & enough(F.least(a, b), a, b)))
+    out = shared_table(pairs.filter(enough(F.col("shared") + behind(a, b), a, b) & enough(F.least(a, b), a, b)))
+    discard(central)
+    return out
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each shingle, at a place that its hash says, in 64 * 4**k bits: two to eight for a shingle."""
+    n = 64
+    while n < 2 * len(shingles):
+        n *= 4
+    held = np.zeros(n, bool)
+    held[(shingles & np.uint64(n - 1)).astype(np.int64)] = True
+    return np.packbits(held, bitorder="little").view(np.int64)
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """A stored table key, shingles of the wanted keys (a stored table), read again from one document of each class."""
+    """A stored table key, shingles, bits (see bitmap) of the wanted keys (a stored table), read again from one document of each class."""
     one = shared_table(rows.join(sent(wanted), "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "row")).alias("o")).select(F.col("o.id").alias("_id"), F.col("o.row").alias("_row")))
     some = docs.join(sent(one), F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left_semi")
 
@@ -238,11 +250,13 @@ def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, size: int) -> D
             if some:
                 ends = np.cumsum([0, *(len(s) for _, s in some)])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), signed(np.concatenate([s for _, s in some])))
-                yield pa.RecordBatch.from_arrays([signed([k for k, _ in some]), lists], names=["key", "shingles"])
+                maps = [bitmap(s) for _, s in some]
+                marks = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, maps)]).astype(np.int32)), pa.array(np.concatenate(maps)))
+                yield pa.RecordBatch.from_arrays([signed([k for k, _ in some]), lists, marks], names=["key", "shingles", "bits"])
 
         return work
 
-    out = shared_table(by_rows(some, size, kernel, "key long, shingles array<long>"))
+    out = shared_table(by_rows(some, size, kernel, "key long, shingles array<long>, bits array<long>"))
     twice = out.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")  # rows that repeat an id and text
     return out if twice.isEmpty() else shared_table(out.dropDuplicates(["key"]))
 
@@ -251,6 +265,19 @@ def enough(overlap: Column, n: Column, m: Column) -> Column:
     return DEN * overlap >= NUM * (n + m)
 
 
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """A stored table of the `pairs` (a, b, n_a, n_b), a stored table, that their bitmaps allow to be linked: a bit that only one set has is a shingle that the other lacks.
+
+    Sets whose bitmaps differ in length aren't judged.
+    """
+    of = lambda x: sets.select(F.col("key").alias(x), F.col("bits").alias(f"bits_{x}"))
+    both = sent(pairs).join(of("b"), "b").join(of("a"), "a")
+    alone = lambda x, y: F.aggregate(F.zip_with(f"bits_{x}", f"bits_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, k: n + k)
+    most = F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a"))
+    alike = F.size("bits_a") == F.size("bits_b")
+    return shared_table(both.filter(F.when(alike, enough(most, F.col("n_a"), F.col("n_b"))).otherwise(True)).select("a", "b", "n_a", "n_b"))
+
+
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """A stored table of `pairs` (a, b, n_a, n_b), a stored table, with their overlap. A bounded number of pairs is sent to the sets of b; then the sets meet by a."""
     leading = shared_table(pairs.select(F.col("a").alias("key")).distinct())
@@ -362,13 +389,20 @@ def grouped(docs: DataFrame, size: int = SIZE) -> DataFrame:
     lists = index(docs, heavy, split, size)
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     linked = enough(F.col("overlap"), F.col("n_a"), F.col("n_b"))
-    first = best_leaders(leaders(lists))
+    led = leaders(lists)
+    first = best_leaders(led)
     sets = sets_of(docs, rows, shared_table(ends(first)), size)
     tried = compared(first, sets)
     links = tried.filter(linked)
-    rest = shared_table(underived(shared_table(left_over(open_lists(lists, components(links)))), tried))
+    opened = open_lists(lists, components(links))
+    discard(led, lists)
+    left = shared_table(left_over(opened))
+    rest = shared_table(underived(left, tried))
+    discard(opened, left)
     more = sets_of(docs, rows, shared_table(ends(rest).join(sets, "key", "left_anti")), size)
-    found = compared(rest, sets.unionByName(more))
+    known = sets.unionByName(more)
+    found = compared(possible(rest, known), known)
+    discard(sets, more, rest)
     labels = components(links.unionByName(found.filter(linked)))
     own = F.when(F.col("id").isNotNull(), F.struct("id", "row"))
     full = rows.filter(F.col("n") > 0).drop("n")
@@ -406,8 +440,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
-                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS w FROM documents),
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT r, w[i:i + {SIZE - 1}] AS shingle FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {SIZE - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
 o AS (SELECT x.r AS a, y.r AS b, count(*) AS overlap FROM s AS x JOIN s AS y USING (shingle) WHERE x.r < y.r GROUP BY x.r, y.r),

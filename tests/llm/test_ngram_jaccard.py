@@ -121,3 +121,29 @@ def test_no_row_is_lost_or_doubled(spark):
     out = j.one_of_each(docs)
     assert out.columns == docs.columns
     assert sorted(repr((r.doc_id, r.text)) for r in out.collect()) == sorted(map(repr, [rows[0], rows[2], rows[3], (7, None), (None, long), (8, "x"), (8, "y")]))
+
+
+def test_sql_tells_words_apart_as_the_contract(spark):
+    """The SQL over texts with every kind of white space, against all pairs."""
+    import duckdb
+    import pyarrow as pa
+
+    rows = [(0, "a\rb\x0cc\x0bd e f g"), (1, "A b\tc\nd e f g"), (2, "a\xa0b c d e f g"), (3, "a\x0bb"), (4, "A\rB"), (5, "a\x1fb c d e f"), (6, None), (7, "\r\x0c")]
+    documents = pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})  # noqa: F841  read by name
+    got = duckdb.sql(j.ORACLE)
+    at = [got.columns.index(c) for c in ("doc_id", "n_shingles", "component_id")]
+    assert sorted(tuple(r[k] for k in at) for r in got.fetchall()) == expected(rows)
+
+
+def test_bitmaps_never_rule_out_too_much():
+    """The bound that bitmaps give is at least the overlap, and falls for sets that differ."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n, same in ((1, 1), (30, 30), (40, 20), (700, 350), (700, 690), (5000, 2500)):
+        x = rng.integers(0, 2**63, n, dtype=np.uint64)
+        y = np.concatenate([x[:same], rng.integers(0, 2**63, n - same, dtype=np.uint64)])
+        a, b = j.bitmap(x).view(np.uint64), j.bitmap(y).view(np.uint64)
+        bound = n - max(int(np.bitwise_count(a & ~b).sum()), int(np.bitwise_count(b & ~a).sum()))
+        assert len(a) == len(b) and bound >= same
+        assert same > n // 2 or 7 * bound < 6 * n  # ruled out at a similarity of 0.75
