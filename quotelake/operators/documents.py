@@ -143,39 +143,3 @@ def weight_checks(items: DataFrame, section: str, sub: str, stated: str, compute
         s = items.groupBy(*keys).agg(F.sum(stated).alias("_s"), F.sum(computed).alias("_c"))
         out = out.unionByName(s.select(F.lit(level).alias("level"), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("name"), off(F.col("_s"), F.col("_c"), t).cast("long").alias("off")))
     return out
-
-
-def _repair(s: str | None) -> str | None:
-    """Fences, comments of the speaker around it, trailing commas, quotes and an end that is missing; None where nothing helps."""
-    if not s:
-        return None
-    t = re.sub(r"^\s*```(?:json)?|```\s*$", "", s.strip()).strip()
-    start = min((i for i in (t.find("{"), t.find("[")) if i >= 0), default=-1)
-    if start < 0:
-        return None
-    t = t[start:]
-    for fix in (lambda x: x, lambda x: x[: max(x.rfind("}"), x.rfind("]")) + 1] or x, lambda x: re.sub(r",\s*([}\]])", r"\1", x), lambda x: x.replace("'", '"')):
-        t = fix(t)
-        try:
-            return json.dumps(json.loads(t), sort_keys=True)
-        except ValueError:
-            pass
-    for cut in (len(t), *(m.start() for m in reversed(list(re.finditer(r",", t))))):
-        stack, part, text = [], t[:cut], False
-        for i, ch in enumerate(part):
-            if ch == '"' and part[i - 1] != "\\":
-                text = not text
-            elif not text and ch in "{[":
-                stack.append("}" if ch == "{" else "]")
-            elif not text and ch in "}]" and stack:
-                stack.pop()
-        try:
-            return json.dumps(json.loads(part + '"' * text + "".join(reversed(stack))), sort_keys=True)
-        except ValueError:
-            continue
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def repaired_json(s: pd.Series) -> pd.Series:
-    return s.map(_repair)

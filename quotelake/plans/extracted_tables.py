@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quotelake.functions.json_repair import recovered_json
 from quotelake.operators import tables
 from quotelake.registry import register
 from quotelake.sources import domain
@@ -97,3 +98,30 @@ def s14_assigned(spark, d):
     """The same with each column for one role at most, by the best total; the SQL tries all assignments."""
     t = extracted(spark, d).select("run_id", tables.fits(F.col("headers")).alias("fitted"))
     return tables.best_assignment(t, "fitted").select("run_id", *[f"assigned.{r}" for r in tables.KEYWORDS], F.round("assigned.total", 6).alias("total"))
+
+
+#: An item of an answer, with brackets and quotes inside its texts; the same text in Spark and DuckDB. In every third answer the second item is mangled.
+ANSWERED = """concat('{"line_number": ', CAST(line_number AS STRING), ', "description": "part {', CAST(material_id AS STRING), '} [', CASE WHEN line_number % 2 = 0 THEN concat('a, ', chr(92), '"b', chr(92), '"') ELSE '}' END, ']", "size": {"qty": ', CAST(CAST(floor(quantity) AS BIGINT) AS STRING), '}}')"""
+HEAD = '{"document": {"pages": 2}, "line_items": ['
+CUT = "length(answer) * (25 + run_id % 90) // 100"
+
+
+@register("s28_recovered_items", sql(f"""SELECT run_id, count(*) FILTER (kept) AS items, coalesce(sum(material_id) FILTER (kept), 0)::BIGINT AS materials FROM (
+  SELECT *, ends <= least(length(answer), {CUT}) AND NOT (run_id % 3 = 0 AND k = 2) AS kept FROM (
+    SELECT *, '{HEAD}' || string_agg(item, ', ') OVER (PARTITION BY run_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) || ']}}' AS answer,
+      {len(HEAD)} + sum(length(item) + 2) OVER (PARTITION BY run_id ORDER BY k) - 2 AS ends FROM (
+        SELECT *, CASE WHEN run_id % 3 = 0 AND k = 2 THEN replace(plain, '"size": ', '"size":: ') ELSE plain END AS item FROM (
+          SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY line_number, material_id, quantity) AS k, {ANSWERED.replace("STRING", "VARCHAR")} AS plain FROM items)))) GROUP BY run_id"""))
+def s28_items(spark, d):
+    """Answers that break off somewhere, some with a mangled item: the items that stand whole in them."""
+    i = domain.items(spark, d).withColumn("plain", F.expr(ANSWERED))
+    own = F.array_sort(F.collect_list(F.struct("line_number", "material_id", "quantity", "plain")))
+    mangled = F.when((F.col("run_id") % 3 == 0) & (F.col("k") == 1), F.replace("plain", F.lit('"size": '), F.lit('"size":: '))).otherwise(F.col("plain"))
+    a = i.groupBy("run_id").agg(own.alias("own")).select("run_id", F.posexplode("own").alias("k", "x")).select("run_id", "k", "x.plain").withColumn("item", mangled)
+    a = a.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("k", "item"))).alias("own"))
+    a = a.select("run_id", F.concat(F.lit(HEAD), F.array_join("own.item", ", "), F.lit("]}")).alias("answer"))
+    cut = a.select("run_id", F.expr(f"substr(answer, 1, int({CUT.replace('//', 'div')}))").alias("answer"))
+    got = cut.select("run_id", F.explode_outer(recovered_json("answer")["items"]).alias("x")).select("run_id", F.from_json("x", "line_number int, description string, size struct<qty: int>").alias("x"))
+    whole = F.col("x.size.qty").isNotNull()
+    number = F.regexp_extract("x.description", r"\{([0-9]+)\}", 1).cast("long")
+    return got.groupBy("run_id").agg(F.count_if(whole).alias("items"), F.coalesce(F.sum(F.when(whole, number)), F.lit(0)).alias("materials"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quotelake.functions import parse
 from quotelake.functions import text as tx
+from quotelake.functions.json_repair import recovered_json
 from quotelake.operators import documents, filters, joins, sinks
 from quotelake.operators.items import document_kind
 from quotelake.plans.materials import DESCRIBED, described, tables
@@ -49,14 +50,6 @@ def s18(spark, d):
     return documents.best_table(t, "doc", "run_id", "score").select("doc", "run_id")
 
 
-@register("d05b_keyed_rows", sql("SELECT run_id, count(*) AS n, min(quantity)::VARCHAR AS least FROM items WHERE run_id % 3 = 0 GROUP BY run_id"))
-def d05b(spark, d):
-    """Cells by their headers, for tables that have them."""
-    t = tables(spark, d).filter("run_id % 3 = 0").select("run_id", documents.keyed_rows(F.col("headers"), F.col("rows")).alias("k"))
-    least = F.array_min(F.transform("k", lambda m: m["Qty"].cast("double")))
-    return t.select("run_id", F.size("k").cast("long").alias("n"), least.cast("string").alias("least"))
-
-
 @register("d05c_all_keyed_rows", sql("SELECT run_id, CASE run_id % 3 WHEN 0 THEN 'Qty' WHEN 1 THEN 'Remarks' ELSE 'Item' END AS header, count(*) AS n, (3 * count(*))::BIGINT AS cells, min(quantity)::VARCHAR AS least FROM items GROUP BY run_id"))
 def d05c(spark, d):
     """Cells by their headers, for the tables of all runs: how many there are, and the least under the third header."""
@@ -112,7 +105,7 @@ def s28(spark, d):
     cost = F.col("base_cost").cast("string")
     n = F.col("material_id") % 3
     broken = F.when(n == 0, F.concat(F.lit('```json\n{"price": '), cost, F.lit(",}\n```"))).when(n == 1, F.concat(F.lit('Here: {"price": '), cost, F.lit(', "rest": "cut of'))).otherwise(F.concat(F.lit("{'price': "), cost, F.lit("}")))
-    return domain.materials(spark, d).select("material_id", F.from_json(documents.repaired_json(broken), "price double")["price"].alias("price"))
+    return domain.materials(spark, d).select("material_id", F.from_json(recovered_json(broken)["json"], "price double")["price"].alias("price"))
 
 
 @register("w06_line_numbers", sql("SELECT run_id, material_id, quantity, item_price, CASE WHEN flag <> 'R' THEN line_number::BIGINT ELSE most + rn END AS line FROM (SELECT *, coalesce(max(CASE WHEN flag <> 'R' THEN line_number END) OVER (PARTITION BY run_id), 0) AS most, row_number() OVER (PARTITION BY run_id, flag = 'R' ORDER BY material_id, quantity, item_price) AS rn FROM items)"))

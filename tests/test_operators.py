@@ -163,11 +163,6 @@ def test_islands_chain(spark):
     assert sorted((r.chunk, r.island) for r in documents.islands(rows, ["k"], "chunk").collect()) == [(1, 1), (2, 1), (3, 1), (5, 2), (9, 3), (9, 3)]
 
 
-@pytest.mark.parametrize(("bad", "good"), [('```json\n{"a": 1,}\n```', '{"a": 1}'), ("{'a': [1, 2", '{"a": [1, 2]}'), ('noise {"a": 1} tail', '{"a": 1}'), ("none", None), (None, None)])
-def test_json_repair(bad, good):
-    assert documents._repair(bad) == good
-
-
 def test_price_files(spark, tmp_path):
     (tmp_path / "p.csv").write_text("material_code,base_cost,notes\n A1 , 12.5 ,x\nA2,bad,\n,,\n")
     rows = files.read_prices(spark, str(tmp_path / "p.csv")).orderBy("material_code").collect()
