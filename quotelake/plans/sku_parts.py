@@ -23,7 +23,7 @@ POOLS = {
         '{"material_family":"carbon steel","size":"DN 50"}', "no json, molded and galvanised", "", '{"fitting_type":"Long elbow","spec_standard":"A53"}'],
     "origin": ["china", "non_china", "", "Vietnam"],
 }
-STEPS = {"category": (1, 1), "code": (7, 3), "material_type": (3, 5), "spec_standard": (5, 7), "size": (11, 2), "grade": (2, 9), "notes": (13, 4), "origin": (1, 11)}
+STEPS = {"category": (1, 3), "code": (7, 3), "material_type": (3, 5), "spec_standard": (5, 7), "size": (11, 2), "grade": (2, 9), "notes": (13, 4), "origin": (1, 11)}
 
 
 def records(spark, d):

@@ -118,7 +118,7 @@ def t07(spark, d, batches: int = BATCHES):
 REPRICED, WITHDRAWN = "created_at >= TIMESTAMP '1998-01-01' AND created_at < TIMESTAMP '1998-02-01'", "created_at >= TIMESTAMP '1997-01-01' AND created_at < TIMESTAMP '1997-01-15' AND status = 'rejected'"
 
 
-@register("p23_revision_diff", sql(f"""SELECT run_id, 'modified' AS status, round(total_price, 2) AS old_price, round(total_price * 1.1, 2) AS new_price FROM runs WHERE {REPRICED}
+@register("p23_revision_diff", sql(f"""SELECT run_id, 'modified' AS status, round(total_price, 2) AS old_price, round(total_price + 1000, 2) AS new_price FROM runs WHERE {REPRICED}
   UNION ALL SELECT run_id, 'removed', round(total_price, 2), NULL FROM runs WHERE {WITHDRAWN}
   UNION ALL SELECT run_id + 1000000000, 'added', NULL, round(total_price, 2) FROM runs WHERE {WITHDRAWN}"""))
 def p23_revision(spark, d):
@@ -127,7 +127,7 @@ def p23_revision(spark, d):
     t = Versions(spark, scratch(spark), "run_id long, day date, price double", ["day", "run_id"], ["day"], 256)
     first = t.commit(r)
     t.copy(first, "revision")
-    t.commit(r.filter(F.expr(REPRICED)).withColumn("price", F.round(F.col("price") * 1.1, 2)), reason="new prices")
+    t.commit(r.filter(F.expr(REPRICED)).withColumn("price", F.round(F.col("price") + 1000, 2)), reason="new prices")
     gone = r.filter(F.expr(WITHDRAWN))
     last = t.commit(gone.withColumn("run_id", F.col("run_id") + 1_000_000_000), gone, "withdrawn and entered again")
     return t.diff(first, last, ["price"]).select("run_id", "status", "old_price", "new_price")
