@@ -177,6 +177,19 @@ def corrected_dimensions(od: Column) -> Column:
     return F.when(whole & od.between(10000, 99999) & (od % 10 == 0), F.floor(od / 10)).when(whole & od.between(3001, 9999), F.floor(od / 10)).otherwise(od)
 
 
+#: Five digits that end in a lost ".0" and are 4000 mm at most without it; four of over 3000 mm; each before the sign and the wall.
+FIVE, FOUR, WALL = "(0[1-9][0-9]{2}|[1-3][0-9]{3}|4000)0", "(3(?:0[1-9]|[1-9][0-9])|[4-9][0-9]{2})0", "([xX×*][0-9]{1,3})"
+
+
+def corrected_text(description: Column) -> Column:
+    """A description whose diameters have lost a decimal point (508.0x15 read as 5080x15), with all of them repaired.
+
+    What the first rule leaves of a diameter the second may shorten again; neither can apply once more to what both have left of a number of five
+    digits or fewer, so one round is all there is.
+    """
+    return F.regexp_replace(F.regexp_replace(description, FIVE + WALL, "$1$2"), FOUR + WALL, "$1$2")
+
+
 def document_kind(name: Column) -> Column:
     low = F.lower(F.coalesce(name, F.lit("")))
     return F.when(low.rlike(r"\bmto\b|take.?off"), "MTO").when(low.rlike(r"\brfq\b|enquiry|inquiry"), "RFQ").when(low.rlike(r"\b(po|order)\b"), "PO").when(low.rlike(r"spec"), "SPEC").otherwise("OTHER")

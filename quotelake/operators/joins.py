@@ -7,33 +7,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def as_of(left: DataFrame, series: DataFrame, key: str, at: str, since: str, value: str, out: str, strict: bool = True) -> DataFrame:
+def as_of(left: DataFrame, series: DataFrame, key: str, at: str, since: str, value: str, out: str, strict: bool = True, every: str | None = None) -> DataFrame:
     """`left` with the `value` that stood in `series` before (or at, if not strict) its time.
 
     Both are put in one sequence for each key and the last value is carried forward: one shuffle and one sort,
-    no pairs. Of several values at one time the largest counts. Columns of `left` are kept.
+    no pairs. Of several values at one time the largest counts. Columns of `left` are kept. With `every` ('month', 'quarter', ...) a key's sequence is cut there and
+    its pieces are sorted apart, so that no task gets all of a frequent key; the value that a piece begins with comes from one row for each piece before it.
     """
     points = series.groupBy(key, since).agg(F.max(value).alias("_v"))
+    piece = lambda t: F.date_trunc(every, F.col(t)) if every else F.lit(0)
     kind = 0 if strict else 2  # at the same time queries come before the value, or after it
-    q = left.select(F.col(key).alias("_key"), F.col(at).alias("_t"), F.lit(kind).alias("_o"), F.lit(None).cast(series.schema[value].dataType).alias("_v"), F.struct(*left.columns).alias("_row"))
-    p = points.select(F.col(key).alias("_key"), F.col(since).alias("_t"), F.lit(1).alias("_o"), "_v", F.lit(None).cast(q.schema["_row"].dataType).alias("_row"))
-    last = F.last("_v", ignorenulls=True).over(Window.partitionBy("_key").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0))
-    return q.unionByName(p).withColumn(out, last).filter(F.col("_o") == kind).select("_row.*", out)
-
-
-def interval(left: DataFrame, tiers: DataFrame, on: list[str], value: str, start: str, end: str) -> DataFrame:
-    """start <= value < end (open end: null), the first tier by start; rows without a tier stay.
+    no_value, bare = F.lit(None).cast(series.schema[value].dataType), F.struct(*left.columns)
+    q = left.select(F.col(key).alias("_key"), piece(at).alias("_p"), F.col(at).alias("_t"), F.lit(kind).alias("_o"), no_value.alias("_v"), bare.alias("_row"))
+    empty = F.lit(None).cast(q.schema["_row"].dataType).alias("_row")
+    p = points.select(F.col(key).alias("_key"), piece(since).alias("_p"), F.col(since).alias("_t"), F.lit(1).alias("_o"), "_v", empty)
+    rows = q.unionByName(p)
+    if every:
+        last = p.filter("_v IS NOT NULL").groupBy("_key", "_p").agg(F.max_by("_v", "_t").alias("_v")).unionByName(q.select("_key", "_p", no_value.alias("_v")).distinct())
+        pieces = last.groupBy("_key", "_p").agg(F.max("_v").alias("_v"))  # one row has a value at most
+        before = F.last("_v", ignorenulls=True).over(Window.partitionBy("_key").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+        carried = pieces.select("_key", "_p", before.alias("_v")).filter("_v IS NOT NULL")
+        rows = rows.unionByName(carried.select("_key", "_p", F.lit(None).cast(q.schema["_t"].dataType).alias("_t"), F.lit(-1).alias("_o"), "_v", empty))
+    carry = F.last("_v", ignorenulls=True).over(Window.partitionBy("_key", "_p").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0))  # nulls first
+    return rows.withColumn(out, carry).filter(F.col("_o") == kind).select("_row.*", out)
+
+
+def interval(left: DataFrame, tiers: DataFrame, on: list[str], value: str, start: str, end: str, closed: bool = False) -> DataFrame:
+    """start <= value < end (closed: <= end; open end: null), the first tier by start; rows without a tier stay.
 
     Overlaps are cut out of the tiers, so that a row meets one tier at most and the rows themselves need no shuffle
     where the optimiser broadcasts the tiers. `start` of the result is the tier's start after cutting.
     """
     before = F.max(F.coalesce(F.col(end), F.lit(float("inf")))).over(Window.partitionBy(*on).orderBy(start, F.asc_nulls_last(end)).rowsBetween(Window.unboundedPreceding, -1))
-    t = tiers.withColumn(start, F.greatest(F.col(start), before)).filter((F.col(start) < float("inf")) & (F.col(end).isNull() | (F.col(start) < F.col(end))))
-    t = t.select(*[F.col(c).alias(f"_t_{c}") if c in on else F.col(c) for c in tiers.columns])
-    cond = (F.col(value) >= F.col(start)) & (F.col(end).isNull() | (F.col(value) < F.col(end)))
+    t = tiers.withColumn("_t_before", before).filter(F.col("_t_before").isNull() | (F.col("_t_before") < float("inf")))
+    t = t.filter(F.col(end).isNull() | F.col("_t_before").isNull() | (F.col("_t_before") < F.col(end)))
+    t = t.select("_t_before", *[F.col(c).alias(f"_t_{c}") if c in on else F.greatest(start, "_t_before").alias(c) if c == start else F.col(c) for c in tiers.columns])
+    v, cut = F.col(value), F.col("_t_before")
+    if closed:
+        cond = (v >= F.col(start)) & (cut.isNull() | (v > cut) | (F.col(start) > cut)) & (F.col(end).isNull() | (v <= F.col(end)))
+    else:
+        cond = (v >= F.col(start)) & (F.col(end).isNull() | ((v < F.col(end)) & (F.col(start) < F.col(end))))
     for c in on:
         cond = cond & (F.col(c) == F.col(f"_t_{c}"))
-    return left.join(t, cond, "left").drop(*[f"_t_{c}" for c in on])
+    return left.join(t, cond, "left").drop("_t_before", *[f"_t_{c}" for c in on])
 
 
 def cascade(items: DataFrame, levels: list[tuple[DataFrame, list[str]]], key: list[str]) -> DataFrame:
@@ -81,3 +97,19 @@ def difference(old: DataFrame, new: DataFrame, key: list[str], values: list[str]
         same = same & F.col(f"old_{v}").eqNullSafe(F.col(f"new_{v}"))
     status = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(same, "unchanged").otherwise("modified")
     return a.join(b, key, "full").withColumn("status", status).drop("_old", "_new")
+
+
+def in_total_order(df: DataFrame, order: list[Column], number: str, path: str, files: int | None = None) -> DataFrame:
+    """`df` with the `number` of each row in a total order, from 1, stored at `path` in files that follow each other in this order.
+
+    Rows are dealt by ranges of the order and sorted in each; a row's number is its place in its range and the rows of the ranges before, which
+    are one count each. No task sees more than a range.
+    """
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).write.parquet(f"{path}/ranges")
+    stored = spark.read.parquet(f"{path}/ranges")
+    counts = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_offset"))  # as many rows as ranges
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return stored.join(F.broadcast(offsets), "_range").withColumn(number, F.col("_offset") + own).drop("_range", "_offset")

@@ -195,7 +195,7 @@ def p26(spark, d):
 def p27(spark, d):
     """The last price strictly before each item's date, else the catalogue's."""
     items = domain.items(spark, d)
-    found = joins.as_of(items.select("run_id", "line_number", "material_id", "effective_at"), items, "material_id", "effective_at", "effective_at", "unit_price", "before")
+    found = joins.as_of(items.select("run_id", "line_number", "material_id", "effective_at"), items, "material_id", "effective_at", "effective_at", "unit_price", "before", every="year")
     m = domain.materials(spark, d).select("material_id", "base_cost")
     return found.join(m, "material_id").select("run_id", "line_number", "material_id", F.round(F.coalesce("before", "base_cost"), 6).alias("previous_price"))
 
