@@ -89,6 +89,14 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A column name like `name` that none of `columns` has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch where its text column reaches `most` bytes; a single longer text is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()

@@ -56,7 +56,8 @@ def looked_up(base: DataFrame, side: DataFrame, n: int) -> DataFrame:
 
 
 def shuffled(base: DataFrame, side: DataFrame, n: int) -> DataFrame:
-    """The same where `side` is large: hashes meet first, those that documents hold often by broadcast; then the texts of hits are verified."""
+    """The same where `side` is large: hashes meet first, those that documents hold often by broadcast, and then the windows, as small rows; the words of a text move only to
+    its own hits, by id and row, to be verified."""
     spark = base.sparkSession
     hashed = base.filter(F.size("_w") >= n).select("_id", "_row", F.posexplode_outer(F.transform(windows(F.col("_w"), n), lambda g: F.xxhash64(g))).alias("_at", "hash"))
     known = side.select("hash").distinct()
@@ -64,9 +65,13 @@ def shuffled(base: DataFrame, side: DataFrame, n: int) -> DataFrame:
     total = counts.agg(F.sum("c")).first()[0] or 0
     often = F.broadcast(counts.filter(F.col("c") > total / int(spark.conf.get("spark.sql.shuffle.partitions"))).select("hash"))  # no more than partitions
     met = hashed.join(often, "hash").unionByName(hashed.join(often, "hash", "left_anti").join(known, "hash").select("hash", "_id", "_row", "_at"))
-    met = shared_table(met.select(F.col("_id").alias("i"), F.col("_row").alias("r"), F.col("_at").alias("start"), "hash").distinct())
-    texts = base.join(met, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_row") == F.col("r")))
-    return texts.join(side, "hash").filter(F.slice("_w", F.col("start") + 1, n) == F.col("gram")).select("_id", "_row", "start", F.lit(n).alias("n"), "hash", "gram")
+    met = met.select(F.col("_id").alias("i"), F.col("_row").alias("r"), F.col("_at").alias("start"), "hash").distinct()
+    heavy = shared_table(side.join(often, "hash"))  # windows of as many hashes as there are partitions, so broadcast
+    light = met.join(often, "hash", "left_anti").join(side, "hash")
+    windows_of = shared_table(met.join(F.broadcast(heavy), "hash").unionByName(light))
+    own = windows_of.groupBy("i", "r").agg(F.collect_set(F.struct("start", "hash", "gram")).alias("_hits"))  # no more than a text has words
+    texts = base.join(own, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_row") == F.col("r"))).select("_id", "_row", "_w", F.inline("_hits"))
+    return texts.filter(F.slice("_w", F.col("start") + 1, n) == F.col("gram")).select("_id", "_row", "start", F.lit(n).alias("n"), "hash", "gram")
 
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotelake.llm.common import add_by_text, bound_batches, table
+from quotelake.llm.common import add_by_text, bound_batches, free_name, table
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE = KINDS[:3]
@@ -107,8 +107,9 @@ def redacted(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
 
         return lambda texts: [pa.array(map(clean, texts), pa.string())]
 
-    new = add_by_text(df, text_col, [T.StructField("_clean", T.StringType())], kernel)
-    return new.select(*[F.col("_clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    name = free_name(df.columns, "_clean")
+    new = add_by_text(df, text_col, [T.StructField(name, T.StringType())], kernel)
+    return new.select(*[F.col(name).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,10 @@ def test_stages_equal_brute_force(spark):
     for r in out:
         assert r.ids == sp.encode(texts[r.doc_id]) and r.n_tokens == len(r.ids)
         assert r.decoded_sha256 == hashlib.sha256(sp.decode(r.ids).encode()).hexdigest()
+
+
+def test_stages_keep_columns_of_any_name_and_empty_tables(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/documents.parquet").selectExpr("*", "doc_id AS `_score`", "'x' AS `a.b`")
+    good = c.quality_filter(spark, docs, TESTDATA)
+    assert good.columns == docs.columns and good.filter("_score <> doc_id").isEmpty() and not good.isEmpty()
+    assert c.quality_filter(spark, docs.limit(0), TESTDATA).columns == docs.columns

@@ -74,3 +74,9 @@ def test_all_spans_of_a_table(spark, tmp_path):
     for i, t in enumerate(texts):
         found = expected(t) + [(m.start(), s.KINDS.index(k), m.end(), k) for k, p in checked.items() for m in re.finditer(p, t or "") if m[0] == key(m[0].split("_")[0], m[0].split("_", 1)[1][:-6])]
         assert got[i] == ",".join(f"{k}:{a}:{e}" for a, _, e, k in sorted(found))
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([("password = abcdefghijkl", "mine", "own")], "text string, _clean string, _Clean_ string")
+    row = s.redacted(df).first()
+    assert row._clean == "mine" and row._Clean_ == "own" and "abcdefghijkl" not in row.text
