@@ -12,25 +12,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelake.llm import decontamination, exact_dedup, ngram_jaccard, quality, sentencepieces
-from quotelake.llm.common import bound_batches, shared_table, table
+from quotelake.llm.common import free_name, shared_table, table
+
+
+#: Rows of an Arrow batch: workers live through all stages, so that each holds little at once.
+ROWS = 250
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS:
+        spark.conf.set(name, str(ROWS))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to the labelled ones among them, rejects (score under 0.5) go."""
-    bound_batches(spark)
+    small_batches(spark)
     trees = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, trees, out_col="_score").filter(F.col("_score") >= 0.5).drop("_score")
+    name = free_name(docs.columns, "_score")
+    return quality.score(docs, trees, out_col=name).filter(F.col(name) >= 0.5).drop(name)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that differ in the case of A-Z at most, the row with the largest doc_id stays."""
-    bound_batches(spark)
+    small_batches(spark)
     return exact_dedup.deduplicated(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a 5-word Jaccard similarity of 0.75 or more, the row with the smallest doc_id stays."""
-    bound_batches(spark)
+    small_batches(spark)
     return ngram_jaccard.one_of_each(docs)
 
 
@@ -43,7 +54,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens and the digests of ids and of what they decode to."""
     import public_tokenizers
 
-    bound_batches(spark)
+    small_batches(spark)
     model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
     out = sentencepieces.encode(docs.select("doc_id", "lang", "source", "text"), model)
     return sentencepieces.digests(out, "lang", "source", "ids")
