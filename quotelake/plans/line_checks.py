@@ -46,10 +46,10 @@ def d13_checked(spark, d):
 
 
 @register("d12_document_confidence", sql("""SELECT run_id, count(*) FILTER (ok) AS items, count(*) FILTER (ok IS NOT TRUE) AS skipped, greatest(any_value(rows) - count(*) FILTER (ok), 0) AS missing,
-  sum(CASE WHEN ok THEN warned ELSE 0 END)::BIGINT + (any_value(rows) > count(*) FILTER (ok))::INT + (count(*) FILTER (ok IS NOT TRUE) > 0)::INT AS warned, round(coalesce(avg(CASE WHEN ok THEN confidence END), 0.5), 4) AS confidence
+  sum(CASE WHEN ok THEN warned ELSE 0 END)::BIGINT + (any_value(rows) > count(*) FILTER (ok))::INT + (count(*) FILTER (ok IS NOT TRUE) > 0)::INT AS warned, round(coalesce(avg(CASE WHEN ok THEN confidence END), 0.5) + 1e-9, 6) AS confidence
   FROM checked JOIN (SELECT run_id, count(*) + run_id % 2 AS rows FROM items GROUP BY run_id) USING (run_id) GROUP BY run_id""", **STEPS))
 def d12_documents(spark, d):
     """A document's items, skipped and missing ones, warnings and confidence; tables say how many rows there were (in every second document one more than came out)."""
     rows = domain.items(spark, d).groupBy("run_id").agg((F.count(F.lit(1)) + F.first("run_id") % 2).alias("rows"))
     out = lc.summed_up(lc.checked(extracted(spark, d)), rows, "run_id", "rows")
-    return out.withColumn("confidence", F.round("confidence", 4))
+    return out.withColumn("confidence", F.round(F.col("confidence") + 1e-9, 6))  # no average is halfway
