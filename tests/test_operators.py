@@ -201,7 +201,8 @@ def test_close_names_equal_all_pairs(spark):
 
 
 def test_flows_do_not_depend_on_the_number_of_files(spark, tmp_path):
-    from quotelake.plans.streams import t06, t08
+    from quotelake.plans.streams import t06
+    from quotelake.plans.workflows import t08
 
     d = "/root/testdata/sf0.001"
     e = spark.read.parquet(f"{d}/events.parquet")
