@@ -98,7 +98,8 @@ def entry_keys() -> Column:
     that gives points there, or stand under another key too (null: all are needed)."""
     wall = F.concat_ws("/", F.col("tubular.wall_mm").cast("string"), "en.standard")
     size = F.concat_ws("/", F.col("generic.size").cast("string"), F.col("generic.marks").cast("string"))
-    alike = {"BF": F.lit(""), "BE": F.lit(""), "PE": F.lit(""), "TW": wall, "TR": wall, "FF": size}
+    across = F.concat_ws("/", F.col("tubular.od_mm").cast("string"), "en.standard")  # walls that give points meet under TB or TC
+    alike = {"BF": F.lit(""), "BE": F.lit(""), "PE": F.lit(""), "T": across, "TW": wall, "TR": wall, "FF": size}
     mark = lambda name, values: F.transform(values, lambda k: F.struct(k.alias("key"), alike.get(name, F.lit(None).cast("string")).alias("alike")))
     return reduce(lambda w, x: w.when(F.col("kind") == x[0], F.concat(*[mark(n, v) for n, v in x[1].items()])), all_keys(0).items(), F)
 
@@ -142,10 +143,12 @@ def best_matches(lines: DataFrame, catalogue: DataFrame, text: str, line_id: str
         raise ValueError(f"least is {LEAST} at least: keys are made for it")
     tuples = lambda df, text: attributes(df, text).withColumn("same", F.to_json(F.struct(*PARTS)))
     # lines by their distinct attributes
-    texts = tuples(lines.select(F.col(text)).distinct(), text)
+    # few bytes, but long expressions on each: a stated number of partitions isn't merged for their size
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = tuples(lines.select(F.col(text)).distinct().repartition(parts, text), text)
     # outer generators and points under an aggregate keep the optimiser from repeating these long expressions in filters
-    own = texts.groupBy("same").agg(*[F.first(p).alias(p) for p in PARTS]).withColumn("key", F.explode_outer(line_keys()))
-    entries = latest(tuples(catalogue.select(cat_id, F.col(text).alias("_text")), "_text"), ["same"], [F.asc(cat_id)], k).select(cat_id, *PARTS, F.inline_outer(entry_keys()).alias("key", "alike"))
+    own = texts.groupBy("same").agg(*[F.first(p).alias(p) for p in PARTS]).repartition(parts, "same").withColumn("key", F.explode_outer(line_keys()))
+    entries = latest(tuples(catalogue.select(cat_id, F.col(text).alias("_text")).repartition(parts, cat_id), "_text"), ["same"], [F.asc(cat_id)], k).select(cat_id, *PARTS, F.inline_outer(entry_keys()).alias("key", "alike"))
     alone = F.coalesce("alike", F.concat(F.lit("="), F.col(cat_id).cast("string")))
     some = latest(entries.withColumn("_alike", alone), ["key", "_alike"], [F.asc(cat_id)], k).drop("_alike")
     pairs = own.alias("l").join(some.alias("c"), "key").filter("l.kind = c.kind")
