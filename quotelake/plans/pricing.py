@@ -319,6 +319,15 @@ def p33(spark, d):
     return pricing.availability(coded(spark, d), "run_id", "code")
 
 
+@register("p34_risk_with_availability", sql(f"SELECT run_id, availability, round(risk, 6) AS risk, CASE WHEN risk < 30 THEN 'LOW' WHEN risk < 60 THEN 'MEDIUM' ELSE 'HIGH' END AS level FROM (SELECT run_id, coalesce(availability, 0.0) AS availability, round(0.30 * deviation + 0.25 * credit + 0.35 * anomaly, 6) + 0.10 * coalesce(availability, 0.0) AS risk FROM ({RISK}) LEFT JOIN (SELECT run_id, least(100, 15 * count(*) FILTER (coalesce(trim(code), '') = ''))::DOUBLE AS availability FROM coded GROUP BY run_id) USING (run_id))", coded=CODED))
+def p34_available(spark, d):
+    """The level of risk with what items without a material code add to it."""
+    missing = pricing.availability(coded(spark, d), "run_id", "code").select("run_id", "availability")
+    both = p34(spark, d).select("run_id", F.col("risk").alias("known")).join(missing, "run_id", "left").withColumn("availability", F.coalesce("availability", F.lit(0.0)))
+    risk = F.col("known") + 0.10 * F.col("availability")
+    return both.select("run_id", "availability", F.round(risk, 6).alias("risk"), pricing.risk_level(risk).alias("level"))
+
+
 @register("p11_price_run", sql(f"""SELECT run_id, count(*) AS n_items, count(*) FILTER (method = 'agreement') AS by_agreement, round(sum(unit_price * quantity), 6) AS subtotal, round(sum(duty), 6) AS duty, round(sum(freight + insurance + handling + local), 6) AS logistics,
  round(sum(unit_price * quantity + duty + freight + insurance + handling + local), 6) AS landed, round(sum(weight), 6) AS weight_kg FROM (
  SELECT *, {LOCAL} AS local FROM (SELECT *, greatest((item_price + freight) * 0.004 * 1.1, 5.0) AS insurance, item_price * 2.5 / 100 AS duty FROM (
