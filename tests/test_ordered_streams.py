@@ -4,7 +4,9 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quotelake.streaming import approvals, ordered
 
@@ -97,3 +99,50 @@ def test_idle_keys_are_forgotten(spark):
     fold = ordered.ordered_fold(stream, ["k"], "ts", ["price"], approvals.price_step, (None,), "price double", "us long, price double, previous double, pct double", "1 hour", "1 hour", "5 days")
     assert sorted((r.k, r.price, r.previous) for r in ordered.finished(fold).collect() if r.k == 1)[:2] == [(1, 1.0, None), (1, 2.0, 1.0)]
     assert {r.price: r.previous for r in ordered.finished(fold).collect()}[3.0] is None
+
+
+class Store:
+    """State of one bucket that counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.timers, self.values = 0, set(), {}
+
+    def getMapState(self, name, *_):
+        return self.of(name, {})
+
+    getValueState = getMapState
+
+    def of(self, name, kept):
+        store = self
+
+        class State:
+            def __getattr__(_, call):
+                store.calls += 1
+                return {
+                    "exists": lambda: "" in kept, "get": lambda: kept[""], "update": lambda v: kept.update({"": v}), "clear": kept.clear, "updateValue": kept.__setitem__, "getValue": kept.__getitem__,
+                    "keys": lambda: iter(list(kept)), "removeKey": kept.pop,
+                }[call]
+
+        return State()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class Now:
+    def __init__(self, at, timer=None):
+        self.getCurrentWatermarkInMs, self.getExpiryTimeInMs = lambda: at, lambda: timer
+
+
+def test_state_is_asked_by_slice_not_by_key(spark):
+    row = T._parse_datatype_string("k long, _us long, price double")
+    fold = ordered.OrderedFold(row, 1, approvals.price_step, (None,), T._parse_datatype_string("price double"), ["k", "us", "price", "previous", "pct"], 3_600_000, None)
+    store = Store()
+    fold.init(store)
+    made = Row("k", "_us", "price")
+    rows = [made(k, us, float(k + us)) for us in (5, 1, 3) for k in range(500)]
+    list(fold.handleInputRows((0,), iter(rows), Now(0)))
+    out = [r for t in sorted(store.timers) for r in fold.handleExpiredTimer((0,), Now(10**9), Now(0, t))]
+    assert sorted((r.k, r.us, r.previous) for r in out) == sorted((k, us, b) for k in range(500) for us, b in ((1, None), (3, k + 1.0), (5, k + 3.0)))
+    assert store.calls < 30
