@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ ROLES = {
 }
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with `value` computed once for each row however often f names it, inside other functions of arrays too."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def header(h: Column) -> Column:
     """Lower case, punctuation as spaces, single spaces."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(h, F.lit(""))), r"[^a-z0-9/ ]", " "), " +", " "))

@@ -120,13 +120,16 @@ def page_score(text: Column, keywords: list[str]) -> Column:
     found = reduce(lambda a, b: a + b, [F.contains(low, F.lit(k)).cast("int") for k in keywords])
     digits = F.length(F.regexp_replace(solid, "[^0-9]", "")) / F.nullif(F.length(solid), F.lit(0)).cast("double")
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s", " ")) != "")
-    n = F.size(lines).cast("double")
-    share = lambda test: F.size(F.filter(lines, test)) / n
-    mean = F.aggregate(lines, F.lit(0.0), lambda a, x: a + F.length(x)) / n
-    aligned = share(lambda x: x.rlike(r"\t|\s{3,}"))
-    alike = F.size(F.filter(lines, lambda x: F.abs(F.length(x) - mean) < mean * 0.3)) / n
-    parted = share(lambda x: F.contains(x, F.lit("|")) | x.rlike(r"\s{4,}|\t.*\t"))
-    tabular = F.when(F.size(lines) < 3, 0.0).otherwise(F.least(aligned * 0.4 + alike * 0.3 + parted * 0.3, F.lit(1.0)))
+
+    def looks(own: Column, mean: Column) -> Column:
+        share = lambda test: F.size(F.filter(own, test)) / F.size(own).cast("double")
+        aligned = share(lambda x: x.rlike(r"\t|\s{3,}"))
+        alike = share(lambda x: F.abs(F.length(x) - mean) < mean * 0.3)
+        parted = share(lambda x: F.contains(x, F.lit("|")) | x.rlike(r"\s{4,}|\t.*\t"))
+        return F.when(F.size(own) < 3, 0.0).otherwise(F.least(aligned * 0.4 + alike * 0.3 + parted * 0.3, F.lit(1.0)))
+
+    mean_of = lambda own: F.aggregate(own, F.lit(0.0), lambda a, x: a + F.length(x)) / F.nullif(F.size(own), F.lit(0)).cast("double")
+    tabular = tx.once(lines, lambda own: tx.once(mean_of(own), lambda mean: looks(own, mean)))  # else each line would find all lines and their mean anew
     return 0.4 * F.least(found / 15.0, F.lit(1.0)) + 0.3 * F.coalesce(F.least(digits / 0.2, F.lit(1.0)), F.lit(0.0)) + 0.3 * tabular
 
 
