@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quotelake.functions import text as tx
+from quotelake.operators.tables import by_layout
 
 
 def pages(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -53,18 +54,35 @@ def looks_like_data(headers: Column) -> Column:
     return F.size(F.filter(headers, lambda h: h.rlike("^[0-9]{2,}$"))) * 2 > F.size(headers)
 
 
-def table_score(headers: Column, rows: Column) -> Column:
-    """Headers array<string>, rows array<array<string>>; -100 for what is no table of items. Words count inside other words too."""
-    h = F.transform(headers, tx.header)
-    has = {g: reduce(lambda a, b: a | b, [F.exists(h, _contains(t)) for t in terms]) for g, (terms, _) in GROUPS.items()}
-    points = reduce(lambda a, b: a + b, [F.when(has[g], p).otherwise(0) for g, (_, p) in GROUPS.items()])
-    core = reduce(lambda a, b: a + b, [has[g].cast("int") for g in CORE])
-    cells = F.flatten(rows)
-    sparse = F.size(F.filter(cells, lambda c: F.coalesce(F.trim(c), F.lit("")) == "")) * 2 > F.size(cells)
+def header_points(headers: Column) -> Column:
+    """struct<points, reject>: what headers alone say. Words count inside other words too."""
+
+    def told(h: Column) -> Column:
+        has = {g: reduce(lambda a, b: a | b, [F.exists(h, _contains(t)) for t in terms]) for g, (terms, _) in GROUPS.items()}
+        points = reduce(lambda a, b: a + b, [F.when(has[g], p).otherwise(0) for g, (_, p) in GROUPS.items()])
+        core = reduce(lambda a, b: a + b, [has[g].cast("int") for g in CORE])
+        reject = reduce(lambda a, b: a | b, [F.exists(h, _contains(t)) for t in REJECT]) | looks_like_data(headers)
+        return F.struct((points - F.when(F.size(h) < 3, 20).otherwise(0) + F.when(core >= 2, 15).otherwise(0)).alias("points"), reject.alias("reject"))
+
+    return tx.once(F.transform(headers, tx.header), told)
+
+
+def table_points(header: Column, rows: Column) -> Column:
+    """The score of a table by its header_points and its rows."""
+    sparse = tx.once(F.flatten(rows), lambda cells: F.size(F.filter(cells, lambda c: F.coalesce(F.trim(c), F.lit("")) == "")) * 2 > F.size(cells))
     numeric = F.exists(rows, lambda r: F.get(r, 0).rlike("^[0-9]+$"))
-    points = points - F.when(F.size(h) < 3, 20).otherwise(0) + F.when(core >= 2, 15).otherwise(0) - F.when(sparse, 20).otherwise(0) + F.when(numeric, 10).otherwise(0)
-    reject = reduce(lambda a, b: a | b, [F.exists(h, _contains(t)) for t in REJECT]) | looks_like_data(headers)
-    return F.when(reject, -100).otherwise(points)
+    return F.when(header["reject"], -100).otherwise(header["points"] - F.when(sparse, 20).otherwise(0) + F.when(numeric, 10).otherwise(0))
+
+
+def table_score(headers: Column, rows: Column) -> Column:
+    """Headers array<string>, rows array<array<string>>; -100 for what is no table of items."""
+    return tx.once(header_points(headers), lambda h: table_points(h, rows))
+
+
+def scored_tables(df: DataFrame, headers: str, rows: str) -> DataFrame:
+    """`df` with score; what headers say is found once for each layout."""
+    known = by_layout(df, headers, lambda e: e.withColumn("_header", header_points(F.col(headers))))
+    return known.withColumn("score", table_points(F.col("_header"), F.col(rows))).drop("_header")
 
 
 def _contains(term: str):

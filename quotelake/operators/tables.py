@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotelake.functions.text import once
+
 # Words of header groups, points, limits and patterns.
 GROUPS = {
     "item": ["item", "no", "#", "number", "line", "line no", "line number"],
@@ -38,6 +41,8 @@ KEYWORDS = {
     "unit": ["unit", "uom", "unit of measure", "u.o.m"],
 }
 LEAST_SCORE, STARTS = 0.6, 0.8
+#: Layouts of headers that are broadcast.
+MOST_LAYOUTS = 20_000
 #: Behind all columns.
 NOWHERE = 1 << 30
 
@@ -72,22 +77,51 @@ def looks_like_data(headers: Column) -> Column:
     return (F.size(c) == 0) | (dates > 0.3 * F.size(c)) | (numbers > 0.5 * F.size(c)) | ((names > 0) & (dates + numbers > 0))
 
 
-def score(headers: Column, rows: Column) -> Column:
-    """Points of a table with headers array<string> and rows array<array<string>>; -100 where it is none of items. ACCEPT or more is a table of items."""
-    n = F.transform(headers, normal)
-    has = {g: some_hold(n, w) for g, w in GROUPS.items()}
-    at = F.array_position(F.transform(n, lambda h: holds(h, GROUPS["item"])), True)
-    named = cell(F.get(headers, (at - 1).cast("int")))
-    has["item"] = has["item"] & ~(named.rlike("^[0-9]+$") | F.lower(named).rlike(DATE))
+def by_layout(df: DataFrame, headers: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`df` with the columns that `made` adds to a frame of its distinct headers. Layouts are counted first: up to MOST_LAYOUTS are broadcast, more are joined by a shuffle."""
+    each = df.select(headers).distinct()
+    few = each.limit(MOST_LAYOUTS + 1).count() <= MOST_LAYOUTS
+    right = made(each).withColumnRenamed(headers, "_layout")
+    return df.join(F.broadcast(right) if few else right, F.col(headers).eqNullSafe(F.col("_layout")), "left").drop("_layout")
+
+
+def header_points(headers: Column) -> Column:
+    """struct<points, at, item, is_data, none>: what headers alone say; `at`: the first column of items, from 1, 0 for none."""
+
+    def told(n: Column) -> Column:
+        has = {g: some_hold(n, w) for g, w in GROUPS.items()}
+        at = F.array_position(F.transform(n, lambda h: holds(h, GROUPS["item"])), True)
+        named = cell(F.get(headers, (at - 1).cast("int")))
+        has["item"] = has["item"] & ~(named.rlike("^[0-9]+$") | F.lower(named).rlike(DATE))
+        more = {
+            "few headers": F.size(headers) < LEAST_HEADERS, "several groups": sum((has[g].cast("int") for g in CORE), F.lit(0)) >= 2,
+            "items in spite of revisions": has["item"] & has["quantity"] & has["revision"] & any_of(has[g] for g in ("description", "material", "dimension")),
+        }
+        total = sum((F.when(yes, POINTS[g]).otherwise(0) for g, yes in (has | more).items()), F.lit(0))
+        is_data = looks_like_data(headers)
+        return F.struct(total.alias("points"), at.alias("at"), has["item"].alias("item"), is_data.alias("is_data"), (is_data | some_hold(n, REJECTED)).alias("none"))
+
+    return once(F.transform(headers, normal), told)
+
+
+def points(header: Column, rows: Column) -> Column:
+    """Points of a table by its header_points and its rows array<array<string>>."""
     some = F.size(rows) > 0
     sparse = some & (2 * F.size(F.filter(rows, lambda r: F.size(F.filter(r, lambda c: cell(c) != "")) <= 1)) > F.size(rows))
-    numbered = has["item"] & F.exists(rows, lambda r: F.coalesce(F.get(r, (at - 1).cast("int")).rlike(r"^\s*\+?0*[1-9]"), F.lit(False)))
-    more = {
-        "few headers": F.size(headers) < LEAST_HEADERS, "several groups": sum((has[g].cast("int") for g in CORE), F.lit(0)) >= 2, "sparse rows": sparse, "numbered items": numbered,
-        "items in spite of revisions": has["item"] & has["quantity"] & has["revision"] & any_of(has[g] for g in ("description", "material", "dimension")),
-    }
-    total = sum((F.when(yes, POINTS[g]).otherwise(0) for g, yes in (has | more).items()), F.lit(0))
-    return F.when(looks_like_data(headers) | some_hold(n, REJECTED), POINTS["none"]).otherwise(total)
+    numbered = header["item"] & F.exists(rows, lambda r: F.coalesce(F.get(r, (header["at"] - 1).cast("int")).rlike(r"^\s*\+?0*[1-9]"), F.lit(False)))
+    more = {"sparse rows": sparse, "numbered items": numbered}
+    return F.when(header["none"], POINTS["none"]).otherwise(sum((F.when(yes, POINTS[g]).otherwise(0) for g, yes in more.items()), header["points"]))
+
+
+def score(headers: Column, rows: Column) -> Column:
+    """Points of a table with headers array<string> and rows array<array<string>>; -100 where it is none of items. ACCEPT or more is a table of items."""
+    return once(header_points(headers), lambda h: points(h, rows))
+
+
+def scored(df: DataFrame, headers: str, rows: str) -> DataFrame:
+    """`df` with score and is_data of each table; what headers say is found once for each layout."""
+    known = by_layout(df, headers, lambda e: e.withColumn("_header", header_points(F.col(headers))))
+    return known.withColumns({"score": points(F.col("_header"), F.col(rows)), "is_data": F.col("_header.is_data")}).drop("_header")
 
 
 def starts(keywords: list[str]) -> list[str]:
@@ -97,11 +131,14 @@ def starts(keywords: list[str]) -> list[str]:
 
 def fit(h: Column, keywords: list[str]) -> Column:
     """1 where a header contains a keyword; else the better of 0.8, if a word of it begins like a keyword, and the similarity, from 0.6 on; else 0."""
-    t = F.lower(cell(h))
-    alike = F.greatest(*[1 - F.levenshtein(t, F.lit(k)) / F.greatest(F.length(t), F.lit(len(k))) for k in keywords])
-    begins = F.exists(F.split(t, r"\s+"), lambda w: any_of(F.startswith(w, F.lit(p)) for p in starts(keywords)))
-    best = F.greatest(F.when(begins, STARTS).otherwise(0.0), F.when(alike >= LEAST_SCORE, alike).otherwise(0.0))
-    return F.when(t == "", 0.0).when(holds(t, keywords), 1.0).otherwise(best)
+
+    def told(t: Column) -> Column:
+        alike = F.greatest(*[1 - F.levenshtein(t, F.lit(k)) / F.greatest(F.length(t), F.lit(len(k))) for k in keywords])
+        begins = F.exists(F.split(t, r"\s+"), lambda w: any_of(F.startswith(w, F.lit(p)) for p in starts(keywords)))
+        best = once(alike, lambda x: F.greatest(F.when(begins, STARTS).otherwise(0.0), F.when(x >= LEAST_SCORE, x).otherwise(0.0)))
+        return F.when(t == "", 0.0).when(holds(t, keywords), 1.0).otherwise(best)
+
+    return once(F.lower(cell(h)), told)
 
 
 def fits(headers: Column) -> Column:

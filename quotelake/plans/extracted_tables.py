@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quotelake.functions.json_repair import recovered_json
+from quotelake.functions.text import once
 from quotelake.operators import tables
 from quotelake.registry import register
 from quotelake.sources import domain
@@ -59,14 +60,14 @@ STEPS = {"tables": TABLES, "normal": NORMAL, "counted": COUNTED, "itemed": ITEME
 @register("s16_scored_tables", sql("SELECT run_id, score::INTEGER AS score, is_data, score >= 45 AS accepted FROM scored", **STEPS))
 def s16_scored(spark, d):
     """Points of each table, and whether its headers are data."""
-    points = tables.score(F.col("headers"), F.col("rows"))
-    return extracted(spark, d).select("run_id", points.alias("score"), tables.looks_like_data(F.col("headers")).alias("is_data")).withColumn("accepted", F.col("score") >= tables.ACCEPT)
+    t = tables.scored(extracted(spark, d), "headers", "rows")
+    return t.select("run_id", "score", "is_data").withColumn("accepted", F.col("score") >= tables.ACCEPT)
 
 
 @register("s18_best_scored", sql("SELECT run_id % 50 AS doc, arg_max(run_id, (score, -run_id)) AS run_id, max(score)::INTEGER AS score FROM scored WHERE score >= 45 GROUP BY ALL", **STEPS))
 def s18_best(spark, d):
     """The best table of each document (fifty of them)."""
-    t = extracted(spark, d).select((F.col("run_id") % 50).alias("doc"), "run_id", tables.score(F.col("headers"), F.col("rows")).alias("score"))
+    t = tables.scored(extracted(spark, d), "headers", "rows").select((F.col("run_id") % 50).alias("doc"), "run_id", "score")
     return tables.best_tables(t, "doc", "run_id", "score")
 
 
@@ -84,7 +85,8 @@ FITTED = f"""SELECT run_id, i, {", ".join(f"{_fit(r)} AS {r}" for r in tables.KE
   (4 * (max(description) >= 0.6)::INT + 4 * (max(quantity) >= 0.6)::INT + (max(item) >= 0.6)::INT + (max(unit) >= 0.6)::INT) / 10 AS confidence FROM fitted GROUP BY run_id""", tables=TABLES, fitted=FITTED))
 def s14_rebuilt(spark, d):
     """What the columns of tables with broken headers are for, and how sure that is."""
-    return extracted(spark, d).select("run_id", tables.first_fits(tables.fits(F.col("headers"))).alias("c")).select("run_id", "c.*")
+    made = lambda e: e.withColumn("c", once(tables.fits(F.col("headers")), tables.first_fits))
+    return tables.by_layout(extracted(spark, d).select("run_id", "headers"), "headers", made).select("run_id", "c.*")
 
 
 CHOICES = f"""SELECT run_id, i, role, fit FROM (UNPIVOT fitted ON {", ".join(tables.KEYWORDS)} INTO NAME role VALUE fit) WHERE fit >= 0.6"""
@@ -96,8 +98,8 @@ CHOICES = f"""SELECT run_id, i, role, fit FROM (UNPIVOT fitted ON {", ".join(tab
   WHERE len(list_filter([a.i, b.i, c.i, d.i], lambda v: v IS NOT NULL)) = len(list_distinct([a.i, b.i, c.i, d.i])))) WHERE k = 1""", tables=TABLES, fitted=FITTED, choices=CHOICES))
 def s14_assigned(spark, d):
     """The same with each column for one role at most, by the best total; the SQL tries all assignments."""
-    t = extracted(spark, d).select("run_id", tables.fits(F.col("headers")).alias("fitted"))
-    return tables.best_assignment(t, "fitted").select("run_id", *[f"assigned.{r}" for r in tables.KEYWORDS], F.round("assigned.total", 6).alias("total"))
+    made = lambda e: tables.best_assignment(e.withColumn("fitted", tables.fits(F.col("headers"))), "fitted").drop("fitted")
+    return tables.by_layout(extracted(spark, d).select("run_id", "headers"), "headers", made).select("run_id", *[f"assigned.{r}" for r in tables.KEYWORDS], F.round("assigned.total", 6).alias("total"))
 
 
 #: An item of an answer, with brackets and quotes inside its texts; the same text in Spark and DuckDB. In every third answer the second item is mangled.

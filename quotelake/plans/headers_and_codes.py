@@ -46,7 +46,7 @@ def s14(spark, d):
 @register("s18_best_table", sql("SELECT run_id % 100 AS doc, min(run_id) AS run_id FROM (SELECT DISTINCT run_id FROM items WHERE run_id % 3 = 0) GROUP BY ALL"))
 def s18(spark, d):
     """Tables by document (a hundred of them): the best that is accepted, the first of equal ones."""
-    t = tables(spark, d).withColumn("doc", F.col("run_id") % 100).withColumn("score", documents.table_score(F.col("headers"), F.col("rows")))
+    t = documents.scored_tables(tables(spark, d), "headers", "rows").withColumn("doc", F.col("run_id") % 100)
     return documents.best_table(t, "doc", "run_id", "score").select("doc", "run_id")
 
 

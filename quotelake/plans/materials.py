@@ -159,7 +159,7 @@ def s20(spark, d):
 def tables(spark: SparkSession, d: str) -> DataFrame:
     """Extracted tables of runs: headers by shape, one row for each item."""
     rows = domain.items(spark, d).groupBy("run_id").agg(
-        F.array_sort(F.collect_list(F.array(F.col("line_number").cast("string"), F.col("material_id").cast("string"), F.col("quantity").cast("string")))).alias("rows")
+        F.sort_array(F.collect_list(F.array(F.col("line_number").cast("string"), F.col("material_id").cast("string"), F.col("quantity").cast("string")))).alias("rows")
     )
     heads = F.when(F.col("run_id") % 3 == 0, F.array(*map(F.lit, ["Item", "Description", "Qty", "Unit"]))).when(F.col("run_id") % 3 == 1, F.array(*map(F.lit, ["Revision", "Date", "Remarks"]))).otherwise(F.array(*map(F.lit, ["Vendor", "Document No", "Item"])))
     return rows.withColumn("headers", heads)
@@ -167,8 +167,7 @@ def tables(spark: SparkSession, d: str) -> DataFrame:
 
 @register("s16_table_scores", sql("SELECT run_id, CASE run_id % 3 WHEN 0 THEN 140 WHEN 1 THEN -35 ELSE -100 END AS score, run_id % 3 = 0 AS accepted FROM (SELECT DISTINCT run_id FROM items)"))
 def s16(spark, d):
-    s = documents.table_score(F.col("headers"), F.col("rows"))
-    return tables(spark, d).select("run_id", s.alias("score"), (s >= documents.ACCEPT).alias("accepted"))
+    return documents.scored_tables(tables(spark, d), "headers", "rows").select("run_id", "score", (F.col("score") >= documents.ACCEPT).alias("accepted"))
 
 
 @register("d01_chunks", "SELECT doc_id, coalesce(k, 0) AS n, coalesce(pages, 0) AS pages, CASE WHEN p > 200 THEN 'more than 200 pages' END AS error FROM (SELECT doc_id, CAST(1 + coalesce(n_chars, 0) // 500 AS INTEGER) AS p FROM documents) LEFT JOIN (SELECT doc_id, count(*) AS k, sum(last - first + 1)::BIGINT AS pages FROM (SELECT doc_id, s AS first, least(s + CASE WHEN n <= 3 THEN 2 ELSE 3 END, n) AS last FROM (SELECT doc_id, n, unnest(CASE WHEN n <= 3 THEN [1] ELSE range(1, n + 1, 3) END) AS s FROM (SELECT doc_id, CAST(1 + coalesce(n_chars, 0) // 500 AS INTEGER) AS n FROM documents) WHERE n <= 200)) GROUP BY doc_id) USING (doc_id)")
