@@ -2,6 +2,7 @@
 
     spark.dataSource.register(SheetSource)
     spark.read.format("sheets").load(path)     # path, sheet, row int (from 1), cells array<string>
+    spark.read.format("sheets").option("first", 20).load(path)     # rows up to the 20th of each sheet
     df.write.format("sheets").save(path)       # the same columns but for path, in order of sheet and row in each partition
 
 The driver reads the directories of the archives only. A task holds the texts that cells share and one row at a time, never a whole workbook or sheet. Files
@@ -107,8 +108,8 @@ class Sheet(InputPartition):
 
 
 class SheetReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, first: int | None = None):
+        self.path, self.first = path, first
 
     def partitions(self) -> list[Sheet]:
         fs, root = located(self.path)
@@ -132,6 +133,8 @@ class SheetReader(DataSourceReader):
                 return pa.RecordBatch.from_arrays([pa.array([x] * n if not isinstance(x, list) else x, f.type) for x, f in zip((partition.path, partition.name, [r for r, _ in held], [c for _, c in held]), ARROW)], schema=ARROW)
 
             for row in rows_of(z, partition.member):
+                if self.first is not None and row[0] > self.first:
+                    break
                 held.append(row)
                 if len(held) == ROWS:
                     yield batch()
@@ -216,7 +219,8 @@ class SheetSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> SheetReader:
-        return SheetReader(self.options["path"])
+        first = self.options.get("first")
+        return SheetReader(self.options["path"], int(first) if first else None)
 
     def writer(self, schema: StructType, overwrite: bool) -> SheetWriter:
         return SheetWriter(self.options["path"], overwrite)

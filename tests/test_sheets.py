@@ -64,3 +64,31 @@ def test_keyed_sheets(spark, tmp_path):
     out = files.keyed_sheets(files.read_sheets(spark, str(tmp_path / "o")), ["item", "qty"]).orderBy("row")
     assert [(r.sheet, r.title, r.row, r.cells) for r in out.collect()] == [("s", "Offer 7", 3, {"item": "1", "qty": "5"}), ("s", "Offer 7", 4, {"item": "2"})]
     assert out.filter(F.col("sheet") == "t").count() == 0
+
+
+def test_headers_are_read_without_the_rest(spark, tmp_path):
+    rows = [("a", 1, ["Offer"]), ("a", 3, ["Item", "Qty"]), *[("a", i, [str(i), "2"]) for i in range(4, 60)]]
+    path = str(tmp_path / "books")
+    files.write_sheets(spark.createDataFrame(rows, "sheet string, row int, cells array<string>").coalesce(1), path)
+    tops = files.read_sheets(spark, path, 20)
+    assert tops.agg({"row": "max"}).first()[0] == 20
+    plain, by_tops = (sorted((r.title, r.row, tuple(sorted(r.cells.items()))) for r in files.keyed_sheets(files.read_sheets(spark, path), ["item", "qty"], tops=t).collect()) for t in (None, tops))
+    assert plain == by_tops and len(plain) == 56
+
+
+def test_a_long_offer_takes_several_workbooks(spark, monkeypatch):
+    from quotelake.plans import scans
+
+    monkeypatch.setattr(scans, "SHEET_ROWS", 50)
+    written = []
+    monkeypatch.setattr(files, "write_sheets", lambda df, path, f=files.write_sheets: (written.append(df.groupBy("sheet").count().agg({"count": "max"}).first()[0]), f(df, path)))
+    out = scans.io05(spark, "/root/testdata/sf0.001").collect()
+    assert len(out) == 10 and sum(r.n for r in out) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() and written[0] < 200
+
+
+def test_whole_totals_stay_whole(spark, tmp_path):
+    from quotelake.plans import scans
+
+    prices = [0.7, 0.1, 0.2, 1000.0, 8.3, 16.1, 4.6]
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(1).selectExpr("* except (l_orderkey, l_extendedprice)", f"1L as l_orderkey", f"explode(array({', '.join(f'{p}d' for p in prices)})) as l_extendedprice").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [r.totals_price for r in scans.io10(spark, str(tmp_path)).collect()] == ["1030"]
