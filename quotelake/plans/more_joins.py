@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quotelake.functions.text import once
 from quotelake.operators import dimensions, joins
 from quotelake.operators import items as it
 from quotelake.plans.pricing import literal, values
@@ -82,14 +83,16 @@ CELLS = ", ".join(f"CASE WHEN {MISSING.format(j=j)} THEN NULL ELSE {f'CAST({x} A
 @register("io09_dimension_tables", sql(f"SELECT k, t, {CELLS}, schedule, CASE schedule WHEN 'STD' THEN 'STD' WHEN '40' THEN 'STD' WHEN 'XS' THEN 'XS' WHEN '80' THEN 'XS' END AS pressure_series FROM catalogue WHERE NOT ({MISSING.format(j=0)})", catalogue=CATALOGUE))
 def io09(spark, d):
     """Dimension tables whose columns stand in other places in each, under headers that say nothing, typed by what their rows say."""
-    m = domain.materials(spark, d).select(F.col("material_id").alias("k"), (F.col("material_id") % 20).alias("t"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the table is small, what is made of it isn't
+    m = domain.materials(spark, d).select(F.col("material_id").alias("k")).repartition(parts, "k").withColumn("t", F.col("k") % 20)
     pick = lambda pool, by: F.get(F.array(*map(F.lit, pool)), (by % len(pool)).cast("int"))
     c = m.withColumns({"nps": pick(NPS, F.col("k")), "dn": pick(SIZES, F.col("k")).cast("double"), "schedule": pick(SCHEDULES, F.floor(F.col("k") / 7))})
-    cells = [F.when(F.expr(MISSING.format(j=j)), F.lit("-")).otherwise(F.expr(f"CAST({x} AS STRING)")) for j, x in enumerate(ROW.values())]
-    own = F.array(*cells, F.concat(F.lit(" "), "schedule"))
+    each = [F.when(F.expr(MISSING.format(j=j)), F.lit("-")).otherwise(F.expr(f"CAST({x} AS STRING)")) for j, x in enumerate(ROW.values())]
+    own = F.array(*each, F.concat(F.lit(" "), "schedule"))
     step = F.get(F.array(*map(F.lit, [1, 2, 4, 5, 7, 8])), (F.col("t") % 6).cast("int"))
     place = lambda i: ((i * step + F.col("t")) % len(dimensions.ROLES)).cast("int")
-    placed = F.transform(F.sequence(F.lit(0), F.lit(len(dimensions.ROLES) - 1)), lambda i: F.get("own", place(i)))
-    grid = c.withColumn("own", own).select("k", "t", placed.alias("cells"))
+    placed = lambda cells: F.transform(F.sequence(F.lit(0), F.lit(len(dimensions.ROLES) - 1)), lambda i: F.get(cells, place(i)))
+    never_null = F.coalesce(once(own, placed), F.array().cast("array<string>"))  # else the optimiser makes it in front of the shuffle too, to ask for nulls
+    grid = c.select("k", "t", never_null.alias("cells"))
     heads = grid.groupBy("t").agg(F.lit(-1).cast("long").alias("k")).select("k", "t", F.array(*[F.lit(f"col {i}") for i in range(9)]).alias("cells"))
     return dimensions.dimensions(grid.unionByName(heads), "t")

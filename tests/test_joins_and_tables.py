@@ -111,3 +111,17 @@ def test_dimensions_need_agreement(spark):
     rows = [("a", [str(i), str(3 * i + 1)]) for i in range(1, 9)] + [("b", ["x", "y"])] + [("c", [str(i * 25.4), str(i), "STD"]) for i in range(1, 5)] + [("c", ["7", "100", "40"])] * 4
     out = {r.t: r for r in dimensions.columns_of(spark.createDataFrame(rows, "t string, cells array<string>"), "t").collect()}
     assert not {"a", "b", "c"} & {t for t, r in out.items() if r.od_mm is not None}
+
+
+def test_cells_of_dimension_tables_are_read_once_for_all_votes(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cells(k):
+        made.add(1)
+        return [str(o) for o in (k % 3 + 1.0, [25, 50, 80][k % 3], "40", "-")]
+
+    grid = spark.range(200).select((F.col("id") % 2).alias("t"), "id", cells("id").alias("cells"))
+    out = dimensions.dimensions(grid, "t").select("t", "id", "nps", "dn", "schedule").collect()
+    assert sorted((r.id, r.t, r.nps, r.dn, r.schedule) for r in out) == [(k, k % 2, k % 3 + 1.0, [25.0, 50.0, 80.0][k % 3], "40") for k in range(200)]
+    assert made.value <= 600  # for numbers and for names of schedules, and to read them
