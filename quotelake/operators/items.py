@@ -95,17 +95,23 @@ def sku_fields(sku: Column) -> Column:
 def related_tables(tables: DataFrame, doc: str, index: str, page: str, headers: str, least: float = 0.6, pages: int = 2) -> DataFrame:
     """doc, index, group: tables whose headers agree (Jaccard) with an earlier one at most `pages` pages before, chained to the first.
 
-    The self join is by document and neighbouring page, so that a document of many tables isn't compared as a whole.
+    A table sees those of its page and the pages before it through one window, so that tables are neither multiplied nor joined, and a document
+    of many tables isn't compared as a whole.
     """
     t = tables.select(doc, index, page, F.transform(F.filter(headers, lambda h: h.isNotNull()), lambda h: F.lower(F.trim(h))).alias("_h"))
-    a = t.select(doc, F.col(index).alias("_a"), F.col(page).alias("_pa"), F.col("_h").alias("_ha"))
-    b = t.select(doc, F.col(index).alias("_b"), F.explode(F.sequence(F.col(page) - pages, F.col(page))).alias("_pa"), F.col("_h").alias("_hb"))
-    share = F.size(F.array_intersect("_ha", "_hb")) / F.nullif(F.size(F.array_union("_ha", "_hb")), F.lit(0)).cast("double")
-    near = a.join(b, [doc, "_pa"]).filter((F.col("_a") < F.col("_b")) & (share >= least)).groupBy(doc, F.col("_b").alias(index)).agg(F.max("_a").alias("_before"))
-    joined = tables.select(doc, index).join(near, [doc, index], "left")
+    near = F.collect_list(F.struct(F.col(index).alias("at"), F.col("_h").alias("h"))).over(Window.partitionBy(doc).orderBy(page).rangeBetween(-pages, 0))
+
+    def share(h: Column) -> Column:
+        jaccard = F.size(F.array_intersect(h, "_h")) / F.nullif(F.size(F.array_union(h, "_h")), F.lit(0)).cast("double")
+        return F.when((h == F.col("_h")) & (F.size(h) > 0), 1.0).otherwise(jaccard)
+
+    agree = F.filter("_near", lambda o: (o["at"] < F.col(index)) & (share(o["h"]) >= least))
+    before = F.when(F.col(doc).isNotNull() & F.col(page).isNotNull(), F.array_max(F.transform(agree, lambda o: o["at"])))
+    found = t.withColumn("_near", near).select(doc, index, before.alias("_before"))
     # a table follows the nearest earlier one that it agrees with; a new group begins where there is none
     w = Window.partitionBy(doc).orderBy(index)
-    return joined.withColumn("group", F.sum(F.when(F.col("_before").isNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_before")
+    new = F.max("_before").over(Window.partitionBy(doc, index)).isNull()
+    return found.withColumn("_new", new.cast("int")).select(doc, index, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("group"))
 
 
 def merged_rows(rows: DataFrame, doc: str, group: str, key: list[str], cells: str) -> DataFrame:

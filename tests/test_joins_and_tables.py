@@ -125,3 +125,17 @@ def test_cells_of_dimension_tables_are_read_once_for_all_votes(spark):
     out = dimensions.dimensions(grid, "t").select("t", "id", "nps", "dn", "schedule").collect()
     assert sorted((r.id, r.t, r.nps, r.dn, r.schedule) for r in out) == [(k, k % 2, k % 3 + 1.0, [25.0, 50.0, 80.0][k % 3], "40") for k in range(200)]
     assert made.value <= 600  # for numbers and for names of schedules, and to read them
+
+
+def test_related_tables_equal_a_loop_without_a_join(spark, capsys):
+    rng = random.Random(4)
+    pools = [["a", "b", "c"], [" A", "b ", "C", "d"], ["x", None], [], [None], ["x", "y", "z"]]
+    rows = [(doc, i, rng.choice([1, 2, 3, 5, 9, None]), rng.choice(pools)) for doc in (1, 2, 3, None) for i in range(12)] + [(1, 3, 2, ["a", "b"])]
+    out = items.related_tables(spark.createDataFrame(rows, "doc long, i long, page int, headers array<string>"), "doc", "i", "page", "headers")
+    own = [(d, i, p, {h.lower().strip() for h in hs if h is not None}) for d, i, p, hs in rows]
+    near = lambda a, b: None not in (a[0], a[2], b[2]) and a[0] == b[0] and a[1] < b[1] and 0 <= b[2] - a[2] <= 2 and len(a[3] & b[3]) >= 0.6 * len(a[3] | b[3]) > 0
+    follows = {(b[0], b[1]) for a in own for b in own if near(a, b)}
+    want = sorted(((d, i, sum((o[0], o[1]) not in follows for o in own if o[0] == d and o[1] <= i)) for d, i, _, _ in own if (d, i) != (1, 3)), key=repr)
+    assert sorted(((r.doc, r.i, r.group) for r in out.collect() if (r.doc, r.i) != (1, 3)), key=repr) == want and follows
+    out.explain()
+    assert "Join" not in capsys.readouterr().out
