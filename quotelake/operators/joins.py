@@ -52,11 +52,11 @@ def interval(left: DataFrame, tiers: DataFrame, on: list[str], value: str, start
     return left.join(t, cond, "left").drop("_t_before", *[f"_t_{c}" for c in on])
 
 
-def cascade(items: DataFrame, levels: list[tuple[DataFrame, list[str]]], key: list[str]) -> DataFrame:
+def cascade(items: DataFrame, levels: list[tuple[DataFrame, list[str]]], key: list[str], outer: bool = False) -> DataFrame:
     """Rows of the first level that has any for an item: levels are (conditions, columns they share with the items), with equal other columns.
 
     The conditions of a level are gathered by their key and looked up by an equality join, which is a broadcast where they are small; an item takes
-    the first that is there, and is then multiplied once. Items are neither united nor ranked.
+    the first that is there, and is then multiplied once. Items are neither united nor ranked; those without any condition stay where `outer` is set.
     """
     values = [c for c in levels[0][0].columns if c not in levels[0][1]]
     out, found = items, []
@@ -64,8 +64,9 @@ def cascade(items: DataFrame, levels: list[tuple[DataFrame, list[str]]], key: li
         gathered = conditions.groupBy(*on).agg(F.collect_list(F.struct(*values)).alias(f"_level{n}"))
         out = out.join(gathered, on, "left")
         found.append(F.when(F.col(f"_level{n}").isNotNull(), F.struct(F.lit(n).alias("level"), F.col(f"_level{n}").alias("rows"))))
-    first = out.select(*items.columns, F.coalesce(*found).alias("_first")).filter("_first IS NOT NULL")
-    return first.select(*items.columns, F.col("_first.level").alias("level"), F.explode("_first.rows").alias("_row")).select(*items.columns, "level", "_row.*")
+    first = out.select(*items.columns, F.coalesce(*found).alias("_first"))
+    explode = F.explode_outer if outer else F.explode
+    return first.select(*items.columns, F.col("_first.level").alias("level"), explode("_first.rows").alias("_row")).select(*items.columns, "level", "_row.*")
 
 
 def any_key(left: DataFrame, keys: list[Column], right: DataFrame, right_key: str, row: list[str]) -> DataFrame:

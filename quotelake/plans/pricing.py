@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +26,13 @@ def priced(spark: SparkSession, d: str) -> DataFrame:
     return domain.items(spark, d).join(domain.materials(spark, d).drop("name"), "material_id").join(r, "run_id")
 
 
+def once_priced(spark: SparkSession, d: str) -> DataFrame:
+    """One row of `priced` for each KEY. All of it lies by run, in one sort by KEY, from which runs are joined too; no row is held for more than its KEY and what is asked of it."""
+    i = domain.items(spark, d).select(*KEY).join(domain.materials(spark, d).drop("name"), "material_id").repartition("run_id")
+    r = joins.latest(domain.runs(spark, d).select("run_id", "client_id", "created_at"), ["run_id"], [F.asc("run_id")])
+    return joins.latest(i, KEY, [F.asc("run_id")]).join(r, "run_id")
+
+
 def literal(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, columns)
 
@@ -58,16 +68,19 @@ CASCADE = "SELECT l.*, lvl, condition_type, rate_type, rate FROM (SELECT *, clie
  coalesce(sum(rate) FILTER (condition_type = 'SURCHARGE'), 0) AS sur, coalesce(sum(rate) FILTER (condition_type = 'TAX'), 0) AS t, coalesce(sum(rate) FILTER (condition_type = 'LME'), 0) AS lme
  FROM (SELECT *, min(lvl) OVER (PARTITION BY run_id, line_number, material_id, quantity, item_price, supplier_id, effective_at) AS best FROM ({CASCADE})) WHERE lvl = best GROUP BY run_id, line_number, material_id, quantity, item_price, supplier_id, effective_at))""", priced=PRICED, conditions=values(CONDITION_COLUMNS, CONDITIONS)))
 def p01(spark, d):
-    """The first access level with a condition gives all conditions; they are then evaluated in order of dependence."""
+    """The first access level with a condition gives all conditions; they are evaluated in order of dependence."""
+    return agreed(spark, once_priced(spark, d)).select(*KEY, "level", "base", "tax", "net")
+
+
+def agreed(spark: SparkSession, items: DataFrame, outer: bool = False) -> DataFrame:
+    """`items` with level, base, tax and net of their agreement. A level's conditions are evaluated once for each of its keys, so that items are neither multiplied nor grouped."""
     kinds = literal(spark, CONDITION_COLUMNS, CONDITIONS)
-    items = priced(spark, d).dropDuplicates(KEY).withColumn("c5", F.col("client_id") % 5).withColumn("m5", F.col("material_id") % 5)
     levels = []
     for n, on in LEVELS.items():
         own = kinds.filter(F.col("lvl") == n)
         own = own.filter(F.col("condition_type") == "BASE_PRICE") if n == 4 else own
-        levels.append((own.select(*on, "condition_type", "rate_type", "rate"), on))
-    found = joins.cascade(items.select(*KEY, "c5", "m5", "category"), levels, KEY)
-    return pricing.evaluate(found, [*KEY, "level"]).select(*KEY, "level", "base", "tax", "net")
+        levels.append((pricing.evaluate(own, on).select(*on, "base", "tax", "net"), on))
+    return joins.cascade(items.withColumns({"c5": F.col("client_id") % 5, "m5": F.col("material_id") % 5}), levels, KEY, outer).drop("c5", "m5")
 
 
 RULES = [(None, None, None, 0.20, 0.05, 0.02, 1), ("ECONOMY", None, None, 0.25, 0.05, 0.02, 2), ("ECONOMY", "Brand#11", None, 0.15, 0.04, 0.01, 3), (None, "Brand#11", None, 0.30, 0.05, 0.03, 4), (None, None, 3, 0.22, 0.05, 0.02, 5)]
@@ -79,7 +92,7 @@ PRICE = "floor(base_cost * (1 + (CASE WHEN quantity > 40 THEN -10.0 WHEN quantit
 
 def ruled(spark: SparkSession, d: str) -> DataFrame:
     dims = ["client_id", "origin", "category"]
-    return pricing.most_specific(priced(spark, d).dropDuplicates(KEY), literal(spark, RULE_COLUMNS, RULES), dims, [F.desc("rule")])
+    return pricing.most_specific(once_priced(spark, d), literal(spark, RULE_COLUMNS, RULES), dims, [F.desc("rule")])
 
 
 def rule_price():
@@ -341,9 +354,9 @@ def p34_available(spark, d):
 def p11(spark, d):
     """A whole price run: material and pipe weight, agreement price or else rules, freight, insurance, handling, local charges and duty on the price, totals by run."""
     items = ruled(spark, d).withColumn("by_rules", rule_price())
-    agreed = p01(spark, d).select(*KEY, "net")
+    known = reduce(and_, [F.col(c).isNotNull() for c in KEY])  # as in the SQL, which joins agreements by KEY
     pipes = [(2.0, 5.44), (4.0, 16.07), (6.0, 28.26), (8.0, 42.55)]
-    rows = items.join(agreed, KEY, "left").join(literal(spark, "nps double, kg double", pipes), F.col("size") == F.col("nps"), "left").join(literal(spark, RATE_COLUMNS, RATES), "category", "left")
+    rows = agreed(spark, items, outer=True).withColumn("net", F.when(known, F.col("net"))).join(literal(spark, "nps double, kg double", pipes), F.col("size") == F.col("nps"), "left").join(literal(spark, RATE_COLUMNS, RATES), "category", "left")
     rows = rows.withColumns({"unit_price": F.coalesce("net", "by_rules"), "weight": F.col("quantity") * F.coalesce("kg", F.col("size").cast("double"))}).withColumn("item_price", F.col("unit_price") * F.col("quantity"))
     weight, value = F.col("weight"), F.col("item_price")
     rows = rows.withColumn("freight", pricing.freight(weight, value, weight / 500.0, F.col("method"), F.coalesce("rate", F.lit(30.0)), F.coalesce("least", F.lit(5.0))))

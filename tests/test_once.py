@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quotelake.operators import documents, extraction, tables
+from quotelake import plans
+from quotelake.operators import documents, extraction, joins, tables
 
 TABLES = [
     (1, ["Item No.", "Description", "Qty"], [["1", "a", "2"], ["2", "b", "3"]]), (2, ["Item No.", "Description", "Qty"], [["", "", ""]]), (3, ["Rev", "Date", None], [["x", "y", "z"]]),
@@ -32,3 +33,15 @@ def test_a_header_is_normalised_once_for_each_role(spark, capsys):
     df = spark.createDataFrame([(["Item", "Qty"],)], "h array<string>")
     df.select(tables.fit(F.get("h", F.lit(0)), tables.KEYWORDS["quantity"]).alias("s")).explain(True)
     assert capsys.readouterr().out.split("== Physical Plan ==")[1].count("lower(") == 1
+
+
+def test_priced_items_are_read_and_sorted_once(spark, capsys):
+    """Agreements are evaluated on conditions, not on items, and no item meets itself again by its whole key."""
+    sf = "/root/testdata/sf0.001"
+    for name in ("p01_agreement_prices", "p11_price_run"):
+        plans.queries()[name](spark, sf).explain()
+        plan = capsys.readouterr().out
+        assert plan.count("l_extendedprice#") and sum("FileScan" in x and "lineitem" in x for x in plan.splitlines()) == 1 and "SortAggregate" not in plan
+    items = spark.createDataFrame([(1, "m"), (2, "x"), (3, None)], "id int, m string")
+    by_m = spark.createDataFrame([("m", 1), (None, 2)], "m string, v int")
+    assert sorted((r.id, r.level, r.v) for r in joins.cascade(items, [(by_m, ["m"])], ["id"], outer=True).collect()) == [(1, 1, 1), (2, None, None), (3, None, None)]
