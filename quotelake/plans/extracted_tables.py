@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from quotelake.functions.json_repair import recovered_json
+from quotelake.functions.json_repair import recovered_items
 from quotelake.functions.text import once
 from quotelake.operators import tables
 from quotelake.registry import register
@@ -116,14 +118,15 @@ CUT = "length(answer) * (25 + run_id % 90) // 100"
           SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY line_number, material_id, quantity) AS k, {ANSWERED.replace("STRING", "VARCHAR")} AS plain FROM items)))) GROUP BY run_id"""))
 def s28_items(spark, d):
     """Answers that break off somewhere, some with a mangled item: the items that stand whole in them."""
-    i = domain.items(spark, d).withColumn("plain", F.expr(ANSWERED))
-    own = F.array_sort(F.collect_list(F.struct("line_number", "material_id", "quantity", "plain")))
-    mangled = F.when((F.col("run_id") % 3 == 0) & (F.col("k") == 1), F.replace("plain", F.lit('"size": '), F.lit('"size":: '))).otherwise(F.col("plain"))
-    a = i.groupBy("run_id").agg(own.alias("own")).select("run_id", F.posexplode("own").alias("k", "x")).select("run_id", "k", "x.plain").withColumn("item", mangled)
-    a = a.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("k", "item"))).alias("own"))
-    a = a.select("run_id", F.concat(F.lit(HEAD), F.array_join("own.item", ", "), F.lit("]}")).alias("answer"))
+    own = F.array_sort(F.collect_list(F.struct("line_number", "material_id", "quantity")))
+    rows = domain.items(spark, d).groupBy("run_id").agg(own.alias("own"))
+    plain = re.sub(r'\b(line_number|material_id|quantity)\b(?!")', r"x.\1", ANSWERED)
+    item = f"""transform(own, (x, k) -> CASE WHEN run_id % 3 = 0 AND k = 1 THEN replace({plain}, '"size": ', '"size":: ') ELSE {plain} END)"""
+    a = rows.select("run_id", F.concat(F.lit(HEAD), F.array_join(F.expr(item), ", "), F.lit("]}")).alias("answer"))
     cut = a.select("run_id", F.expr(f"substr(answer, 1, int({CUT.replace('//', 'div')}))").alias("answer"))
-    got = cut.select("run_id", F.explode_outer(recovered_json("answer")["items"]).alias("x")).select("run_id", F.from_json("x", "line_number int, description string, size struct<qty: int>").alias("x"))
-    whole = F.col("x.size.qty").isNotNull()
-    number = F.regexp_extract("x.description", r"\{([0-9]+)\}", 1).cast("long")
-    return got.groupBy("run_id").agg(F.count_if(whole).alias("items"), F.coalesce(F.sum(F.when(whole, number)), F.lit(0)).alias("materials"))
+    got = cut.select("run_id", recovered_items("answer").alias("items"))
+    parsed = F.transform("items", lambda x: F.from_json(x, "line_number int, description string, size struct<qty: int>"))
+    whole = F.filter(parsed, lambda x: x["size"]["qty"].isNotNull())
+    number = lambda x: F.coalesce(F.regexp_extract(x["description"], r"\{([0-9]+)\}", 1).cast("long"), F.lit(0))
+    told = once(whole, lambda xs: F.struct(F.size(xs).cast("long").alias("items"), F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + number(x)).alias("materials")))
+    return got.select("run_id", told.alias("told")).select("run_id", "told.*")

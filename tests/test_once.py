@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotelake import plans
+from quotelake.functions import json_repair
 from quotelake.operators import documents, extraction, joins, tables
 
 TABLES = [
@@ -45,3 +46,12 @@ def test_priced_items_are_read_and_sorted_once(spark, capsys):
     items = spark.createDataFrame([(1, "m"), (2, "x"), (3, None)], "id int, m string")
     by_m = spark.createDataFrame([("m", 1), (None, 2)], "m string, v int")
     assert sorted((r.id, r.level, r.v) for r in joins.cascade(items, [(by_m, ["m"])], ["id"], outer=True).collect()) == [(1, 1, 1), (2, None, None), (3, None, None)]
+
+
+def test_answers_are_grouped_once(spark, capsys):
+    out = plans.queries()["s28_recovered_items"](spark, "/root/testdata/sf0.001")
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "Generate" not in plan and plan.count("Exchange") == 1 and plan.count("partial_") == 1
+    answers = spark.createDataFrame([('{"items": [{"a": 1}, {"b": ',), ("none",), (None,)], "t string")
+    assert [r.x for r in answers.select(json_repair.recovered_items("t").alias("x")).collect()] == [['{"a": 1}'], [], []]
