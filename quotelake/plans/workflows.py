@@ -108,7 +108,8 @@ def changes(spark, d):
 def t07(spark, d, batches: int = BATCHES):
     """The daily view, kept by deltas over several batches of runs that come and go."""
     path = scratch(spark)
-    base = Versions(spark, f"{path}/base", "day date, run_id long, pending long, price decimal(18,2)", ["day", "run_id"], ["day"], 16)
+    # rows are sorted by the key: the run first, which tells them apart where a day has thousands
+    base = Versions(spark, f"{path}/base", "day date, run_id long, pending long, price decimal(18,2)", ["run_id", "day"], ["day"], 16)
     table = Versions(spark, f"{path}/view", "day date, n long, pending long, price decimal(38,2), highest decimal(18,2)", ["day"], buckets=16)
     view = views.View(table, base, {"pending": "pending", "price": "price"}, {"highest": "price"}, "at")
     out = views.maintained(ordered.replay(changes(spark, d), "at", batches), view, f"{path}/checkpoint")

@@ -8,6 +8,7 @@ a row for each bucket, the only thing that comes to the driver. Keys are unique
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ class Versions:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str, key: list[str], by: list[str] | None = None, buckets: int = 64):
         self.spark, self.path, self.key, self.by, self.buckets = spark, path.rstrip("/"), key, by or key, buckets
         self.schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        self._known: dict[int, dict[int, str]] = {}  # manifests, which never change once they are there
         if not set(self.by) <= set(key):
             raise ValueError(f"{self.by} are not all columns of the key {key}")
 
@@ -52,20 +54,26 @@ class Versions:
         version = self.latest() if version is None else version
         if not version:
             return {}
-        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/versions/{version}").filter("folder IS NOT NULL").collect()  # at most `buckets`
-        return {r["bucket"]: r["folder"] for r in rows}
+        if version not in self._known:
+            rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/versions/{version}").filter("folder IS NOT NULL").collect()  # at most `buckets`
+            self._known[version] = {r["bucket"]: r["folder"] for r in rows}
+        return dict(self._known[version])
 
     def read(self, version: int | None = None, buckets: set[int] | None = None) -> DataFrame:
         folders = [f for b, f in self.manifest(version).items() if buckets is None or b in buckets]
-        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
+        if folders:
+            return self.spark.read.schema(self.schema).parquet(*folders)
+        return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]).filter(F.lit(False))  # known to be empty: joins with it go
 
     def touched(self, *keys: DataFrame) -> set[int]:
         """The buckets that rows with these `by` columns lie in."""
-        return {r[0] for df in keys for r in df.select(self.bucket()).distinct().collect()}  # at most `buckets`
+        return {r[0] for r in reduce(DataFrame.union, [df.select(self.bucket()) for df in keys]).distinct().collect()} if keys else set()  # at most `buckets`
 
     def _name(self, folders: dict[int, str], parent: int, reason: str | None, number: int) -> int:
-        rows = [(b, f, parent, reason) for b, f in sorted(folders.items())] or [(None, None, parent, reason)]
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/versions/{number}")
+        rows = F.array(*[F.struct(F.lit(b).cast("int").alias("bucket"), F.lit(f).cast("string").alias("folder")) for b, f in sorted(folders.items()) or [(None, None)]])
+        named = self.spark.range(0, 1, 1, 1).select(F.inline(rows), F.lit(parent).cast("long").alias("parent"), F.lit(reason).cast("string").alias("reason"))
+        named.write.mode("errorifexists").parquet(f"{self.path}/versions/{number}")
+        self._known[number] = dict(folders)
         return number
 
     def commit(self, put: DataFrame | None = None, gone: DataFrame | None = None, reason: str | None = None, number: int | None = None) -> int:
@@ -79,8 +87,8 @@ class Versions:
         changes = [df for df in (put, gone) if df is not None]
         old, at = self.manifest(parent), self.touched(*changes)
         kept = self.read(parent, at)
-        for df in changes:
-            kept = kept.join(df.select(*self.key), self.key, "left_anti")
+        if changes:
+            kept = kept.join(reduce(DataFrame.union, [df.select(*self.key) for df in changes]), self.key, "left_anti")
         names = self.schema.fieldNames()
         rows = kept.select(*names) if put is None else kept.select(*names).unionByName(put.select(*names))
         folder = f"{self.path}/rows/{uuid.uuid4().hex}"
@@ -120,4 +128,5 @@ class Versions:
         for path in [*(f"{self.path}/versions/{n}" for n in numbers[:-keep]), *sorted(go)]:
             fs, p = self._path(path)
             fs.delete(p, True)
+        self._known = {n: f for n, f in self._known.items() if n in numbers[-keep:]}
         return len(go)

@@ -44,7 +44,7 @@ class View:
     def apply(self, changes: DataFrame, number: int) -> None:
         """One batch of changes (rows of `base` with a sign) into base and view. A repeated batch changes nothing."""
         key, spark = self.table.key, self.table.spark
-        changes = changes.persist()
+        changes = changes.repartition(*self.base.key).persist()  # a row's changes lie together: they are grouped where they are
         try:
             names = self.base.schema.fieldNames()
             last = F.max_by(F.struct(SIGN, *names), F.struct(self.order, SIGN)).alias("_last")

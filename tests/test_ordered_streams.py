@@ -101,6 +101,32 @@ def test_idle_keys_are_forgotten(spark):
     assert {r.price: r.previous for r in ordered.finished(fold).collect()}[3.0] is None
 
 
+def test_replayed_batches_lie_in_many_files(spark):
+    """A micro-batch is read by as many tasks as there are cores, not by one; batches follow each other in time."""
+    df = spark.range(3000).select("id", F.timestamp_seconds(F.hash("id").cast("long")).alias("ts"))
+    seen = []
+
+    def put(batch, n):
+        seen.append(batch.agg(F.count_distinct("file").alias("files"), F.count("id").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).first())
+
+    ordered.replay(df, "ts", 3).withColumn("file", F.input_file_name()).writeStream.foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    assert [b.files for b in seen] == [spark.sparkContext.defaultParallelism] * 3
+    assert sum(b.n for b in seen) == 3000 and min(b.n for b in seen) > 500
+    assert all(a.last <= b.first for a, b in zip(seen, seen[1:]))
+
+
+@pytest.mark.parametrize("times", [0, 1, 2, 5])
+def test_replay_of_few_times_is_whole(spark, times):
+    """Ranges without rows have no file: the batches are fewer or larger, and the row with the end comes with them or after."""
+    df = spark.range(40 if times else 0).select("id", F.timestamp_seconds(F.col("id") % max(times, 1)).alias("ts"))
+    seen = []
+    ordered.replay(df, "ts", 3, END).writeStream.foreachBatch(lambda b, n: seen.append([(r.id, r.ts) for r in b.collect()])).trigger(availableNow=True).start().awaitTermination()
+    full = [b for b in seen if b]
+    assert sorted(i for b in full for i, _ in b if i is not None) == list(range(40 if times else 0))
+    assert [r for b in full for r in b if r[0] is None] == [(None, END)] and (None, END) in full[-1]
+    assert all(max(t for _, t in a) <= min(t for _, t in b) for a, b in zip(full, full[1:]))
+
+
 class Store:
     """State of one bucket that counts what is asked of it."""
 

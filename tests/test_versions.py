@@ -50,6 +50,27 @@ def test_difference_reads_changed_buckets_only(spark, tmp_path):
     assert files and {f.rsplit("/", 2)[1] for f in files} == {f"_bucket={b}" for b in t.changed(first, second)} and len(t.changed(first, second)) == 1
 
 
+def test_nothing_kept_is_known_to_be_empty(spark, tmp_path):
+    """What a version without rows gives drops out of plans, instead of being joined."""
+    t = table(spark, tmp_path)
+    none, keys = t.read(), spark.range(9).select(F.col("id").alias("g"), F.col("id").alias("k"))
+    assert none.schema.simpleString() == t.schema.simpleString() and none.count() == 0
+    plan = none.join(keys, ["g", "k"], "left_anti")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "LocalRelation <empty>" in plan
+
+
+def test_manifests_are_those_of_the_files(spark, tmp_path):
+    """A version that another has written is read from its files, with and without a reason, with and without rows."""
+    t = table(spark, tmp_path)
+    t.commit(spark.createDataFrame([(g, 1, g) for g in range(40)], SCHEMA), reason="it's \\ new")
+    t.commit(gone=t.read())
+    again = table(spark, tmp_path)
+    assert [again.manifest(n) for n in (1, 2)] == [t.manifest(n) for n in (1, 2)] and again.manifest(1) and again.manifest(2) == {}
+    assert rows_of(again.history()) == rows_of(t.history()) == [(1, 0, "it's \\ new", len(t.manifest(1)), 0), (2, 1, None, 0, 0)]
+    t.manifest(1).clear()
+    assert t.manifest(1) == again.manifest(1)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_view_equals_full_aggregation(spark, tmp_path, seed):
     """Random rows come and go in batches, the largest of a group often; the view equals an aggregation of what is there."""
