@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotelake.operators.joins import latest
 from quotelake.sources.versions import Versions
 
 SIGN = "sign"
@@ -47,8 +48,7 @@ class View:
         changes = changes.repartition(*self.base.key).persist()  # a row's changes lie together: they are grouped where they are
         try:
             names = self.base.schema.fieldNames()
-            last = F.max_by(F.struct(SIGN, *names), F.struct(self.order, SIGN)).alias("_last")
-            final = changes.groupBy(*self.base.key).agg(last).select("_last.*").persist()
+            final = latest(changes, self.base.key, [F.desc(self.order), F.desc(SIGN)]).select(SIGN, *names).persist()
             self.base.commit(final.filter(f"{SIGN} > 0"), final.filter(f"{SIGN} < 0"), number=number)
             final.unpersist()
             if number <= self.table.latest():
